@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, jaccard, mixing, repeats, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,15 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op5_decontamination)}
+def op7_repeats(spark, sf_dir):
+    return repeats.dedup(_read(spark, sf_dir, "documents"))
+
+
+def op10_jaccard(spark, sf_dir):
+    return jaccard.report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op5_decontamination, op7_repeats, op10_jaccard)}
 
 SQL = {
     "op3_mixing": r"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema), with this package sent to the executors once."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_tessel_sent", False):
+        root = Path(__file__).resolve().parents[2]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tessel-')}/tessel", "zip", root, "tessel"))
+        context._tessel_sent = True
+    return df.mapInArrow(f, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(col, UPPER, UPPER.lower())
