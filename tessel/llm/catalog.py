@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, repeats, sharding
+from . import decontaminate, html, jaccard, langid, mixing, repeats, sharding, tokens, topk, warc
+from .common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,23 +18,47 @@ def op1_sharding(spark, sf_dir):
     return sharding.minimax_shards(_read(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark, sf_dir):
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tessel/tokens-{uuid.uuid4().hex}"
+    tokens.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.positions(tokens.read(spark, path))
+
+
 def op7_repeats(spark, sf_dir):
     return repeats.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark, sf_dir):
+    return topk.top(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_html(spark, sf_dir):
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_jaccard(spark, sf_dir):
     return jaccard.report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op5_decontamination, op7_repeats, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_mixing, op4_warc, op5_decontamination, op6_tokens, op7_repeats, op8_topk, op9_html, op10_jaccard)}
 
 SQL = {
     "op3_mixing": r"""
@@ -60,4 +87,10 @@ a AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN a USING (rid)""",
+    "op8_topk": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

@@ -40,7 +40,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow(f, schema), with this package sent to the executors once."""
     context = df.sparkSession.sparkContext
     if not getattr(context, "_tessel_sent", False):

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, table
+from .common import ascii_lower, column, table, text_key
+from .texts import small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SET_LIMIT = 50_000
@@ -40,12 +41,12 @@ def _hashes(length: int) -> str:
 
 
 def candidates(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, set_limit: int) -> DataFrame:
-    """(rid, doc_id, n_words, found): found has (at, length, win) of the windows whose hash is in the set; rid is the row's own."""
+    """(rid, doc_id, key of the text, n_words, found): found has (at, length, win) of the windows whose hash is in the set; rid is the row's own."""
     lengths = [r[0] for r in grams.groupBy("length").agg(F.countDistinct("hash").alias("n")).orderBy("length").select("length").collect()]
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), column(docs, id_col).alias("doc_id"), words(column(docs, text_col)).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), column(docs, id_col).alias("doc_id"), text_key(column(docs, text_col)).alias("key"), words(column(docs, text_col)).alias("w"))
     none = "array<struct<at:int,length:int,win:string>>"
     if not lengths:
-        return table(base.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"cast(array() as {none})").alias("found")), "decon")[0]
+        return table(base.select("rid", "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.expr(f"cast(array() as {none})").alias("found")), "decon")[0]
     if grams.select("hash").distinct().limit(set_limit + 1).count() <= set_limit:
         parts = []
         for n in lengths:
@@ -54,7 +55,7 @@ def candidates(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, se
             parts.append(f"CASE WHEN size(hs) >= {n} THEN transform({at}, i -> struct(i AS at, {n} AS length, array_join(slice(ws, i, {n}), ' ') AS win)) ELSE cast(array() as {none}) END")
         # one-element arrays bind the words and their hashes once for all windows
         found = f"transform(array(w), ws -> transform(array(transform(ws, x -> xxhash64(x))), hs -> struct(bigint(size(ws)) AS n_words, cast(concat({', '.join(parts)}) as {none}) AS found))[0])[0]"
-        return table(base.select("rid", "doc_id", F.expr(found).alias("r")).select("rid", "doc_id", "r.n_words", "r.found"), "decon")[0]
+        return table(base.select("rid", "doc_id", "key", F.expr(found).alias("r")).select("rid", "doc_id", "key", "r.n_words", "r.found"), "decon")[0]
     base, _ = table(base, "decon-words")
     each = F.array(*[F.struct(F.lit(n).alias("length")) for n in lengths])
     wins = base.select("rid", "w", F.explode(each).alias("e")).where(F.size("w") >= F.col("e.length"))
@@ -62,11 +63,11 @@ def candidates(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, se
     hits = wins.join(grams.select("length", "hash").distinct(), ["length", "hash"]).groupBy("rid").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "length")).alias("at"))
     out = base.join(hits.withColumnRenamed("rid", "hit"), F.col("rid") == F.col("hit"), "left")
     found = f"cast(coalesce(transform(at, a -> struct(a.at AS at, a.length AS length, array_join(slice(w, a.at, a.length), ' ') AS win)), array()) as {none})"
-    return table(out.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(found).alias("found")), "decon")[0]
+    return table(out.select("rid", "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.expr(found).alias("found")), "decon")[0]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 5, set_limit: int = SET_LIMIT) -> DataFrame:
-    """rid, doc_id, n_words, spans (word ranges from 1, inclusive), n_hit, items, contaminated for every document.
+    """rid, doc_id, key (of the text), n_words, spans (word ranges from 1, inclusive), n_hit, items, contaminated for every document.
 
     Contaminated: at least ``percent`` of the words lie in windows that a benchmark item holds too.
     """
@@ -84,7 +85,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
     out = rows.join(hits, F.col("rid") == F.col("hit"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("rid", "doc_id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,to:int>>)")).alias("spans"), n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
+    return out.select("rid", "doc_id", "key", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,to:int>>)")).alias("spans"), n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without the contaminated ones."""
+    found = contamination(docs, benchmark, text_col=text_col, **options).where("contaminated").select(F.col("key").alias("_key")).distinct()
+    found, _ = table(found, "contaminated")
+    return docs.join(small(found), text_key(column(docs, text_col)) == F.col("_key"), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, map_arrow, table
+from .common import column, drop, map_arrow, table, text_key
 from .components import components
 from .hashing import BASE, U, mix, shingle_sets
 from .texts import distinct_texts, small
@@ -154,17 +154,35 @@ def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
 
 
 def similar(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (of the text), n_shingles, component_id (least id reachable by links) for every row of docs."""
+    """doc_id, key (of the text), n_shingles, component_id (least id reachable by links), component for every row of docs.
+
+    component tells components apart even where ids are null or repeated; it is null for empty sets.
+    """
     spark = docs.sparkSession
     texts, texts_path, rows, _ = distinct_texts(docs, id_col, text_col)
     sizes, sizes_path = table(map_arrow(texts.select("tid", "text"), _setter(words, False), "tid long, n long"), "sizes")
     roots, roots_path = _links(texts, words, percent)
     slim = texts.select("tid", "key", "least_id").join(sizes, "tid").join(roots, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid"))
     least = slim.groupBy("root").agg(F.min("least_id").alias("component"))
-    by_key = slim.join(least, "root").groupBy("key").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component"))
+    by_key = slim.join(least, "root").groupBy("key").agg(F.max("n").alias("n_shingles"), F.min("component").alias("least"), F.min("root").alias("root"))
     by_key, _ = table(by_key, "classes")
     drop(spark, texts_path, sizes_path, roots_path)
-    return rows.join(by_key, "key").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    return rows.join(by_key, "key").select("doc_id", "key", "n_shingles", F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("root")).alias("component"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least non-null id (then the least text digest). Rows with empty sets stay."""
+    found, _ = table(similar(docs, words, percent, id_col, text_col), "similar")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = found.where("component is not null").groupBy("component").agg(F.min(rank).alias("first"))
+    groups = found.where("component is not null").groupBy("component", "doc_id", "key").agg(F.count("*").alias("n")).join(first, "component")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    # what goes, and what stays but once: few rows beside those that stay as they are
+    marked, _ = table(groups.where(~same | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), same.alias("_stays")), "marked")
+    out = docs.join(small(marked), column(docs, id_col).eqNullSafe(F.col("_id")) & (text_key(column(docs, text_col)) == F.col("_key")), "left")
+    once = out.where("_stays").dropDuplicates(["_id", "_key"])
+    return out.where("_key is null").unionByName(once).drop("_id", "_key", "_stays")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

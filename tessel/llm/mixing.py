@@ -73,6 +73,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in own], "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
+def mixed(df: DataFrame, **options) -> DataFrame:
+    """df with each row as often as the mix takes it."""
+    m = mix(df, **options).where("copies > 0")
+    kept = [column(m, c) for c in m.columns if c not in ("size", "source_size", "target", "copies")]
+    return m.select(*kept, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+
+
 def taken(df: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document; the texts are read once."""
     slim, _ = table(df.select(column(df, "doc_id").alias("doc_id"), column(df, "source").alias("source"), words(column(df, "text")).alias("w")), "mix")
