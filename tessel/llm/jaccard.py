@@ -6,9 +6,10 @@ what a set holds in one partition's parts without some k2 of them. Sets that lin
 every pair is verified on the whole sets.
 
 Pairs are found without emitting all pairs of a bucket: members are first compared with one member of their bucket,
-links are contracted to components, and only buckets that still span several components go on, with more members as
-centres each round, until every pair across components has been compared or contracted. No link is lost and no bucket
-is capped.
+the one with most company; links are contracted to components, and only buckets that still span several components go
+on, with a bounded block of further members as centres each round, until every pair across components has been
+compared or contracted. Comparisons first take small parity sketches, which bound the difference of two sets from
+below, so only pairs that may link move on to be verified. No link is lost and no bucket is capped.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing, not even with each other; equal
 texts always share a component; repeated rows are separate rows; a null id never is a component's least id unless
@@ -30,6 +31,10 @@ from .hashing import BASE, U, mix, shingle_sets
 from .texts import distinct_texts, small
 
 
+CENTRES = 4096  # of a bucket in a round, at most
+SALT = 4096  # members of a bucket that one task compares
+
+
 def band(size: int) -> tuple[int, int]:
     """Number and least size of the band of a set size; each band reaches to 1.5 times its least size."""
     t, low = 0, 1
@@ -93,6 +98,35 @@ def _signer(words: int, percent: int):
     return run
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of a set's elements over 2^j >= 2n buckets: two sets differ in at least as many elements as their sketches in bits."""
+    bits = max(512, 1 << (2 * len(x) - 1).bit_length())
+    odd = np.bincount((x >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def most_apart(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements two sets may differ that link, by the sum of their sizes."""
+    return sizes - 2 * -(-sizes * percent // (100 + percent))
+
+
+def _fold(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to one size."""
+    out = np.empty((len(sketches), size // 8), U)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, U).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def _sketches(words: int):
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(_texts(b), words)
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], ["tid", "n", "sk"])
+
+    return run
+
+
 def _setter(words: int, whole: bool):
     def run(batches):
         for b in batches:
@@ -108,48 +142,129 @@ def _setter(words: int, whole: bool):
     return run
 
 
+def _may_link(percent: int):
+    """Rows (u, v, nu, nv, su, sv) to those (u, v) that the sketches don't rule out."""
+
+    def run(batches):
+        for b in batches:
+            n = b.column("nu").to_numpy() + b.column("nv").to_numpy()
+            keep = [
+                int(np.bitwise_count(np.bitwise_xor(*_fold([x, y], min(len(x), len(y))))).sum()) <= most
+                for x, y, most in zip(b.column("su").to_pylist(), b.column("sv").to_pylist(), most_apart(n, percent).tolist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compared(percent: int):
+    """Rows (sig, salt, kind, rank, tid, root, n, sk), centres (kind 0) before members, to pairs (u, v) across roots that the sketches don't rule out."""
+
+    def run(batches):
+        at, centres = None, []
+        for b in batches:
+            found = [], []
+            keys = list(zip(b.column("sig").to_pylist(), b.column("salt").to_pylist(), strict=True))
+            kind = b.column("kind").to_pylist()
+            i = 0
+            while i < len(keys):
+                if keys[i] != at:
+                    at, centres, ready = keys[i], [], None
+                j = i
+                while j < len(keys) and keys[j] == at and kind[j] == kind[i]:
+                    j += 1
+                part = b.slice(i, j - i)
+                rank, tid, root, n = (part.column(c).to_numpy() for c in ("rank", "tid", "root", "n"))
+                if kind[i] == 0:
+                    centres.append((rank, tid, root, n, part.column("sk").to_pylist()))
+                elif centres:
+                    if len(centres) > 1 or ready is None:
+                        centres = [tuple(np.concatenate([c[k] for c in centres]) for k in range(4)) + ([s for c in centres for s in c[4]],)]
+                    crank, ctid, croot, cn, csk = centres[0]
+                    sk = part.column("sk").to_pylist()
+                    size = min(map(len, sk + csk))
+                    if ready is None or ready.shape[1] != size // 8:
+                        ready = _fold(csk, size)
+                    for k, one in enumerate(_fold(sk, size)):
+                        other = (crank < rank[k]) & (croot != root[k])
+                        near = other & (np.minimum(cn, n[k]) * 100 >= np.maximum(cn, n[k]) * percent)
+                        c = np.flatnonzero(near)
+                        c = c[np.bitwise_count(ready[c] ^ one).sum(axis=1) <= most_apart(cn[c] + n[k], percent)]
+                        found[0].append(ctid[c])
+                        found[1].append(np.full(len(c), tid[k]))
+                i = j
+            if found[0]:
+                x, y = (np.concatenate(f) for f in found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v) whose sets are similar enough."""
     v = sets.select(F.col("tid").alias("v"), F.col("n").alias("nv"), F.col("hs").alias("hv"))
     u = sets.select(F.col("tid").alias("u"), F.col("n").alias("nu"), F.col("hs").alias("hu"))
     both = F.size(F.array_intersect("hu", "hv"))
-    n = F.col("nu") + F.col("nv")
-    return pairs.join(v, "v").join(u, "u").where((F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (both * 100 >= (n - both) * percent)).select("u", "v")
+    return pairs.join(v, "v").join(u, "u").where(both * 100 >= (F.col("nu") + F.col("nv") - both) * percent).select("u", "v")
 
 
 def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
     """(node, root) of the texts that link with another."""
     spark = texts.sparkSession
     sigs, sigs_path = table(map_arrow(texts.select("tid", "text"), _signer(words, percent), "sig long, tid long"), "sigs")
-    often, often_path = table(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "often")
+    often, often_path = table(sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "often")
     buckets, buckets_path = table(sigs.join(small(often), "sig"), "buckets")
-    members, members_path = table(buckets.select("tid").distinct(), "members")
-    sets, sets_path = table(map_arrow(texts.select("tid", "text").join(small(members), "tid"), _setter(words, True), "tid long, n long, hs array<long>"), "sets", "lz4")
-    drop(spark, sigs_path, often_path, members_path)
-    least = buckets.groupBy("sig").agg(F.min("tid").alias("u"))
-    pairs = buckets.join(least, "sig").where("tid <> u").select("u", F.col("tid").alias("v")).distinct()
-    links, links_path = table(_verified(pairs, sets, percent), "verified")
-    tested, tested_path = table(pairs, "tested")
+    # the more company a text has in all its buckets, the nearer it is to the middle of its kind
+    members, members_path = table(buckets.groupBy("tid").agg(F.sum("size").alias("company")), "members")
+    own = texts.select("tid", "text").join(small(members), "tid")
+    sketches, sketches_path = table(map_arrow(own.select("tid", "text"), _sketches(words), "tid long, n long, sk binary").join(members, "tid"), "sketches")
+    ranked, ranked_path = table(buckets.join(members, "tid").select("sig", "tid", "company"), "ranked")
+    drop(spark, sigs_path, often_path, buckets_path)
+
+    centre = ranked.groupBy("sig").agg(F.max(F.struct("company", "tid")).alias("c")).select("sig", F.col("c.tid").alias("u"))
+    pairs = ranked.join(centre, "sig").where("tid <> u").select("u", F.col("tid").alias("v")).distinct()
+    u, v = (sketches.select(F.col("tid").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}")) for x in "uv")
+    pairs = pairs.join(v, "v").join(u, "u").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    pairs, pairs_path = table(map_arrow(pairs.select("u", "v", "nu", "nv", "su", "sv"), _may_link(percent), "u long, v long"), "pairs")
+
+    def links_of(pairs: DataFrame) -> tuple[DataFrame, str]:
+        who = pairs.select(F.col("u").alias("tid")).unionByName(pairs.select(F.col("v").alias("tid"))).distinct()
+        who, who_path = table(who, "who")
+        sets = map_arrow(texts.select("tid", "text").join(small(who), "tid"), _setter(words, True), "tid long, n long, hs array<long>")
+        sets, sets_path = table(sets, "sets", "lz4")
+        out = table(_verified(pairs, sets, percent), "verified")
+        drop(spark, who_path, sets_path)
+        return out
+
+    links, links_path = links_of(pairs)
+    drop(spark, pairs_path)
     roots, roots_path = components(links)
-    done, centres = 0, 8
+    done, centres = 1, 64
     while True:
-        at = buckets.join(roots, buckets["tid"] == roots["node"], "left").select("sig", "tid", F.coalesce("root", "tid").alias("root"))
-        spans = at.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("n")).where((F.col("a") != F.col("z")) & (F.col("n") > max(done, 2))).select("sig")
-        split, split_path = table(at.join(spans, "sig").selectExpr("sig", "tid", "root", "row_number() over (partition by sig order by xxhash64(tid), tid) as rank"), "split")
+        at = ranked.join(roots, ranked["tid"] == roots["node"], "left").select("sig", "tid", "company", F.coalesce("root", "tid").alias("root"))
+        spans = at.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("size")).where((F.col("a") != F.col("z")) & (F.col("size") > done + 1)).select("sig", "size")
+        # one bucket's rows are ranked in one task: ids only, and they spill
+        split = at.join(spans, "sig").selectExpr("sig", "tid", "root", "size", "row_number() over (partition by sig order by company desc, tid desc) as rank").where(F.col("rank") > done)
+        split, split_path = table(split, "split")
         if split.isEmpty():
             drop(spark, split_path)
             break
-        x = split.where(F.col("rank").between(done + 1, done + centres)).select("sig", F.col("tid").alias("x"), F.col("root").alias("rx"), F.col("rank").alias("kx"))
-        y = split.select("sig", F.col("tid").alias("y"), F.col("root").alias("ry"), F.col("rank").alias("ky"))
-        pairs = x.join(y, "sig").where("ky > kx AND rx <> ry").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs, pairs_path = table(pairs, "pairs")
-        more, more_path = table(links.unionByName(_verified(pairs, sets, percent)), "verified")
-        both, both_path = table(tested.unionByName(pairs), "tested")
-        drop(spark, links_path, tested_path, pairs_path, split_path, roots_path)
-        links, links_path, tested, tested_path = more, more_path, both, both_path
+        full = split.join(sketches.select("tid", "n", "sk"), "tid")
+        rows = full.where(F.col("rank") <= done + centres).select("sig", F.explode(F.expr(f"sequence(0L, size div {SALT})")).alias("salt"), F.lit(0).alias("kind"), "rank", "tid", "root", "n", "sk")
+        rows = rows.unionByName(full.select("sig", F.expr(f"rank div {SALT}").alias("salt"), F.lit(1).alias("kind"), "rank", "tid", "root", "n", "sk"))
+        rows = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "kind", "rank")
+        pairs, pairs_path = table(map_arrow(rows, _compared(percent), "u long, v long").distinct(), "pairs")
+        drop(spark, split_path)
+        done, centres = done + centres, min(centres * 8, CENTRES)
+        if pairs.isEmpty():
+            drop(spark, pairs_path)
+            continue
+        more, more_path = links_of(pairs)
+        both, both_path = table(links.unionByName(more), "verified")
+        drop(spark, pairs_path, more_path, links_path, roots_path)
+        links, links_path = both, both_path
         roots, roots_path = components(links)
-        done, centres = done + centres, centres * 4
-    drop(spark, links_path, tested_path, buckets_path, sets_path)
+    drop(spark, links_path, ranked_path, members_path, sketches_path)
     return roots, roots_path
 
 
