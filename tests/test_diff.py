@@ -1,0 +1,121 @@
+import pytest
+
+from tessel.operators import diff as d
+from tessel.operators import surfaces as s
+from tessel.operators.extract import surfaces_of
+from tessel.schema import EXTRACTED
+
+
+def frame(spark, *files):
+    """Surfaces of (component, source) files."""
+    rows = [x for comp, source in files for x in surfaces_of(f"a/{comp}/index.ts", source.encode())]
+    return spark.createDataFrame(rows, EXTRACTED).drop("seq")
+
+
+def method(signature):
+    lead = "async " if signature.startswith("async ") else ""
+    return f"export default {{ methods: {{ {lead}m{signature.removeprefix('async ')} {{}} }} }}"
+
+
+def found(spark, base, new):
+    return sorted((r["section"], r["kind"], r["old"] and r["old"]["text_normalized"], r["new"] and r["new"]["text_normalized"]) for r in d.diff(base, new).collect())
+
+
+# base, new, kinds
+METHODS = [
+    ("(x)", "(x)", []),
+    ("(x)", "(y)", []),
+    ("()", "async ()", ["TsMethodAsyncChanged"]),
+    ("(x: A)", "async (x: B): T", ["TsMethodAsyncChanged", "TsMethodReturnTypeChanged"]),
+    ("(): T", "()", ["TsMethodReturnTypeChanged"]),
+    ("(x?)", "(x)", ["TsMethodParamBecameRequired"]),
+    ("(x?)", "(x = 1)", []),
+    ("(x)", "(x?)", ["TsMethodParamBecameRequired"]),
+    ("(x = 1)", "(x)", []),
+    ("(x: A)", "(...x: B)", ["TsMethodParamRestChanged", "TsMethodParamTypeChanged"]),
+    ("()", "(x)", ["TsMethodRequiredParamAdded"]),
+    ("()", "(x?, y = 1)", []),
+    ("()", "(...xs)", ["TsMethodRequiredParamAdded"]),
+    ("(x, y, z)", "(x)", ["TsMethodParamRemoved", "TsMethodParamRemoved"]),
+    ("(x: A, y: B)", "(y: B, x: A)", ["TsMethodParamTypeChanged", "TsMethodParamTypeChanged"]),
+    ("(x: A, y: B)", "(y: B)", ["TsMethodParamRemoved", "TsMethodParamTypeChanged"]),
+]
+# base and new definition of a prop, (kind, old, new)
+PROPS = [
+    ("{ type: String }", "{ type: String }", []),
+    ("{ type: String }", "{ type: Number }", [("VuePropTypeChanged", "String", "Number")]),
+    ("{}", "{ type: String }", [("VuePropTypeChanged", None, "String")]),
+    ("{ type: String }", "{}", [("VuePropTypeChanged", "String", "p")]),
+    ("{ type: String }", "{ type: String, required: true }", [("VuePropBecameRequired", None, "true")]),
+    ("{ type: String, required: true }", "{ type: String }", []),
+    ("{ type: String }", "{ type: Number, required: true }", [("VuePropTypeChanged", "String", "Number")]),
+    ("[String, Number]", "[String,\n  Number]", []),
+    ("[String, Number]", "[String,Number]", [("VuePropTypeChanged", "[String, Number]", "[String,Number]")]),
+]
+
+
+def test_method_and_prop_tables(spark):
+    def side(i):
+        files = [(f"sw-m{n}", method(case[i])) for n, case in enumerate(METHODS)]
+        return frame(spark, *files, *[(f"sw-p{n}", f"export default {{ props: {{ p: {case[i]} }} }}") for n, case in enumerate(PROPS)])
+
+    rows = d.diff(side(0), side(1)).collect()
+    assert {r["section"] for r in rows} == {"breaking_changes"}
+    got = lambda comp: sorted(r["kind"] for r in rows if r["surface"]["fqn"].startswith(f"vue.{comp}."))
+    for n, (*_, kinds) in enumerate(METHODS):
+        assert got(f"sw-m{n}") == kinds, METHODS[n]
+    for n, (*_, expected) in enumerate(PROPS):
+        assert [(r["kind"], r["old"] and r["old"]["text_normalized"], r["new"]["text_normalized"]) for r in rows if r["surface"]["fqn"] == f"vue.sw-p{n}.prop.p"] == expected, PROPS[n]
+
+
+def test_missing_tokens_fall_back(spark):
+    base = frame(spark, ("sw-a", method("(x?: A, y): T")), ("sw-b", method("(x?, y)")))
+    new = frame(spark, ("sw-a", method("(x)")), ("sw-b", method("(x)")))
+    assert found(spark, base, new) == [
+        ("breaking_changes", "TsMethodParamBecameRequired", "?", "x"),
+        ("breaking_changes", "TsMethodParamRemoved", "y", "m(x)"),
+        ("breaking_changes", "TsMethodReturnTypeChanged", "T", "m(x)"),
+    ]
+
+
+C, REQUIRED = "emits: ['e']", "props: { p: { type: A, required: true } }"
+PRESENCE = [
+    ([f"{C}"], [REQUIRED + ", emits: []"], [("breaking_changes", "VueRequiredPropAdded", None, "true"), ("removed", None, None, None)]),
+    ([f"{C}, methods: {{ m() {{}} }}"], [], [("removed", None, None, None)] * 3),
+    ([C], [f"{C}, props: {{ p: A }}"], []),
+    ([], [REQUIRED], []),
+    ([C], [f"{C}, methods: {{ m() {{}} }}, computed: {{ k() {{}} }}"], []),
+    ([REQUIRED], [REQUIRED], []),
+    ([C], ["props: ['a', 'e']"], [("removed", None, None, None)]),
+]
+
+
+@pytest.mark.parametrize("base, new, expected", PRESENCE)
+def test_presence(spark, base, new, expected):
+    sides = [frame(spark, *[("sw-c", f"export default {{ {x} }}") for x in side]) for side in (base, new)]
+    assert found(spark, *sides) == expected
+
+
+def test_ranges_and_paths_dont_count(spark):
+    base = frame(spark, ("sw-c", "export default { methods: { m(a: A) {} } }"))
+    same = [x | {"file_path": "elsewhere.ts"} for x in surfaces_of("b/sw-c/x.ts", b"\n\n// moved\nexport default {\n methods: { m(a: A) {} } }")]
+    assert found(spark, base, spark.createDataFrame(same, EXTRACTED).drop("seq")) == []
+
+
+def test_kind_mismatch_fails(spark):
+    base = frame(spark, ("sw-c", "export default { props: { p: A } }"))
+    rows = [x | {"fqn": "vue.sw-c.prop.p"} if "method" in x["fqn"] else x for x in surfaces_of("a/sw-c/x.ts", b"export default { methods: { p() {} } }")]
+    new = spark.createDataFrame(rows, EXTRACTED).drop("seq")
+    assert [r["fqn"] for r in d.mismatches(base, new).collect()] == ["vue.sw-c.prop.p"]
+    with pytest.raises(Exception, match="signature kinds differ"):
+        d.diff(base, new).collect()
+
+
+def test_upsert_and_duplicates(spark):
+    rows = [x for path in ("a/sw-c/x.ts", "b/sw-c/x.ts") for x in surfaces_of(path, b"export default { emits: ['a', 'a'] }")]
+    df = spark.createDataFrame(rows, EXTRACTED)
+    kept = {r["fqn"]: r for r in s.upsert(df).collect()}
+    assert {k: r["file_path"] for k, r in kept.items()} == {"vue.sw-c": "b/sw-c/x.ts", "vue.sw-c.emit.a": "b/sw-c/x.ts"}
+    assert kept["vue.sw-c.emit.a"]["source_token"]["source_range"]["start_byte"] > 27
+    assert {r["fqn"]: r["n"] for r in s.duplicates(df).collect()} == {"vue.sw-c": 2, "vue.sw-c.emit.a": 4}
+    assert {r["file_path"]: r["n"] for r in s.file_counts(df).collect()} == {"a/sw-c/x.ts": 3, "b/sw-c/x.ts": 3}
