@@ -30,7 +30,7 @@ from .hashing import Ranges, U, mix
 from .texts import distinct_texts, small
 
 PIECE = 1 << 20  # windows handled at once
-TREE_LIMIT = 512
+TREE_LIMIT = 8192
 
 
 def _least(key: np.ndarray, w: int) -> np.ndarray:
@@ -178,17 +178,27 @@ def _contexts(length: int, k: int):
     return run
 
 
-def _trees(length: int):
-    """Rows (h, cx, left, right) sorted by h to the maximal repeats: (h, cx, before, after, repeat), a row for each occurrence."""
+def _trees(length: int, reach: bool):
+    """Rows (h, cx, left, right) sorted by h to the maximal repeats: (h, cx, before, after, repeat), a row for each occurrence.
+
+    With reach only the furthest before and after of each occurrence, repeat null.
+    """
 
     def run(batches):
         h, cx, lefts, rights = None, [], [], []
         out: list[tuple] = []
 
         def close():
-            if len(cx) > 1:
-                for i, (before, after, who) in enumerate(maximal_repeats(lefts, rights, length)):
+            if len(cx) < 2:
+                return
+            far = np.zeros((2, len(cx)), np.int64)
+            for i, (before, after, who) in enumerate(maximal_repeats(lefts, rights, length)):
+                if reach:
+                    far[0, who] = np.maximum(far[0, who], before)
+                    far[1, who] = np.maximum(far[1, who], after)
+                else:
                     out.extend((h, cx[j], before, after, i) for j in who.tolist())
+            out.extend((h, cx[j], int(far[0, j]), int(far[1, j]), None) for j in np.flatnonzero(far[1]).tolist())
 
         def flush():
             cols = list(zip(*out, strict=True))
@@ -212,17 +222,18 @@ def _trees(length: int):
     return run
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """(h, cx, before, after) of the contexts of very frequent anchors: the reach of their windows that occur again."""
+def _counted(contexts: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """(h, cx, before, after) of the contexts of very frequent anchors: the reach of their windows that occur again; and a written path."""
     w = contexts.select("h", "cx", F.length("left").alias("n"), "left", "right")
     # both sides as one string of hex digits in reading order, two for each byte
     text = F.concat(F.array_join(F.reverse(F.regexp_extract_all(F.hex("left"), F.lit("(..)"), F.lit(1))), ""), F.hex("right"))
     w = w.select("h", "cx", "n", text.alias("t")).where(F.length("t") >= 2 * length)
     w = w.select("h", "cx", "n", F.explode(F.expr(f"transform(sequence(0, least(n, cast(length(t) / 2 as int) - {length})), i -> struct(i, unhex(substr(sha2(substr(t, 2 * i + 1, {2 * length}), 256), 1, 32)) AS d))")).alias("x")).select("h", "cx", (F.col("n") - F.col("x.i")).alias("before"), "x.d")
     # the place of the anchor counts too: two anchors of one text may be near enough to share a window
+    w, path = table(w, "windows")
     again = w.groupBy("h", "before", "d").agg(F.count("*").alias("c")).where("c > 1").select("h", "before", "d")
     found = w.join(again, ["h", "before", "d"])
-    return found.groupBy("h", "cx").agg(F.max("before").cast("long").alias("before"), F.max(length - F.col("before")).cast("long").alias("after"))
+    return found.groupBy("h", "cx").agg(F.max("before").cast("long").alias("before"), F.max(length - F.col("before")).cast("long").alias("after")), path
 
 
 def _merge(batches):
@@ -260,30 +271,32 @@ def _kept(length: int):
     return run
 
 
-def repeat_groups(texts: DataFrame, length: int = 200, k: int = 64, tree_limit: int = TREE_LIMIT) -> tuple[DataFrame, DataFrame, list[str]]:
+def repeat_groups(texts: DataFrame, length: int = 200, k: int = 64, tree_limit: int = TREE_LIMIT, reach: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """Repeats in texts (tid, text): (anchors (h, cx, tid, pos), groups (h, cx, before, after, repeat), written paths).
 
     The bytes pos - before to pos + after of an anchor's occurrence are an occurrence of the repeat (h, repeat); those of
-    contexts that occur more than once and of very frequent anchors are given with repeat null.
+    contexts that occur more than once and of very frequent anchors are given with repeat null. With reach, the groups
+    are summed up to how far an occurrence's repeats go.
     """
     spark = texts.sparkSession
     every, every_path = table(map_arrow(texts.select("tid", "text"), _anchored(length, k), "h long, cx long, tid long, pos long"), "anchors")
     often, often_path = table(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    found, found_path = table(every.join(small(often, 2_000_000), "h"), "found")
+    found, found_path = table(every.join(small(often, 1_000_000), "h"), "found")
     drop(spark, every_path, often_path)
     by, by_path = table(found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "pos")).alias("one")), "contexts")
     wide, wide_path = table(by.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
-    at = by.join(small(wide, 2_000_000), "h").select("one.tid", F.struct("h", "cx", F.col("one.pos").alias("pos")).alias("x")).groupBy("tid").agg(F.collect_list("x").alias("at"))
+    at = by.join(small(wide, 1_000_000), "h").select("one.tid", F.struct("h", "cx", F.col("one.pos").alias("pos")).alias("x")).groupBy("tid").agg(F.collect_list("x").alias("at"))
     at, at_path = table(at, "places")
     near, near_path = table(map_arrow(texts.select("tid", "text").join(small(at, 200_000), "tid").select("text", "at"), _contexts(length, k), "h long, cx long, left binary, right binary"), "sides")
     hot = wide.where(F.col("m") > tree_limit).select("h")
     hot = small(hot)
-    trees = map_arrow(near.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h"), _trees(length), "h long, cx long, before long, after long, repeat long")
-    counted = _counted(near.join(hot, "h"), length).withColumn("repeat", F.lit(None).cast("long"))
+    trees = map_arrow(near.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h"), _trees(length, reach), "h long, cx long, before long, after long, repeat long")
+    counted, windows_path = _counted(near.join(hot, "h"), length)
+    counted = counted.withColumn("repeat", F.lit(None).cast("long"))
     # a context that occurs again is a repeat as a whole; how far it reaches is clipped to the text when spans are cut
     whole = by.where("n > 1").select("h", "cx", F.lit(length - k).cast("long").alias("before"), F.lit(length).cast("long").alias("after"), F.lit(None).cast("long").alias("repeat"))
     groups, groups_path = table(trees.unionByName(counted).unionByName(whole), "repeats")
-    drop(spark, by_path, wide_path, at_path, near_path)
+    drop(spark, by_path, wide_path, at_path, near_path, windows_path)
     return found, groups, [found_path, groups_path]
 
 
@@ -291,13 +304,14 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: every byte of a string of ``length`` bytes that starts elsewhere too is removed."""
     spark = docs.sparkSession
     texts, texts_path, rows, _ = distinct_texts(docs, id_col, text_col)
-    found, groups, paths = repeat_groups(texts, length, k, tree_limit)
-    reach = groups.groupBy("h", "cx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    found, groups, paths = repeat_groups(texts, length, k, tree_limit, reach=True)
+    # written, so that the join's sides are plain shuffles and an occurrence in very many texts can be split
+    reach, reach_path = table(groups.groupBy("h", "cx").agg(F.max("before").alias("before"), F.max("after").alias("after")), "reach")
     spans = found.join(reach, ["h", "cx"]).select("tid", F.greatest(F.col("pos") - F.col("before"), F.lit(0)).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
     spans = map_arrow(spans.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), _merge, "tid long, starts array<long>, ends array<long>")
     spans, spans_path = table(spans, "spans")
     small_spans = small(spans, 200_000)
     out = texts.join(small_spans, "tid", "left").select("key", "text", "n_rows", "starts", "ends")
     out, _ = table(map_arrow(out, _kept(length), "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
-    drop(spark, texts_path, spans_path, *paths)
+    drop(spark, texts_path, spans_path, reach_path, *paths)
     return rows.join(out.dropDuplicates(["key"]), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
