@@ -40,9 +40,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     is_letter = letters()[a]
     if not is_letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = np.where(is_letter, a, 32)
-    c = np.concatenate([[32], c[(c != 32) | np.concatenate([[True], c[1:] != 32])], [32]]).astype(np.uint32)
-    c = c[~((c == 32) & np.concatenate([[False], c[:-1] == 32]))]
+    c = np.concatenate([[32], np.where(is_letter, a, 32), [32]]).astype(np.uint32)
+    c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
     grams, h = [], np.zeros(len(c), np.uint32)
     for n in range(1, 4):
         h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] * np.uint32(0x9E3779B1)
@@ -189,10 +188,10 @@ def _predict(model: Model):
     return run
 
 
-def _recognised(model: Model, text_col: str, least: float):
+def _recognised(model: Model, at: int, least: float):
     def run(batches):
         for b in batches:
-            got = [model(t) for t in b.column(text_col).to_pylist()]
+            got = [model(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != "und" and p >= least for lang, p in got], pa.bool_()))
 
     return run
@@ -200,7 +199,9 @@ def _recognised(model: Model, text_col: str, least: float):
 
 def recognised(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose text has a language with a score of at least ``least``."""
-    return map_arrow(docs, _recognised(fitted(docs, sample, id_col, text_col, lang_col), text_col, least), docs.schema)
+    model = fitted(docs, sample, id_col, text_col, lang_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any names may come in
+    return map_arrow(plain, _recognised(model, docs.columns.index(text_col), least), plain.schema).toDF(*docs.columns)
 
 
 def held_out(id_: Column) -> Column:

@@ -63,15 +63,13 @@ class Prefixes:
 
 
 def _cells(ends: DataFrame, zones: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
-    """Cells of the prefix ends within zones (inclusive bounds), about ``bins`` of equal width in all."""
-    width = max(1, -(-sum(b - a + 1 for a, b in zones) // bins))
-    cell, base = F.lit(None).cast("long"), 0
-    keep = F.lit(False)
-    for a, b in zones:
+    """Cells of the prefix ends within zones (inclusive bounds): the zones share ``bins``, but each is cut in two at least."""
+    each = max(2, bins // len(zones))
+    cell, keep = F.lit(None).cast("long"), F.lit(False)
+    for i, (a, b) in enumerate(zones):
         here = F.col("end").between(a, b)
         keep = keep | here
-        cell = F.when(here, F.lit(base) + F.floor((F.col("end") - a) / width)).otherwise(cell)
-        base += (b - a) // width + 1
+        cell = F.when(here, F.lit(i * (each + 1)) + F.floor((F.col("end") - a) / -(-(b - a + 1) // each))).otherwise(cell)
     got = ends.where(keep).groupBy(cell.alias("cell")).agg(F.min("end"), F.max("end"), F.count("*")).collect()
     return [(r[1], r[2], r[3]) for r in got]
 

@@ -1,0 +1,72 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from tessel.llm import topk
+
+
+def brute(rows, every=50, k=5, scale=256):
+    sound = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, q in sound:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in sound if j != i)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, v int, q string")
+
+
+def vectors(n, d, seed, spread=0.3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(8, d))
+    x = middle[rng.integers(0, 8, n)] + spread * rng.normal(size=(n, d))
+    return [(i, [float(np.float32(a)) for a in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("block", [topk.BLOCK, 37])
+def test_against_brute_force(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    data = vectors(700, 24, 1)
+    assert rows(topk.top(frame(spark, data).repartition(3))) == sorted(brute(data), key=repr)
+
+
+def test_ties_odd_and_short(spark, rows):
+    data = [(i, [0.5, 0.25]) for i in range(120)] + [(200, None), (250, [None, 1.0]), (300, [math.nan, 1.0]), (350, [math.inf, 0.0]), (None, [1.0, 1.0]), (400, []), (401, [1.0]), (450, [-1.0, 2.0, 3.0]), (500, [0.0, 0.0])]
+    assert rows(topk.top(frame(spark, data))) == sorted(brute(data), key=repr)
+    assert rows(topk.top(frame(spark, data[:3]))) == [(0, 1, 1, 20480), (0, 2, 2, 20480)]
+    assert rows(topk.top(frame(spark, data).where("false"))) == []
+
+
+def test_repeated_ids(spark, rows):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0])]
+    assert rows(topk.top(frame(spark, data), k=2)) == sorted([(0, 1, 1, 32768), (0, 2, 2, 16384)] * 2, key=repr)
+
+
+def test_query_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    data = vectors(300, 8, 2)
+    assert rows(topk.top(frame(spark, data), every=20)) == sorted(brute(data, 20), key=repr)
+
+
+def test_large_components(spark, rows):
+    rng = random.Random(3)
+    data = [(i, [float(np.float32(rng.choice([1e6, -1e6, 1.0]) * rng.random())) for _ in range(4)]) for i in range(60)]
+    assert rows(topk.top(frame(spark, data))) == sorted(brute(data), key=repr)
+
+
+def test_index_stops_early_and_keeps_members():
+    x = np.array([v for _, v in vectors(2000, 32, 4, 0.05)])
+    x = np.floor(256 * x).astype(np.int64)
+    index = topk.Index(x)
+    q = x[:20]
+    a, c = index.possible(q, np.full(20, -np.inf), 6)
+    true = q @ x.T
+    for i in range(20):
+        worst = np.sort(true[i])[-6]
+        assert set(np.flatnonzero(true[i] >= worst)) <= set(c[a == i])
+    assert len(a) < 0.5 * true.size
