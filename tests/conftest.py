@@ -1,4 +1,3 @@
-import os
 import sys
 from pathlib import Path
 
@@ -6,8 +5,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
-TESTDATA = Path(os.environ.get("TESSEL_TESTDATA", "/root/testdata"))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from support import TESTDATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -37,15 +37,3 @@ def duck():
     for p in folder.glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
     return con
-
-
-def agrees(spark, duck, query, sql):
-    """The query's rows as multiset, and the SQL's."""
-    df = query(spark, str(TESTDATA / "sf0.001"))
-    columns = sorted(df.columns)
-    mine = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
-    cur = duck.execute(sql)
-    names = [x[0] for x in cur.description]
-    assert sorted(names) == columns
-    at = [names.index(c) for c in columns]
-    assert mine == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())

@@ -1,5 +1,5 @@
 import pytest
-from conftest import TESTDATA, agrees
+from support import TESTDATA, agrees
 
 from tessel.plans import queries
 
