@@ -6,7 +6,7 @@ what a set holds in one partition's parts without some k2 of them. Sets that lin
 every pair is verified on the whole sets.
 
 Pairs are found without emitting all pairs of a bucket: members are first compared with one member of their bucket,
-the one with most company; links are contracted to components, and only buckets that still span several components go
+the one that shares most buckets; links are contracted to components, and only buckets that still span several components go
 on, with a bounded block of further members as centres each round, until every pair across components has been
 compared or contracted. Comparisons first take small parity sketches, which bound the difference of two sets from
 below, so only pairs that may link move on to be verified. No link is lost and no bucket is capped.
@@ -25,57 +25,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, map_arrow, table, text_key
+from .common import column, drop, map_arrow, release, table, text_key
 from .components import components
 from .hashing import BASE, U, mix, shingle_sets
 from .texts import distinct_texts, small
 
 
 CENTRES = 4096  # of a bucket in a round, at most
+MARKS = 1 << 25  # bits that tell which signatures may occur twice
 SALT = 4096  # members of a bucket that one task compares
 
 
-def band(size: int) -> tuple[int, int]:
-    """Number and least size of the band of a set size; each band reaches to 1.5 times its least size."""
-    t, low = 0, 1
-    while size > low * 3 // 2:
-        t, low = t + 1, low * 3 // 2 + 1
-    return t, low
-
-
 class PartEnum:
     """Signatures for Jaccard similarity of percent / 100 or more."""
 
     def __init__(self, percent: int):
-        assert 67 <= percent <= 100, "bands reach to 1.5 times their least size"
+        assert 67 <= percent <= 100, "a partner's size must lie in the same band or the next"
         self.percent = percent
-
-    def plan(self, most: int) -> tuple[int, int, int]:
-        """n1, n2, k2 for sets of at most so many elements: any two that link differ in at most K elements."""
+        self.ratio = (5, 4) if percent >= 80 else (3, 2)  # of a band's largest size to its least
+        self.slack = 5 if percent < 85 else 10  # one spare partition for so many
+
+    def band(self, size: int) -> tuple[int, int, int]:
+        """Number, least and largest size of the band of a set size."""
+        num, den = self.ratio
+        t, low = 0, 1
+        while size > max(low, low * num // den):
+            t, low = t + 1, max(low, low * num // den) + 1
+        return t, low, max(low, low * num // den)
+
+    def plan(self, most: int) -> tuple[int, int, int, int]:
+        """n1, spare, n2, k2 for sets of at most so many elements: any two that link differ in at most K elements.
+
+        Of n1 + spare partitions, at least 1 + spare have at most k2 different parts.
+        """
         differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        n2, k2 = (1, 0) if differ == 0 else (3, 1) if differ < 8 else (2, 1)
-        return -(-(differ + 1) // (k2 + 1)), n2, k2
+        if not differ:
+            return 1, 0, 1, 0
+        n1 = differ // 2 + 1
+        return n1, -(-n1 // self.slack), 3 if differ < 8 else 2, 1
 
     def tags(self, size: int) -> list[tuple[int, int]]:
         """(band, largest size) of the bands in which a set of that size has signatures: its own, and the next if a partner may be there."""
-        t, low = band(size)
-        top, after = low * 3 // 2, low * 3 // 2 + 1
-        return [(t, top)] + ([(t + 1, after * 3 // 2)] if size * 100 >= self.percent * after else [])
+        t, _, top = self.band(size)
+        return [(t, top)] + ([(t + 1, self.band(top + 1)[2])] if size * 100 >= self.percent * (top + 1) else [])
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
-        """All signatures of a set of hashes."""
+        """All signatures of a set of hashes.
+
+        What an empty part says is shared by unrelated sets. A set that has such signatures in no more partitions than
+        there are spare ones leaves them out: in one of the partitions where it agrees with a partner, it has none.
+        """
         out = []
         for t, most in self.tags(len(x)):
-            n1, n2, k2 = self.plan(most)
+            n1, spare, n2, k2 = self.plan(most)
+            n = n1 + spare
             y = mix(x + U((t + 1) * BASE % 2**64))
-            part = ((y >> U(33)) % U(n1 * n2)).astype(np.int64)
+            part = ((y >> U(33)) % U(n * n2)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(y[order]))])
-            ends = np.searchsorted(part[order], np.arange(n1 * n2 + 1))
-            held = (sums[ends[1:]] - sums[ends[:-1]]).reshape(n1, n2)
-            seed = mix(np.arange(n1, dtype=U) + U(t << 32))
-            for i, kept in enumerate(combinations(range(n2), n2 - k2)):
-                out.append(mix(held[:, list(kept)].sum(axis=1, dtype=U) * U(BASE) + seed + U(i)))
+            ends = np.searchsorted(part[order], np.arange(n * n2 + 1))
+            held, size = (sums[ends[1:]] - sums[ends[:-1]]).reshape(n, n2), np.diff(ends).reshape(n, n2)
+            seed = mix(np.arange(n, dtype=U) + U(t << 32))
+            subsets = [list(kept) for kept in combinations(range(n2), n2 - k2)]
+            signs = np.array([mix(held[:, kept].sum(axis=1, dtype=U) * U(BASE) + seed + U(i)) for i, kept in enumerate(subsets)])
+            empty = np.array([size[:, kept].sum(axis=1) == 0 for kept in subsets])
+            out.append(signs[~empty] if empty.any(axis=0).sum() <= spare else signs.ravel())
         return np.concatenate(out)
 
 
@@ -83,24 +97,30 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
 
 
-def _signer(words: int, percent: int):
+def _signer(words: int, percent: int, marks: np.ndarray | None = None):
+    """Rows (tid, text) to (sig, tid); with marks only the signatures whose bit is set."""
+
     def run(batches):
         p = PartEnum(percent)
         for b in batches:
             tids, sigs = [], []
             for tid, x in zip(b.column("tid").to_pylist(), shingle_sets(_texts(b), words), strict=True):
                 if len(x):
-                    sigs.append(p.signatures(x))
-                    tids.append(np.full(len(sigs[-1]), tid, np.int64))
+                    s = p.signatures(x)
+                    if marks is not None:
+                        at = s & U(MARKS - 1)
+                        s = s[(marks[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1]
+                    sigs.append(s)
+                    tids.append(np.full(len(s), tid, np.int64))
             if tids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(tids))], ["sig", "tid"])
 
     return run
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """Parities of a set's elements over 2^j >= 2n buckets: two sets differ in at least as many elements as their sketches in bits."""
-    bits = max(512, 1 << (2 * len(x) - 1).bit_length())
+def sketch(x: np.ndarray, wide: int = 1) -> bytes:
+    """Parities of a set's elements over 2^j >= wide * n buckets: two sets differ in at least as many elements as their sketches in bits."""
+    bits = max(512, 1 << (wide * len(x) - 1).bit_length())
     odd = np.bincount((x >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -136,7 +156,8 @@ def _setter(words: int, whole: bool):
             if whole:
                 offsets = np.cumsum([0, *[len(x) for x in sets]]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                out, names = [*out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*names, "hs"]
+                out += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([sketch(x, 4) for x in sets], pa.binary())]
+                names += ["hs", "sk"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
@@ -208,32 +229,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").where(both * 100 >= (F.col("nu") + F.col("nv") - both) * percent).select("u", "v")
 
 
+def _paired(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (u, v) that neither sizes nor sketches rule out."""
+    u, v = (sketches.select(F.col("tid").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}")) for x in "uv")
+    pairs = pairs.join(v, "v").join(u, "u").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    return map_arrow(pairs.select("u", "v", "nu", "nv", "su", "sv"), _may_link(percent), "u long, v long")
+
+
+def _marks(sigs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (MARKS bits) with the low bits of all signatures set."""
+    at = F.col("sig").bitwiseAND(F.lit(MARKS - 1))
+    words = sigs.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(sig & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, U)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(U)
+    return out
+
+
 def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
     """(node, root) of the texts that link with another."""
     spark = texts.sparkSession
-    sigs, sigs_path = table(map_arrow(texts.select("tid", "text"), _signer(words, percent), "sig long, tid long"), "sigs")
-    often, often_path = table(sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "often")
-    buckets, buckets_path = table(sigs.join(small(often), "sig"), "buckets")
-    # the more company a text has in all its buckets, the nearer it is to the middle of its kind
-    members, members_path = table(buckets.groupBy("tid").agg(F.sum("size").alias("company")), "members")
+    # signatures are made anew for each use: cheaper in disk than to keep. The second time a bitmap of fixed size rules
+    # out most that occur once; the join that follows is exact however full it is.
+    sign = lambda marks: map_arrow(texts.select("tid", "text"), _signer(words, percent, marks), "sig long, tid long")
+    often, often_path = table(sign(None).groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig"), "often")
+    release(spark)
+    buckets, buckets_path = table(sign(_marks(often)).join(small(often), "sig"), "buckets")
+    release(spark)
+    # buckets of the same members ask for the same comparisons
+    alike = buckets.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("tid") % (1 << 31)).alias("a"), F.expr("bit_xor(xxhash64(tid, 1))").alias("b"))
+    one, one_path = table(alike.groupBy("size", "a", "b").agg(F.min("sig").alias("sig")).select("sig"), "one")
+    kept, kept_path = table(buckets.join(small(one), "sig"), "kept")
+    # the more buckets a text shares, the nearer it is to the middle of its kind
+    members, members_path = table(buckets.groupBy("tid").agg(F.count("*").alias("company")), "members")
     own = texts.select("tid", "text").join(small(members), "tid")
     sketches, sketches_path = table(map_arrow(own.select("tid", "text"), _sketches(words), "tid long, n long, sk binary").join(members, "tid"), "sketches")
-    ranked, ranked_path = table(buckets.join(members, "tid").select("sig", "tid", "company"), "ranked")
-    drop(spark, sigs_path, often_path, buckets_path)
+    ranked, ranked_path = table(kept.join(members, "tid").select("sig", "tid", "company"), "ranked")
+    drop(spark, often_path, buckets_path, one_path, kept_path)
 
     centre = ranked.groupBy("sig").agg(F.max(F.struct("company", "tid")).alias("c")).select("sig", F.col("c.tid").alias("u"))
     pairs = ranked.join(centre, "sig").where("tid <> u").select("u", F.col("tid").alias("v")).distinct()
-    u, v = (sketches.select(F.col("tid").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}")) for x in "uv")
-    pairs = pairs.join(v, "v").join(u, "u").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    pairs, pairs_path = table(map_arrow(pairs.select("u", "v", "nu", "nv", "su", "sv"), _may_link(percent), "u long, v long"), "pairs")
+    pairs, pairs_path = table(_paired(pairs, sketches, percent), "pairs")
 
     def links_of(pairs: DataFrame) -> tuple[DataFrame, str]:
         who = pairs.select(F.col("u").alias("tid")).unionByName(pairs.select(F.col("v").alias("tid"))).distinct()
         who, who_path = table(who, "who")
-        sets = map_arrow(texts.select("tid", "text").join(small(who), "tid"), _setter(words, True), "tid long, n long, hs array<long>")
+        sets = map_arrow(texts.select("tid", "text").join(small(who), "tid"), _setter(words, True), "tid long, n long, hs array<long>, sk binary")
         sets, sets_path = table(sets, "sets", "lz4")
-        out = table(_verified(pairs, sets, percent), "verified")
-        drop(spark, who_path, sets_path)
+        near, near_path = table(_paired(pairs, sets, percent), "near")
+        out = table(_verified(near, sets, percent), "verified")
+        drop(spark, who_path, sets_path, near_path)
         return out
 
     links, links_path = links_of(pairs)

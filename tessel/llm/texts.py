@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import column, drop, table, text_key
 
-BROADCAST_ROWS = 500_000  # of at most some 60 bytes each
+BROADCAST_ROWS = 200_000  # of at most some 60 bytes each
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
