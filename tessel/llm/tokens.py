@@ -5,7 +5,7 @@ every stripe has row indexes, and document ids have Bloom filters, so a reader c
 those that lack an id. ``read`` gives the documents back; ``positions`` adds what only the files tell.
 
 Words recur, and white space always ends a token, so each worker keeps the ids of words that it has encoded, up to a
-bound; the ids are those of the whole text.
+bound; the ids are those of the whole text. That holds for tokenizers that split at all white space, as the one meant does.
 
 Defined results: a null text is empty and has the end id only; rows with equal ids keep an order that the files fix;
 null ids come first; an empty table gives empty files and no rows; extra columns are ignored.
@@ -13,76 +13,151 @@ null ids come first; an empty table gives empty files and no rows; extra columns
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, table
+from .common import column, map_arrow, small_batches, table
 
-SPACE = re.compile(r"[ \t\n\r]+")
-CACHED_WORDS = 300_000
+TO_LOWER = bytes(range(256)).lower()
+#: Letters that need no normalising (a-z and those of Latin-1), and ASCII punctuation after them.
+SHAPE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+CACHED_WORDS = 400_000
+CHUNK = 250  # texts whose words are looked up together
 _coders: dict[str, Coder] = {}
 
 
+class Recent:
+    """Ids of words (now); forgets those that were not asked for while ``limit`` others came in."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def lacking(self, words: set[bytes]) -> list[bytes]:
+        """Those of the words that are not here; from now on all others are."""
+        new = words.difference(self.now)  # a plain dict, else all of it would be gone through
+        if len(self.now) + len(new) > self.limit:
+            self.now, self.old, new = {}, self.now, words
+        out, old, now = [], self.old, self.now
+        for w in new:
+            if w in old:
+                now[w] = old[w]
+            else:
+                out.append(w)
+        return out
+
+
 class Coder:
-    """Whole texts to ids by a tokenizer that never joins over white space; bounded memory of words."""
+    """Whole texts to ids by a tokenizer that never joins over white space; bounded memory of words.
 
-    def __init__(self, path: str):
-        import os
+    Most words are letters and then punctuation, whose ids are those of the two parts. Where the tokenizer marks the
+    ends of words, its letters go through a copy of it that leaves out the normalising that they don't need.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words, many at a time; offsets tell which ids are whose."""
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            starts = np.fromiter(map(_first, got.offsets), np.int64, len(got))
-            ids, cuts = np.array(got.ids, "<u4"), np.searchsorted(starts, ends)
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(some, (cuts * 4).tolist(), strict=True):
-                self.words[w] = raw[at:to]
-                at = to
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.full.get_vocab(with_added_tokens=True)
+        suffix = getattr(self.full.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.words, self.letters = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
+        probe = [b"the", b"quick", b"na\xc3\xafve", b"z\xc3\xbf\xc3\x9f", b"x"]
+        self.simple = False
+        if suffix and self._letters(probe) is not None:
+            whole = lambda t: np.array(self.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            self.simple = all(whole(f"{w.decode().upper()}, {w.decode()}!?)") == self.letters.now[w] + whole(",") + self.letters.now[w] + whole("!?)") for w in probe if w.isascii())
+            self.simple &= all(whole(w.decode()) == self.letters.now[w] for w in probe)
+
+    def _letters(self, some: list[bytes]) -> bool | None:
+        """Encode words of lower-case letters; None if the ids don't show where words end."""
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(some):
+            return None
+        raw, at = ids.tobytes(), 0
+        for w, to in zip(some, (cuts * 4).tolist(), strict=True):
+            self.letters.now[w] = raw[at:to]
+            at = to
+        return True
+
+    def _others(self, some: list[bytes]) -> None:
+        """Encode any words; offsets tell which ids are whose."""
+        text = [w.decode() for w in some]
+        got = self.full.encode(" ".join(text), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in text])
+        starts = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got))
+        raw, at = np.array(got.ids, "<u4").tobytes(), 0
+        for w, to in zip(some, (np.searchsorted(starts, ends) * 4).tolist(), strict=True):
+            self.words.now[w] = raw[at:to]
+            at = to
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put the ids of words into self.words."""
+        split, cores, others, words = [], set(), set(), self.words.now
+        for w in new:
+            m = SHAPE.fullmatch(w) if self.simple else None
+            if m is None:
+                others.add(w)
+                continue
+            core, tail = m.groups()
+            split.append((w, core, tail))
+            cores.add(core)
+            if tail and tail not in words:
+                others.add(tail)
+        cores = self.letters.lacking(cores)
+        for wanted, encode in ((sorted(cores), self._letters), (sorted(others), self._others)):
+            for i in range(0, len(wanted), 4096):
+                encode(wanted[i : i + 4096])
+        letters = self.letters.now
+        for w, core, tail in split:
+            words[w] = letters[core] + words[tail] if tail else letters[core]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out = []
-        for t in range(0, len(texts), 64):
-            split = [SPACE.split(x) for x in texts[t : t + 64]]
-            new = set(chain.from_iterable(split)).difference(self.words)
-            if new:
-                if len(self.words) + len(new) > CACHED_WORDS:
-                    new = set(chain.from_iterable(split))
-                self.learn(sorted(new))
-            out += [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for t in range(0, len(texts), CHUNK):
+            split = [self.split(x) for x in texts[t : t + CHUNK]]
+            every = set(chain.from_iterable(split))
+            self.learn(self.words.lacking(every))
+            out += [b"".join(map(self.words.now.__getitem__, words)) for words in split]
         return out
 
+    def split(self, text: str) -> list[bytes]:
+        """The text's words in UTF-8. A-Z is lower-cased where that can't matter: no combining marks, no special tokens."""
+        data = text.encode()
+        if self.simple and not (b"\xcc" in data or b"\xcd" in data or b"<|" in data):
+            data = data.translate(TO_LOWER)
+        return data.split()
+
 
-def _first(pair):
-    return pair[0]
+def coder(path: str) -> Coder:
+    """This process's coder: what tasks call by name keeps its words from one task to the next."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
 
 
 def _encode(path: str, end: int):
     def run(batches):
-        if path not in _coders:
-            _coders[path] = Coder(path)
+        encode = coder(path)
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.slice(i, 500)
-                ids = [x + last for x in _coders[path]([t or "" for t in part.column("text").to_pylist()])]
+                ids = [x + last for x in encode([t or "" for t in part.column("text").to_pylist()])]
                 offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
@@ -98,7 +173,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     coded = map_arrow(rows, _encode(tokenizer, end), "doc_id long, ids array<int>")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride)}
-    coded.select("doc_id", F.monotonically_increasing_id().alias("pos"), "ids").write.options(**options).orc(path)
+    with small_batches(docs.sparkSession):
+        coded.select("doc_id", F.monotonically_increasing_id().alias("pos"), "ids").write.options(**options).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
