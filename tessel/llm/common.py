@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import shutil
+import gc
 import tempfile
 import uuid
-from pathlib import Path
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow
+
+__all__ = ["ascii_lower", "column", "drop", "map_arrow", "release", "shared_dir", "small_batches", "table", "text_key"]
+BATCH = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,14 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Python gets few rows at once in jobs that are planned meanwhile: whole texts are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """df written as Parquet into the shared folder and reread, and its path: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Give memory back, and let Spark delete the shuffle files of frames that are no longer held: it waits for the driver's garbage collector."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written intermediate tables through Hadoop's file systems."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -40,16 +65,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow(f, schema), with this package sent to the executors once."""
-    context = df.sparkSession.sparkContext
-    if not getattr(context, "_tessel_sent", False):
-        root = Path(__file__).resolve().parents[2]
-        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tessel-')}/tessel", "zip", root, "tessel"))
-        context._tessel_sent = True
-    return df.mapInArrow(f, schema)
-
-
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(col, UPPER, UPPER.lower())

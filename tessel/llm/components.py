@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, table
+from .common import drop, release, table
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -33,4 +33,5 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
     out, out_path = table(nodes, "components")
     drop(spark, path)
+    release(spark)
     return out, out_path

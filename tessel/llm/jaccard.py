@@ -265,6 +265,7 @@ def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
     sketches, sketches_path = table(map_arrow(own.select("tid", "text"), _sketches(words), "tid long, n long, sk binary").join(members, "tid"), "sketches")
     ranked, ranked_path = table(kept.join(members, "tid").select("sig", "tid", "company"), "ranked")
     drop(spark, often_path, buckets_path, one_path, kept_path)
+    release(spark)
 
     centre = ranked.groupBy("sig").agg(F.max(F.struct("company", "tid")).alias("c")).select("sig", F.col("c.tid").alias("u"))
     pairs = ranked.join(centre, "sig").where("tid <> u").select("u", F.col("tid").alias("v")).distinct()
@@ -278,6 +279,7 @@ def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
         near, near_path = table(_paired(pairs, sets, percent), "near")
         out = table(_verified(near, sets, percent), "verified")
         drop(spark, who_path, sets_path, near_path)
+        release(spark)
         return out
 
     links, links_path = links_of(pairs)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow
+from .common import column, map_arrow, release
 
 DIM = 1 << 15
 SAMPLE = 4000
@@ -162,14 +162,18 @@ def train(learn: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> Model:
     for k, i in enumerate(order):
         ids = rows["ids"][i].values.to_numpy().astype(np.int64)
         if len(ids):
-            x = np.append(_weigh(rows["counts"][i].values.to_numpy(), idf[ids]), 1.0)
-            (held if k % 5 == 4 else docs).append((np.append(ids, DIM), x, languages.index(rows["lang"][i].as_py())))
+            x = np.append(_weigh(rows["counts"][i].values.to_numpy(), idf[ids]), 1.0).astype(np.float32)
+            (held if k % 5 == 4 else docs).append((np.append(ids, DIM).astype(np.int32), x, languages.index(rows["lang"][i].as_py())))
+    del rows
     for _ in range(epochs):
         for d in docs:
             fit.learn(*d)
     w = fit.weights()
     scores = np.array([x @ w[ids] for ids, x, _ in held]).reshape(len(held), len(languages))
-    return Model(languages, w.astype(np.float32), idf.astype(np.float32), calibrate(scores, np.array([y for *_, y in held], np.int64)))
+    model = Model(languages, w.astype(np.float32), idf.astype(np.float32), calibrate(scores, np.array([y for *_, y in held], np.int64)))
+    del docs, held, fit
+    release(learn.sparkSession)
+    return model
 
 
 def hash_order(rows, i) -> tuple:
