@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, drop, table, text_key
 
 SUBS = 1024  # slices of a shard in which rows get their slots
+FINE = 64  # cells of a mean shard, at least
 
 
 class Prefixes:
@@ -75,7 +77,7 @@ def _cells(ends: DataFrame, zones: list[tuple[int, int]], bins: int) -> list[tup
 
 
 def _cuts(ends: DataFrame, total: int, largest: int, shards: int, bins: int) -> tuple[int, list[int]]:
-    """The exact minimax capacity and, for it, the prefix ends after which to cut, as even as the sketch shows."""
+    """The exact minimax capacity and, for it, the prefix ends after which to cut, as evenly as the sketch shows."""
     known = Prefixes(_cells(ends, [(1, total)], bins), total)
     lo, hi = max(largest, -(-total // shards)), total
     while True:
@@ -96,21 +98,71 @@ def _cuts(ends: DataFrame, total: int, largest: int, shards: int, bins: int) ->
         zones = _joined(zones, known.cells, 4 * shards)
         rest = [c for c in known.cells if not any(a <= c[0] and c[1] <= b for a, b in zones)]
         known.set(rest + _cells(ends, zones, bins))
-    capacity, cuts, pos = hi, [], 0
-    for k in range(1, shards):
-        left = shards - k
-        aim = pos + (total - pos) // (left + 1)
-        choices = [known.floor(aim, False), known.floor(pos + capacity, False)]
-        a, b = bisect_right(known.least, aim) - 1, bisect_right(known.least, choices[1]) - 1
-        fits = lambda p: pos <= p <= pos + capacity and known.path(capacity, left, False, p)[-1] >= total
-        if not fits(choices[0]):  # a later cut leaves less, so the first that fits is found by halving
-            while a < b:
-                mid = (a + b) // 2
-                a, b = (a, mid) if fits(known.cells[mid][0]) else (mid + 1, b)
-            choices[0] = known.cells[b][0] if fits(known.cells[b][0]) else choices[1]
-        pos = choices[0]
-        cuts.append(pos)
-    return capacity, cuts
+    while zones := _wide(known, shards):
+        rest = [c for c in known.cells if (c[0], c[1]) not in zones]
+        known.set(rest + _cells(ends, sorted(zones), bins))
+    return hi, _even(np.array(sorted({0, total, *(e for c in known.cells for e in c[:2])})), hi, shards)
+
+
+def _wide(known: Prefixes, shards: int) -> set[tuple[int, int]]:
+    """The widest cells that are too wide for even cuts: FINE of them are to make a mean shard.
+
+    Known neighbours without ends between are one group's bounds. Groups larger than the mean of what the larger ones
+    leave fill shards of their own and don't count to the mean.
+    """
+    at, groups = 0, []
+    for least, most, n in known.cells:
+        groups += [least - at] + [most - least] * (n == 2)
+        at = most
+    mean, rest, left = known.total / shards, known.total, shards
+    for g in sorted(groups, reverse=True):
+        if left == 1 or g <= mean:
+            break
+        rest, left = rest - g, left - 1
+        mean = rest / left
+    wide = [c for c in known.cells if c[2] > 2 and (c[1] - c[0]) * FINE > mean]
+    return {(c[0], c[1]) for c in sorted(wide, key=lambda c: c[0] - c[1])[: 4 * shards]}
+
+
+def _even(points: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """The cuts at points (from 0 to the total) with the least sum of squared shard sizes, none above capacity.
+
+    Splitting a shard lessens that sum, so no shard stays empty while another could be split. The best start of a
+    shard grows with its end, so a row of ends is solved by halving: starts lie between those of solved neighbours.
+    """
+    first = np.searchsorted(points, points - capacity)
+    last = np.searchsorted(points, points + capacity, side="right") - 1
+    high, low = [0], [len(points) - 1]  # of the points that can follow so many shards
+    for _ in range(shards):
+        high.append(int(last[high[-1]]))
+        low.append(int(first[low[-1]]))
+    low.reverse()
+    at, cost, starts = points.astype(float), np.zeros(1), []
+    for k in range(1, shards + 1):
+        row = np.arange(low[k], high[k] + 1)
+        lo, hi = np.maximum(first[row], low[k - 1]), np.minimum(row, high[k - 1])
+        new, start = np.empty(len(row)), np.empty(len(row), np.int32)
+        halves = [1 << i for i in reversed(range((len(row) - 1).bit_length()))]
+        for some, step in [(np.zeros(1, np.int64), 0), *((np.arange(x, len(row), 2 * x), x) for x in halves)]:
+            a, b = lo[some], hi[some]
+            if step:
+                a = np.maximum(a, start[some - step])
+                inner = some + step < len(row)
+                b[inner] = np.minimum(b[inner], start[some[inner] + step])
+            n = b - a + 1
+            begin = np.cumsum(n) - n
+            tried = np.arange(n.sum()) + np.repeat(a - begin, n)
+            sums = cost[tried - low[k - 1]] + (np.repeat(at[row[some]], n) - at[tried]) ** 2
+            new[some] = np.minimum.reduceat(sums, begin)
+            least = np.flatnonzero(sums == np.repeat(new[some], n))
+            start[some] = tried[least[np.searchsorted(least, begin)]]
+        cost = new
+        starts.append(start)
+    cuts, i = [], len(points) - 1
+    for k in range(shards, 1, -1):
+        i = int(starts[k - 1][i - low[k]])
+        cuts.append(int(points[i]))
+    return cuts[::-1]
 
 
 def _joined(zones, cells, most):

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -70,3 +71,42 @@ def test_near_equal(documents):
 
 def test_empty(documents):
     assert sharding.minimax_shards(documents((1, "a")).where("false")).collect() == []
+
+
+def test_even_cuts_have_the_least_squares():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [int(rng.paretovariate(0.7) * 5) % 300 + 1 for _ in range(rng.randrange(1, 12))]
+        shards = rng.randrange(1, 6)
+        points, capacity = [0], smallest(sizes, shards)
+        for x in sizes:
+            points.append(points[-1] + x)
+        cuts = sharding._even(sharding.np.array(points), capacity, shards)
+        ways = [(0, *c, points[-1]) for c in itertools.combinations_with_replacement(points, shards - 1)]
+        squares = lambda w: sum((b - a) ** 2 for a, b in zip(w, w[1:]))
+        found = (0, *cuts, points[-1])
+        assert squares(found) == min(squares(w) for w in ways if all(b - a <= capacity for a, b in zip(w, w[1:])))
+
+
+@pytest.mark.parametrize("share", [0.06, 0.1, 1 / 3, 0.999])
+@pytest.mark.parametrize("hot", ["first", "last", "middle"])
+def test_hot_group_leaves_no_shard_empty(spark, share, hot):
+    """One group far larger than a mean shard, before, after and between small ones: 24 shards, all others near equal."""
+    rng = random.Random(hot)
+    sizes = [rng.randrange(20, 200) for _ in range(5000)]
+    at = {"first": 0, "last": len(sizes), "middle": 1777}[hot]
+    sizes.insert(at, int(sum(sizes) * share / (1 - share)))
+    ends = list(itertools.accumulate(sizes))
+    df = spark.createDataFrame([(e,) for e in ends], "end long")
+    capacity, cuts = sharding._cuts(df, ends[-1], max(sizes), 24, 1 << 15)
+    assert capacity == smallest(sizes, 24) and set(cuts) <= set(ends)
+    shards = [b - a for a, b in zip([0, *cuts], [*cuts, ends[-1]], strict=True)]
+    others = sorted(shards)[:-1]
+    assert max(shards) <= capacity and min(shards) > 0
+    assert max(others) < 1.5 * min(others) if hot == "middle" else max(others) < 1.1 * min(others)
+
+
+def test_hot_rows_leave_no_shard_empty(documents):
+    docs = [(i, f"{i} " * 30) for i in range(2000)] + [(i, "hot " * 250) for i in range(60)]
+    by = check(sharding.minimax_shards(documents(*docs)).collect(), docs, 24)
+    assert len(by) == 24 and max(by.values()) == 60 * 1008
