@@ -9,7 +9,10 @@ Pairs are found without emitting all pairs of a bucket: members are first compar
 the one that shares most buckets; links are contracted to components, and only buckets that still span several components go
 on, with a bounded block of further members as centres each round, until every pair across components has been
 compared or contracted. Comparisons first take small parity sketches, which bound the difference of two sets from
-below, so only pairs that may link move on to be verified. No link is lost and no bucket is capped.
+below, so only pairs that may link move on to be verified. No bucket is capped and no component is split, but links
+inside a component are not all found: ``similar`` and what builds on it give components only. ``links`` and ``linked``
+give every link between different texts and their number; they compare all pairs of a bucket, without contraction,
+and their pairs are as many as the links, which grow with the square of a group's size.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing, not even with each other; equal
 texts always share a component; repeated rows are separate rows; a null id never is a component's least id unless
@@ -245,8 +248,8 @@ def _marks(sigs: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
-    """(node, root) of the texts that link with another."""
+def _links(texts: DataFrame, words: int, percent: int, every: bool = False) -> tuple[DataFrame, str]:
+    """(node, root) of the texts that link with another; with every, all links (u, v), u < v, once each."""
     spark = texts.sparkSession
     # signatures are made anew for each use: cheaper in disk than to keep. The second time a bitmap of fixed size rules
     # out most that occur once; the join that follows is exact however full it is.
@@ -284,10 +287,13 @@ def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
 
     links, links_path = links_of(pairs)
     drop(spark, pairs_path)
-    roots, roots_path = components(links)
+    roots, roots_path = (None, None) if every else components(links)
     done, centres = 1, 64
     while True:
-        at = ranked.join(roots, ranked["tid"] == roots["node"], "left").select("sig", "tid", "company", F.coalesce("root", "tid").alias("root"))
+        if every:  # each text is a component of its own, so all pairs are compared
+            at = ranked.withColumn("root", F.col("tid"))
+        else:
+            at = ranked.join(roots, ranked["tid"] == roots["node"], "left").select("sig", "tid", "company", F.coalesce("root", "tid").alias("root"))
         spans = at.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("size")).where((F.col("a") != F.col("z")) & (F.col("size") > done + 1)).select("sig", "size")
         # one bucket's rows are ranked in one task: ids only, and they spill
         split = at.join(spans, "sig").selectExpr("sig", "tid", "root", "size", "row_number() over (partition by sig order by company desc, tid desc) as rank").where(F.col("rank") > done)
@@ -307,9 +313,13 @@ def _links(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, str]:
             continue
         more, more_path = links_of(pairs)
         both, both_path = table(links.unionByName(more), "verified")
-        drop(spark, pairs_path, more_path, links_path, roots_path)
+        drop(spark, pairs_path, more_path, links_path)
         links, links_path = both, both_path
-        roots, roots_path = components(links)
+        if not every:
+            drop(spark, roots_path)
+            roots, roots_path = components(links)
+    if every:
+        roots, roots_path = table(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     drop(spark, links_path, ranked_path, members_path, sketches_path)
     return roots, roots_path
 
@@ -332,6 +342,35 @@ def similar(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "d
     return rows.join(by_key, "key").select("doc_id", "key", "n_shingles", F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("root")).alias("component"))
 
 
+def _linked(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key_a, key_b) of every link between different texts, written."""
+    found, found_path = _links(texts, words, percent, every=True)
+    a, b = (texts.select(F.col("tid").alias(t), F.col("key").alias(k)) for t, k in (("u", "a"), ("v", "b")))
+    # a text may have several tids
+    keys = found.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+    out, _ = table(keys, "text-links")
+    drop(texts.sparkSession, found_path)
+    return out
+
+
+def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key_a, key_b (digests of the texts, key_a < key_b): every verified link between different texts, once."""
+    texts, texts_path, _, rows_path = distinct_texts(docs, id_col, text_col)
+    out = _linked(texts, words, percent)
+    drop(docs.sparkSession, texts_path, rows_path)
+    return out
+
+
+def linked(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, n_links (other texts that the row's text links with) for every row of docs; 0 for empty sets."""
+    texts, texts_path, rows, _ = distinct_texts(docs, id_col, text_col)
+    pairs = _linked(texts, words, percent)
+    drop(docs.sparkSession, texts_path)
+    ends = pairs.select(F.col("key_a").alias("key")).unionByName(pairs.select(F.col("key_b").alias("key")))
+    n = ends.groupBy("key").agg(F.count("*").alias("n_links"))
+    return rows.join(n, "key", "left").select("doc_id", "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the least non-null id (then the least text digest). Rows with empty sets stay."""
     found, _ = table(similar(docs, words, percent, id_col, text_col), "similar")

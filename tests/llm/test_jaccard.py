@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import random
 import re
 
@@ -104,6 +106,31 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {300: 200, 200: 200, 201: 200}
 
 
+def key(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()[:32]
+
+
+@pytest.mark.parametrize("centres", [jaccard.CENTRES, 2])
+def test_every_link_between_different_texts(documents, rows, monkeypatch, centres):
+    monkeypatch.setattr(jaccard, "CENTRES", centres)
+    body = " ".join(f"v{i}" for i in range(60))  # a group in which all link, larger than the first round's centres
+    docs = made(5, bases=2, copies=6) + [(None, "lone text here now"), (502, "one")] + [(600 + i, f"{body} end{i}") for i in range(70)]
+    sets = dict(zip([t or "" for _, t in docs], sets_of(docs, 3), strict=True))
+    pairs = set()
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            pairs.add(tuple(sorted((key(a), key(b)))))
+    df = documents(*docs)
+    assert rows(jaccard.links(df)) == sorted(pairs, key=repr) and len(pairs) >= 70 * 69 // 2
+    count = {k: sum(k in p for p in pairs) for k in map(key, sets)}
+    assert rows(jaccard.linked(df)) == sorted([(i, key(t), count[key(t)]) for i, t in docs], key=repr)
+
+
+def test_links_of_nothing(documents, rows):
+    assert rows(jaccard.links(documents((1, "a"), (2, None)))) == rows(jaccard.linked(documents((1, "a")).where("false"))) == []
+
+
 def test_empty(documents, rows):
     assert rows(jaccard.report(documents((1, "a")).where("false"))) == []
     assert rows(jaccard.keep_one(documents((1, "a")).where("false"))) == []
