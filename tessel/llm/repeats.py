@@ -17,7 +17,6 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,7 +251,7 @@ def _merge(batches):
 
 
 def _kept(length: int):
-    """Rows (key, text, n_rows, starts, ends) to (key, n_bytes, n_removed, n_spans, kept_sha256)."""
+    """Rows (key, text, n_rows, starts, ends) to (key, n_bytes, kept, starts, ends)."""
 
     def run(batches):
         for b in batches:
@@ -261,12 +260,10 @@ def _kept(length: int):
                 if n > 1 and len(t) >= length:
                     s, e = [0], [len(t)]
                 s, e = s or [], [min(x, len(t)) for x in e or []]
-                digest = hashlib.sha256()
-                for i, j in zip([0, *e], [*s, len(t)], strict=True):
-                    digest.update(t[i:j])
-                rows.append((len(t), sum(e) - sum(s), len(s), digest.hexdigest()))
+                rows.append((len(t), b"".join(t[i:j] for i, j in zip([0, *e], [*s, len(t)], strict=True)), s, e))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["key", "n_bytes", "kept", "starts", "ends"])
 
     return run
 
@@ -300,8 +297,8 @@ def repeat_groups(texts: DataFrame, length: int = 200, k: int = 64, tree_limit:
     return found, groups, [found_path, groups_path]
 
 
-def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: every byte of a string of ``length`` bytes that starts elsewhere too is removed."""
+def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, tree_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, n_bytes, kept, spans) of every text; both written."""
     spark = docs.sparkSession
     texts, texts_path, rows, _ = distinct_texts(docs, id_col, text_col)
     found, groups, paths = repeat_groups(texts, length, k, tree_limit, reach=True)
@@ -312,6 +309,21 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id
     spans, spans_path = table(spans, "spans")
     small_spans = small(spans, 200_000)
     out = texts.join(small_spans, "tid", "left").select("key", "text", "n_rows", "starts", "ends")
-    out, _ = table(map_arrow(out, _kept(length), "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
+    out, _ = table(map_arrow(out, _kept(length), "key string, n_bytes long, kept binary, starts array<long>, ends array<long>"), "kept")
     drop(spark, texts_path, spans_path, reach_path, *paths)
+    span = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
+    return rows, out.select("key", "n_bytes", "kept", span.alias("spans"))
+
+
+def cleaned(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
+    """doc_id, n_bytes, kept (bytes: a cut may split a character), spans (array of start, end in bytes): every byte of a string of ``length`` bytes that starts elsewhere too is removed."""
+    rows, out = _removed(docs, length, k, id_col, text_col, tree_limit)
+    return rows.join(out.dropDuplicates(["key"]), "key").select("doc_id", "n_bytes", "kept", "spans")
+
+
+def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what ``cleaned`` gives: digests are taken before rows are joined, so texts don't move."""
+    rows, out = _removed(docs, length, k, id_col, text_col, tree_limit)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    out = out.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     return rows.join(out.dropDuplicates(["key"]), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -45,6 +45,17 @@ def test_against_brute_force(documents, rows, monkeypatch, limit, piece):
     assert rows(repeats.dedup(documents(*docs), length=20, k=6, tree_limit=limit)) == brute(docs, 20)
 
 
+def test_kept_texts_and_spans(documents):
+    docs = made(11, n=25)
+    got = []
+    for r in repeats.cleaned(documents(*docs), length=20, k=6).collect():
+        got.append((r["doc_id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()))
+        raw = [(t or "").encode() for i, t in docs if i == r["doc_id"]]
+        cuts = [0, *(p for x in r["spans"] for p in (x["start"], x["end"])), r["n_bytes"]]
+        assert any(bytes(r["kept"]) == b"".join(b[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)) for b in raw)
+    assert sorted(got, key=repr) == brute(docs, 20)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     """Anchors don't depend on how texts are cut into pieces."""
     rng = random.Random(2)
