@@ -272,8 +272,9 @@ def repeat_groups(texts: DataFrame, length: int = 200, k: int = 64, tree_limit:
     """Repeats in texts (tid, text): (anchors (h, cx, tid, pos), groups (h, cx, before, after, repeat), written paths).
 
     The bytes pos - before to pos + after of an anchor's occurrence are an occurrence of the repeat (h, repeat); those of
-    contexts that occur more than once and of very frequent anchors are given with repeat null. With reach, the groups
-    are summed up to how far an occurrence's repeats go.
+    contexts that occur more than once and of very frequent anchors are given with repeat null: both are resolved by
+    digests. Groups are clipped to an anchor's context, so a longer maximal repeat is in several of them. With reach,
+    the groups are summed up to how far an occurrence's repeats go.
     """
     spark = texts.sparkSession
     every, every_path = table(map_arrow(texts.select("tid", "text"), _anchored(length, k), "h long, cx long, tid long, pos long"), "anchors")
