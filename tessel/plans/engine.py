@@ -18,8 +18,10 @@ log = logging.getLogger(__name__)
 
 
 def scan(spark: SparkSession, root: str | Path, project: str) -> DataFrame:
-    """The surfaces of a project's tree, one for each fqn."""
-    return upsert(extract(read_files(spark, validate_root(root, project))))
+    """The surfaces of a project's tree, one for each fqn; fqns that overwrite others are logged, for which the tree is read once more."""
+    found = extract(read_files(spark, validate_root(root, project)))
+    report_duplicates(found)
+    return upsert(found)
 
 
 def report_duplicates(surfaces: DataFrame) -> None:

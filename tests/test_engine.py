@@ -113,6 +113,18 @@ def test_json_of_odd_names(spark, tmp_path):
     assert sorted(r["file_path"] for r in store.load_json(spark, path).collect()) == ['a "b"\\}/x.ts'] * 3
 
 
+def test_overwritten_duplicates_are_logged(spark, tree, tmp_path_factory, caplog):
+    index = str(tmp_path_factory.mktemp("twice") / "i.json")
+    assert engine.index(spark, tree, "acme/shop", index) == 10 and not caplog.records
+    again = tree / FOLDER / "again" / "index.ts"
+    again.parent.mkdir()
+    again.write_text(OLD)
+    assert engine.index(spark, tree, "acme/shop", index) == 10
+    engine.check(spark, tree, "acme/shop", index)
+    logged = [r.getMessage() for r in caplog.records if r.levelname == "ERROR" and r.name == "tessel.plans.engine"]
+    assert len(logged) == 10 and logged.count("vue.sw-card.prop.title is defined 2 times") == 2
+
+
 def test_empty_tree_saves_nothing(spark, tmp_path):
     (tmp_path / "composer.json").write_text('{"name": "a/b"}')
     assert engine.index(spark, tmp_path, "a/b", str(tmp_path / "i.json")) == 0
