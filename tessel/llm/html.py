@@ -5,13 +5,15 @@ blocks before and after it, and whether it lies in boilerplate markup or in an a
 numbers, trained on the small labelled table below, tells content from the rest.
 
 Defined results: null, empty and tagless html is handled like any other (text outside of tags is a block); pages cut off
-anywhere are read to their end; a page without content has the empty text; repeated rows are separate rows; an empty
+anywhere are read to their end, but for what an unclosed script or style hides; start tags imply the end of an open
+paragraph, list item, option or table part; a page without content has the empty text; repeated rows are separate rows; an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -22,13 +24,27 @@ from .common import column, map_arrow
 
 # Names of HTML elements
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul br".split())
-HIDDEN = frozenset("script style noscript template iframe object svg math title textarea canvas audio video select".split())
+HIDDEN = frozenset("script style noscript template iframe object svg annotation annotation-xml title textarea canvas audio video select".split())
+TO_END = frozenset("script style".split())  # without an end tag they hide the rest of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = frozenset("nav aside footer form menu dialog button fieldset header".split())
 MAIN = frozenset("article main".split())
 # Words of class, id and role that name what isn't an article
 HINTS = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popular privacy promo promoted promotion reader recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar trending warning widget widgets alert".split())
 CONTENT = frozenset("article main story post entry".split())
+# Start tags that imply the end of open elements (and of all in them), and the elements that this doesn't reach beyond
+ITEMS = BLOCKS - frozenset("address div p li dt dd".split())
+IMPLIED = {
+    "li": (frozenset(["li"]), ITEMS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), ITEMS)),
+    "option": (frozenset(["option"]), ITEMS - {"option"}),
+    "optgroup": (frozenset(["option", "optgroup"]), ITEMS - {"option", "optgroup"}),
+    **dict.fromkeys(("td", "th"), (frozenset(["td", "th", "caption"]), frozenset(["tr", "table"]))),
+    "tr": (frozenset(["tr", "td", "th", "caption"]), frozenset(["table"])),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset("thead tbody tfoot tr td th caption".split()), frozenset(["table"]))),
+}
+PARAGRAPH = frozenset(["p"]), frozenset("button table caption td th".split())
+ENDS_PARAGRAPH = BLOCKS - frozenset("body br button caption frameset html legend optgroup option select tbody td tfoot th thead tr".split())
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\Z)|[^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -57,6 +73,25 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
     text: list[str] = []
     linked: list[str] = []
     poor = rich = link = 0
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
+
+    def leave(depth):
+        nonlocal poor, rich
+        while len(stack) > depth:
+            last, p, r = stack.pop()
+            poor, rich = poor - p, rich - r
+            opened[last] -= 1
+
+    def imply(ended, barrier):
+        if any(opened[x] for x in ended):
+            depth = len(stack)
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in ended:
+                    depth = i
+                elif stack[i][0] in barrier:
+                    break
+            leave(depth)
 
     def close():
         words = unescape("".join(text)).split()
@@ -87,11 +122,21 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
             continue
         if name in HIDDEN and not m[1]:
             if not m[3].rstrip(">").endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = n if end is None else end.end()
+                end = None if name in endless else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                if end is not None:
+                    at = end.end()
+                elif name in TO_END:
+                    at = n
+                else:
+                    endless.add(name)
             continue
         if name in BLOCKS:
             close()
+            if not m[1]:
+                if name in IMPLIED:
+                    imply(*IMPLIED[name])
+                if name in ENDS_PARAGRAPH:
+                    imply(*PARAGRAPH)
         if name == "a":
             link = 0 if m[1] else 1
         if name in VOID:
@@ -102,13 +147,10 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
                 if rich and name == "header" and not re.search(r"class|id|role", m[3]):
                     p = False  # an article's own heading
                 stack.append((name, p, r))
+                opened[name] += 1
                 poor, rich = poor + p, rich + r
-        elif any(x[0] == name for x in stack):
-            while stack:
-                last, p, r = stack.pop()
-                poor, rich = poor - p, rich - r
-                if last == name:
-                    break
+        elif opened[name]:
+            leave(max(i for i, x in enumerate(stack) if x[0] == name))
     close()
     return out
 

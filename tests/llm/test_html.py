@@ -49,3 +49,24 @@ def test_frame(spark, rows):
     got = rows(html.extract(df))
     assert got == sorted([(1, "u", "", 0), (2, None, "é", 1), (2, None, "é", 1), (None, "v", "", 0), (3, "w", " ".join(["ab"] * 50_000), 149_999)], key=repr)
     assert rows(html.extract(df.where("false"))) == []
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<article><p class=notice>x<p>body one<p>two</article>", "body one two"),
+        ("<article><p class=notice>x<div>body</div></article>", "body"),
+        ("<article><ul><li class=ad>Buy<li>one<ul><li>in</ul><li>two</ul></article>", "one in two"),
+        ("<article><dl><dt class=ad>Buy<dd>one</dl><table><tr><td class=ad>Buy<td>two<tr class=ad><td>Buy<tr><td>three</table></article>", "one two three"),
+        ("<article><table><tr><td class=ad><table><tr><td>in</table>Buy<td>out</table></article>", "out"),
+        *[(f"<article><p>a</p><{x}><p>b</p></article>", "a b") for x in ("noscript", "svg", "template", "object", "video", "audio", "canvas", "iframe")],
+        ("<article><p>a</p><script>var x", "a"),
+        ("<article><p>so <math><mi>x</mi><annotation>tex</annotation></math> is</p></article>", "so x is"),
+    ],
+)
+def test_implied_ends(page, expected):
+    assert html.main_text(page, TREE) == expected
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert html.main_text("<article>" + "<svg><div>" * 20_000 + "<p>x", TREE) == "x"
