@@ -4,8 +4,9 @@ Whole texts are ordered by id across range partitions, encoded, and written as O
 every stripe has row indexes, and document ids have Bloom filters, so a reader can take stripes in parallel and skip
 those that lack an id. ``read`` gives the documents back; ``positions`` adds what only the files tell.
 
-Words recur, and white space always ends a token, so each worker keeps the ids of words that it has encoded, up to a
-bound; the ids are those of the whole text. That holds for tokenizers that split at all white space, as the one meant does.
+Words recur: where white space always ends a token, which probes of the tokenizer tell, each worker encodes the distinct
+words of a batch of texts and keeps ids of their parts, up to a bound; the ids are those of the whole text. Any other
+tokenizer gets whole texts.
 
 Defined results: a null text is empty and has the end id only; rows with equal ids keep an order that the files fix;
 null ids come first; an empty table gives empty files and no rows; extra columns are ignored.
@@ -14,13 +15,13 @@ null ids come first; an empty table gives empty files and no rows; extra columns
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,37 +29,52 @@ from .common import column, map_arrow, small_batches, table
 
 TO_LOWER = bytes(range(256)).lower()
 #: Letters that need no normalising (a-z and those of Latin-1), and ASCII punctuation after them.
-SHAPE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
-CACHED_WORDS = 400_000
-CHUNK = 250  # texts whose words are looked up together
+SHAPE = r"^(?P<core>[a-zß-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+CACHED_PIECES = 500_000
+TEXTS, BYTES = 1000, 8 << 20  # encoded together
+#: What tells that a tokenizer keeps apart what white space separates: words, and white space around and between them.
+PROBES = ("the", "quick", "naïve", "DON'T", "x1", "'s", "(42)"), (" ", "  ", "\t", "\n ", "\r\n\n", "\x0b\x0c")
 _coders: dict[str, Coder] = {}
 
 
-class Recent:
-    """Ids of words (now); forgets those that were not asked for while ``limit`` others came in."""
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[i] to starts[i] + sizes[i], of all i in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Pieces:
+    """Ids of strings, in one array; forgets all beyond ``limit`` strings."""
 
     def __init__(self, limit: int):
-        self.limit, self.now, self.old = limit, {}, {}
-
-    def lacking(self, words: set[bytes]) -> list[bytes]:
-        """Those of the words that are not here; from now on all others are."""
-        new = words.difference(self.now)  # a plain dict, else all of it would be gone through
-        if len(self.now) + len(new) > self.limit:
-            self.now, self.old, new = {}, self.now, words
-        out, old, now = [], self.old, self.now
-        for w in new:
-            if w in old:
-                now[w] = old[w]
-            else:
-                out.append(w)
-        return out
+        self.limit = limit
+        self.clear()
+
+    def clear(self):
+        self.at: dict[str, int] = {}
+        self.spans, self.ids, self.size = np.zeros((1024, 2), np.int64), np.zeros(4096, "<u4"), 0
+
+    def add(self, strings: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """strings[i] has the ids from ends[i - 1] to ends[i]."""
+        n, to = len(self.at), self.size + len(ids)
+        while len(self.spans) < n + len(strings):
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        while len(self.ids) < to:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.size : to] = ids
+        self.spans[n : n + len(strings), 0] = self.size + np.concatenate([[0], ends[:-1]])
+        self.spans[n : n + len(strings), 1] = np.diff(ends, prepend=0)
+        self.at.update(zip(strings, range(n, n + len(strings)), strict=True))
+        self.size = to
 
 
 class Coder:
-    """Whole texts to ids by a tokenizer that never joins over white space; bounded memory of words.
+    """Whole texts to ids; bounded memory.
 
-    Most words are letters and then punctuation, whose ids are those of the two parts. Where the tokenizer marks the
-    ends of words, its letters go through a copy of it that leaves out the normalising that they don't need.
+    A tokenizer that never joins over white space gets each distinct word of a batch once, and of most words, which
+    are letters and then punctuation, the two parts, as far as it hasn't met them before. Where it marks the ends of
+    words, letters go through a copy of it that leaves out the normalising that they don't need. Any other tokenizer
+    gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -73,94 +89,112 @@ class Coder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.words, self.letters = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
-        probe = [b"the", b"quick", b"na\xc3\xafve", b"z\xc3\xbf\xc3\x9f", b"x"]
+        self.pieces = Pieces(CACHED_PIECES)
+        whole = lambda t: self.full.encode(t, add_special_tokens=False).ids
+        words, blanks = PROBES
+        #: whether words can be encoded one by one
+        self.apart = bool(suffix) and all(whole(f"{s}{a}{s}{b}{s}") == whole(a) + whole(b) for a in words for b in words for s in blanks)
+        probe = ["the", "quick", "naïve", "zÿß", "x"]
+        #: whether letters can, without normalising
         self.simple = False
-        if suffix and self._letters(probe) is not None:
-            whole = lambda t: np.array(self.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            self.simple = all(whole(f"{w.decode().upper()}, {w.decode()}!?)") == self.letters.now[w] + whole(",") + self.letters.now[w] + whole("!?)") for w in probe if w.isascii())
-            self.simple &= all(whole(w.decode()) == self.letters.now[w] for w in probe)
-
-    def _letters(self, some: list[bytes]) -> bool | None:
-        """Encode words of lower-case letters; None if the ids don't show where words end."""
-        ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        if self.apart and self._letters(probe):
+            known = {w: self.pieces.ids[a : a + n].tolist() for w, (a, n) in ((w, self.pieces.spans[i]) for w, i in self.pieces.at.items())}
+            self.simple = all(whole(f"{w.upper()}, {w}!?)") == known[w] + whole(",") + known[w] + whole("!?)") for w in probe if w.isascii())
+            self.simple &= all(whole(w) == known[w] for w in probe)
+        self.pieces.clear()
+
+    def _letters(self, some: list[str]) -> bool:
+        """Encode words of lower-case letters, unless the ids don't show where words end."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(some):
-            return None
-        raw, at = ids.tobytes(), 0
-        for w, to in zip(some, (cuts * 4).tolist(), strict=True):
-            self.letters.now[w] = raw[at:to]
-            at = to
+            return False
+        self.pieces.add(some, ids, cuts)
         return True
 
-    def _others(self, some: list[bytes]) -> None:
+    def _others(self, some: list[str]) -> bool:
         """Encode any words; offsets tell which ids are whose."""
-        text = [w.decode() for w in some]
-        got = self.full.encode(" ".join(text), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in text])
+        got = self.full.encode(" ".join(some), add_special_tokens=False)
         starts = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got))
-        raw, at = np.array(got.ids, "<u4").tobytes(), 0
-        for w, to in zip(some, (np.searchsorted(starts, ends) * 4).tolist(), strict=True):
-            self.words.now[w] = raw[at:to]
-            at = to
-
-    def learn(self, new: list[bytes]) -> None:
-        """Put the ids of words into self.words."""
-        split, cores, others, words = [], set(), set(), self.words.now
-        for w in new:
-            m = SHAPE.fullmatch(w) if self.simple else None
-            if m is None:
-                others.add(w)
-                continue
-            core, tail = m.groups()
-            split.append((w, core, tail))
-            cores.add(core)
-            if tail and tail not in words:
-                others.add(tail)
-        cores = self.letters.lacking(cores)
-        for wanted, encode in ((sorted(cores), self._letters), (sorted(others), self._others)):
-            for i in range(0, len(wanted), 4096):
-                encode(wanted[i : i + 4096])
-        letters = self.letters.now
-        for w, core, tail in split:
-            words[w] = letters[core] + words[tail] if tail else letters[core]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out = []
-        for t in range(0, len(texts), CHUNK):
-            split = [self.split(x) for x in texts[t : t + CHUNK]]
-            every = set(chain.from_iterable(split))
-            self.learn(self.words.lacking(every))
-            out += [b"".join(map(self.words.now.__getitem__, words)) for words in split]
-        return out
-
-    def split(self, text: str) -> list[bytes]:
-        """The text's words in UTF-8. A-Z is lower-cased where that can't matter: no combining marks, no special tokens."""
-        data = text.encode()
-        if self.simple and not (b"\xcc" in data or b"\xcd" in data or b"<|" in data):
-            data = data.translate(TO_LOWER)
-        return data.split()
+        self.pieces.add(some, np.array(got.ids, "<u4"), np.searchsorted(starts, np.cumsum([len(w) + 1 for w in some])))
+        return True
+
+    def _numbers(self, strings: pa.Array, encode) -> np.ndarray:
+        """The pieces' numbers of distinct strings; new ones are encoded."""
+        strings = strings.to_pylist()
+        new = [w for w in strings if w not in self.pieces.at]
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            encode(part) or self._others(part)
+        return np.fromiter(map(self.pieces.at.__getitem__, strings), np.int64, len(strings))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and where each word's start and how many they are."""
+        if len(self.pieces.at) > self.pieces.limit:
+            self.pieces.clear()
+        # a word is a first piece and maybe a second
+        first, second = np.full(len(words), -1), np.full(len(words), -1)
+        rest = words
+        if self.simple:
+            parts = pc.extract_regex(words, SHAPE)
+            made = parts.is_valid().to_numpy(zero_copy_only=False)
+            rest = words.filter(pa.array(~made))
+            for name, to, encode in (("core", first, self._letters), ("tail", second, self._others)):
+                some = pc.struct_field(parts.filter(pa.array(made)), name).dictionary_encode()
+                to[made] = self._numbers(some.dictionary, encode)[some.indices.to_numpy()]
+            first[~made] = self._numbers(rest, self._others)
+        else:
+            first[:] = self._numbers(rest, self._others)
+        spans = self.pieces.spans[np.stack([first, second], axis=1)]
+        spans[second < 0, 1, 1] = 0
+        sizes = spans[:, :, 1].sum(axis=1)
+        return self.pieces.ids[ragged(spans[:, :, 0].ravel(), spans[:, :, 1].ravel())], np.cumsum(sizes) - sizes, sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts as unsigned 32-bit integers, and how many each has."""
+        if not self.apart:
+            got = [x.ids for x in self.full.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), "<u4"), np.array([len(x) for x in got], np.int64)
+        split = pc.ascii_split_whitespace(pa.array([self.lowered(x.as_buffer().to_pybytes()) for x in texts.cast(pa.large_binary())], pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids, starts, sizes = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        return ids[ragged(starts[at], each)], np.diff(ends)
+
+    def lowered(self, data: bytes) -> bytes:
+        """A-Z lower-cased where that can't matter: no combining marks, no special tokens."""
+        return data.translate(TO_LOWER) if self.simple and not (b"\xcc" in data or b"\xcd" in data or b"<|" in data) else data
 
 
 def coder(path: str) -> Coder:
-    """This process's coder: what tasks call by name keeps its words from one task to the next."""
+    """This process's coder: what tasks call by name keeps its pieces from one task to the next."""
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]
 
 
+def _parts(texts: pa.Array):
+    """(start, number) of neighbouring texts that are encoded together."""
+    sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), 0
+    while at < len(sizes):
+        n = min(int(np.searchsorted(np.cumsum(sizes[at : at + TEXTS]), BYTES)) + 1, TEXTS, len(sizes) - at)
+        yield at, n
+        at += n
+
+
 def _encode(path: str, end: int):
     def run(batches):
         encode = coder(path)
-        last = np.array([end], "<u4").tobytes()
         for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.slice(i, 500)
-                ids = [x + last for x in encode([t or "" for t in part.column("text").to_pylist()])]
-                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-                values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+            texts = pc.fill_null(b.column("text"), "")
+            for at, n in _parts(texts):
+                ids, sizes = encode(texts.slice(at, n))
+                ends = np.cumsum(sizes)
+                values = np.insert(ids, ends, end).astype(np.int32)
+                offsets = np.concatenate([[0], ends + np.arange(1, n + 1)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
 
     return run
 

@@ -3,6 +3,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessel.llm import tokens
@@ -24,11 +25,36 @@ def test_coder_equals_whole_texts(whole, monkeypatch):
     rng = random.Random(1)
     pieces = ["a", "B", "É", "é", "ß", "H̱", "İ", "ΑΣ", "'s", "'LL", "don't", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "12", "½", "\x0b", "\x1c", " ", "\u0085", "\n", " ", " ", "\t", ".", "!?", ")", "—", "日本", "ᄀ", "ᅡ", "é", "K", "😀", "\x00", "_", "Word", "thing"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(1500)]
-    for limit in (tokens.CACHED_WORDS, 50):
-        monkeypatch.setattr(tokens, "CACHED_WORDS", limit)
+    for limit in (tokens.CACHED_PIECES, 50):
+        monkeypatch.setattr(tokens, "CACHED_PIECES", limit)
         coder = tokens.Coder(PATH)
-        assert coder.simple
-        assert [np.frombuffer(x, "<u4").tolist() for x in coder(texts)] == [whole(t) for t in texts]
+        assert coder.simple and coder.apart
+        for part in (texts[:700], texts[700:], [], [""]):
+            assert encoded(coder, part) == [whole(t) for t in part]
+
+
+def encoded(coder, texts):
+    ids, sizes = coder(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+
+def test_tokenizers_that_join_over_white_space_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    coder, t = tokens.Coder(path), Tokenizer.from_file(path)
+    texts = ["two words", "  lead", "", "tab\there \n\n done "]
+    assert not coder.apart
+    assert encoded(coder, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_texts_encoded_together(monkeypatch):
+    monkeypatch.setattr(tokens, "TEXTS", 3)
+    monkeypatch.setattr(tokens, "BYTES", 10)
+    texts = pa.array(["a" * 20, "b", "", None, "c" * 9, "dd", "e" * 10, "f"])
+    parts = list(tokens._parts(texts))
+    assert [p[0] for p in parts] == [0, *np.cumsum([p[1] for p in parts])[:-1].tolist()] and sum(p[1] for p in parts) == 8 and max(p[1] for p in parts) <= 3
+    assert list(tokens._parts(pa.array([], pa.string()))) == []
 
 
 def test_files_and_positions(spark, documents, rows, whole):
