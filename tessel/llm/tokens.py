@@ -122,11 +122,15 @@ class Coder:
     def _numbers(self, strings: pa.Array, encode) -> np.ndarray:
         """The pieces' numbers of distinct strings; new ones are encoded."""
         strings = strings.to_pylist()
-        new = [w for w in strings if w not in self.pieces.at]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            encode(part) or self._others(part)
-        return np.fromiter(map(self.pieces.at.__getitem__, strings), np.int64, len(strings))
+        found = list(map(self.pieces.at.get, strings))
+        new = [w for w, i in zip(strings, found, strict=True) if i is None]
+        if new:
+            at = iter(range(len(self.pieces.at), len(self.pieces.at) + len(new)))
+            for i in range(0, len(new), 4096):
+                part = new[i : i + 4096]
+                encode(part) or self._others(part)
+            found = [next(at) if i is None else i for i in found]
+        return np.array(found, np.int64)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words, and where each word's start and how many they are."""
