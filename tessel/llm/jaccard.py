@@ -2,8 +2,10 @@
 
 Sets of word shingles fall into size bands; in a band, sets that are similar enough differ in at most K elements. The
 hashed domain is cut into n1 partitions of n2 parts, so that in some partition at most k2 parts differ; a signature is
-what a set holds in one partition's parts without some k2 of them. Sets that link therefore share a signature, and
-every pair is verified on the whole sets.
+what a set holds in one partition's parts without some k2 of them. Sets that link therefore share a signature. Shingles
+have hashes of 62 bits up to there; sizes of sets and every pair are verified on the words themselves, so a collision
+can't make a link, and could hide one only among shingles that collide. Buckets count as having the same members, and
+are compared once, if number, sum and two xors of hashes of their members agree (over 150 bits).
 
 Pairs are found without emitting all pairs of a bucket: members are first compared with one member of their bucket,
 the one that shares most buckets; links are contracted to components, and only buckets that still span several components go
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import column, drop, map_arrow, release, table, text_key
 from .components import components
-from .hashing import BASE, U, mix, shingle_sets
+from .hashing import BASE, U, exact_sets, mix, runs, shingle_counts, shingle_sets
 from .texts import distinct_texts, small
 
 
 CENTRES = 4096  # of a bucket in a round, at most
 MARKS = 1 << 25  # bits that tell which signatures may occur twice
-SALT = 4096  # members of a bucket that one task compares
+SALT = 1024  # members of a bucket that one task compares
 
 
 class PartEnum:
@@ -141,27 +143,43 @@ def _fold(sketches: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _sketches(words: int):
+def _sketches(words: int, wide: int = 1):
+    """Rows (tid, text) to (tid, n, sk): number and sketch of the shingles' hashes."""
+
     def run(batches):
         for b in batches:
             sets = shingle_sets(_texts(b), words)
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], ["tid", "n", "sk"])
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x, wide) for x in sets], pa.binary())], ["tid", "n", "sk"])
 
     return run
 
 
-def _setter(words: int, whole: bool):
+def _counts(words: int):
+    """Rows (tid, text) to (tid, n): how many shingles."""
+
     def run(batches):
         for b in batches:
-            sets = shingle_sets(_texts(b), words)
-            out = [b.column("tid"), pa.array([len(x) for x in sets], pa.int64())]
-            names = ["tid", "n"]
-            if whole:
-                offsets = np.cumsum([0, *[len(x) for x in sets]]).astype(np.int32)
-                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                out += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([sketch(x, 4) for x in sets], pa.binary())]
-                names += ["hs", "sk"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(shingle_counts(_texts(b), words))], ["tid", "n"])
+
+    return run
+
+
+def _verifier(words: int, percent: int):
+    """Rows (u, v, tu, tv) to those (u, v) whose texts link by their words."""
+
+    def run(batches):
+        for b in batches:
+            sides = [[x.as_buffer() for x in b.column(c).cast(pa.large_binary())] for c in ("tu", "tv")]
+            for i, j in runs([x.size + y.size for x, y in zip(*sides, strict=True)], 1 << 22):
+                part = b.slice(i, j - i)
+                ids = part.column("u").to_pylist() + part.column("v").to_pylist()
+                texts = dict(zip(ids, sides[0][i:j] + sides[1][i:j], strict=True))
+                sets = dict(zip(texts, exact_sets([x.to_pybytes() for x in texts.values()], words), strict=True))
+                keep = []
+                for u, v in zip(ids[: j - i], ids[j - i :], strict=True):
+                    both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                    keep.append(both * 100 >= (len(sets[u]) + len(sets[v]) - both) * percent)
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -224,12 +242,10 @@ def _compared(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (u, v) whose sets are similar enough."""
-    v = sets.select(F.col("tid").alias("v"), F.col("n").alias("nv"), F.col("hs").alias("hv"))
-    u = sets.select(F.col("tid").alias("u"), F.col("n").alias("nu"), F.col("hs").alias("hu"))
-    both = F.size(F.array_intersect("hu", "hv"))
-    return pairs.join(v, "v").join(u, "u").where(both * 100 >= (F.col("nu") + F.col("nv") - both) * percent).select("u", "v")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (u, v) whose texts link."""
+    u, v = (texts.select(F.col("tid").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
+    return map_arrow(pairs.join(v, "v").join(u, "u").select("u", "v", "tu", "tv"), _verifier(words, percent), "u long, v long")
 
 
 def _paired(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -259,28 +275,33 @@ def _links(texts: DataFrame, words: int, percent: int, every: bool = False) -> t
     buckets, buckets_path = table(sign(_marks(often)).join(small(often), "sig"), "buckets")
     release(spark)
     # buckets of the same members ask for the same comparisons
-    alike = buckets.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("tid") % (1 << 31)).alias("a"), F.expr("bit_xor(xxhash64(tid, 1))").alias("b"))
-    one, one_path = table(alike.groupBy("size", "a", "b").agg(F.min("sig").alias("sig")).select("sig"), "one")
+    alike = buckets.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("tid") % (1 << 31)).alias("a"), F.expr("bit_xor(xxhash64(tid, 1))").alias("b"), F.expr("bit_xor(xxhash64(tid, 2))").alias("c"))
+    one, one_path = table(alike.groupBy("size", "a", "b", "c").agg(F.min("sig").alias("sig")).select("sig"), "one")
     kept, kept_path = table(buckets.join(small(one), "sig"), "kept")
     # the more buckets a text shares, the nearer it is to the middle of its kind
     members, members_path = table(buckets.groupBy("tid").agg(F.count("*").alias("company")), "members")
     own = texts.select("tid", "text").join(small(members), "tid")
-    sketches, sketches_path = table(map_arrow(own.select("tid", "text"), _sketches(words), "tid long, n long, sk binary").join(members, "tid"), "sketches")
-    ranked, ranked_path = table(kept.join(members, "tid").select("sig", "tid", "company"), "ranked")
-    drop(spark, often_path, buckets_path, one_path, kept_path)
+    sketches, sketches_path = table(map_arrow(own.select("tid", "text"), _sketches(words), "tid long, n long, sk binary"), "sketches")
+    # of what is joined by bucket, one side is a written aggregate: the other is a plain shuffle, and a bucket can be split
+    near, near_path = table(kept.join(members, "tid").select("sig", "tid", "company"), "company")
+    best, best_path = table(near.groupBy("sig").agg(F.max(F.struct("company", "tid"))["tid"].alias("u"), F.count("*").alias("size")), "best")
+    near, both_path = table(near.join(best, "sig").withColumn("salt", F.expr(f"pmod(xxhash64(tid), size div {SALT} + 1)")), "salted")
+    # the centre has rank 0; members are ranked within salts, and salts take turns: ranks are unique, with gaps
+    rank = F.when(F.col("tid") == F.col("u"), 0).otherwise(F.expr(f"(row_number() over (partition by sig, salt order by company desc, tid desc) - 1) * (size div {SALT} + 1) + salt + 1"))
+    ranked, ranked_path = table(near.withColumn("rank", rank.cast("long")).select("sig", "tid", "u", "size", "rank"), "ranked")
+    drop(spark, often_path, buckets_path, one_path, kept_path, members_path, near_path, best_path, both_path)
     release(spark)
 
-    centre = ranked.groupBy("sig").agg(F.max(F.struct("company", "tid")).alias("c")).select("sig", F.col("c.tid").alias("u"))
-    pairs = ranked.join(centre, "sig").where("tid <> u").select("u", F.col("tid").alias("v")).distinct()
+    pairs = ranked.where("rank > 0").select("u", F.col("tid").alias("v")).distinct()
     pairs, pairs_path = table(_paired(pairs, sketches, percent), "pairs")
 
     def links_of(pairs: DataFrame) -> tuple[DataFrame, str]:
         who = pairs.select(F.col("u").alias("tid")).unionByName(pairs.select(F.col("v").alias("tid"))).distinct()
         who, who_path = table(who, "who")
-        sets = map_arrow(texts.select("tid", "text").join(small(who), "tid"), _setter(words, True), "tid long, n long, hs array<long>, sk binary")
-        sets, sets_path = table(sets, "sets", "lz4")
+        own = texts.select("tid", "text").join(small(who), "tid")
+        sets, sets_path = table(map_arrow(own, _sketches(words, 4), "tid long, n long, sk binary"), "sets")
         near, near_path = table(_paired(pairs, sets, percent), "near")
-        out = table(_verified(near, sets, percent), "verified")
+        out = table(_verified(near, own, words, percent), "verified")
         drop(spark, who_path, sets_path, near_path)
         release(spark)
         return out
@@ -288,25 +309,24 @@ def _links(texts: DataFrame, words: int, percent: int, every: bool = False) -> t
     links, links_path = links_of(pairs)
     drop(spark, pairs_path)
     roots, roots_path = (None, None) if every else components(links)
-    done, centres = 1, 64
+    done, centres = 0, 64
     while True:
         if every:  # each text is a component of its own, so all pairs are compared
-            at = ranked.withColumn("root", F.col("tid"))
+            at = ranked.select("sig", "tid", "size", "rank", F.col("tid").alias("root"))
         else:
-            at = ranked.join(roots, ranked["tid"] == roots["node"], "left").select("sig", "tid", "company", F.coalesce("root", "tid").alias("root"))
-        spans = at.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("size")).where((F.col("a") != F.col("z")) & (F.col("size") > done + 1)).select("sig", "size")
-        # one bucket's rows are ranked in one task: ids only, and they spill
-        split = at.join(spans, "sig").selectExpr("sig", "tid", "root", "size", "row_number() over (partition by sig order by company desc, tid desc) as rank").where(F.col("rank") > done)
-        split, split_path = table(split, "split")
+            at = ranked.join(roots, ranked["tid"] == roots["node"], "left").select("sig", "tid", "size", "rank", F.coalesce("root", "tid").alias("root"))
+        spans = at.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.max("rank").alias("last")).where((F.col("a") != F.col("z")) & (F.col("last") > done)).select("sig")
+        spans, spans_path = table(spans, "spans")
+        split, split_path = table(at.where(F.col("rank") > done).join(spans, "sig"), "split")
         if split.isEmpty():
-            drop(spark, split_path)
+            drop(spark, split_path, spans_path)
             break
-        full = split.join(sketches.select("tid", "n", "sk"), "tid")
+        full = split.join(sketches, "tid")
         rows = full.where(F.col("rank") <= done + centres).select("sig", F.explode(F.expr(f"sequence(0L, size div {SALT})")).alias("salt"), F.lit(0).alias("kind"), "rank", "tid", "root", "n", "sk")
-        rows = rows.unionByName(full.select("sig", F.expr(f"rank div {SALT}").alias("salt"), F.lit(1).alias("kind"), "rank", "tid", "root", "n", "sk"))
+        rows = rows.unionByName(full.select("sig", F.expr(f"pmod(rank, size div {SALT} + 1)").alias("salt"), F.lit(1).alias("kind"), "rank", "tid", "root", "n", "sk"))
         rows = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "kind", "rank")
         pairs, pairs_path = table(map_arrow(rows, _compared(percent), "u long, v long").distinct(), "pairs")
-        drop(spark, split_path)
+        drop(spark, split_path, spans_path)
         done, centres = done + centres, min(centres * 8, CENTRES)
         if pairs.isEmpty():
             drop(spark, pairs_path)
@@ -320,7 +340,7 @@ def _links(texts: DataFrame, words: int, percent: int, every: bool = False) -> t
             roots, roots_path = components(links)
     if every:
         roots, roots_path = table(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    drop(spark, links_path, ranked_path, members_path, sketches_path)
+    drop(spark, links_path, ranked_path, sketches_path)
     return roots, roots_path
 
 
@@ -331,13 +351,15 @@ def similar(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "d
     """
     spark = docs.sparkSession
     texts, texts_path, rows, _ = distinct_texts(docs, id_col, text_col)
-    sizes, sizes_path = table(map_arrow(texts.select("tid", "text"), _setter(words, False), "tid long, n long"), "sizes")
+    sizes, sizes_path = table(map_arrow(texts.select("tid", "text"), _counts(words), "tid long, n long"), "sizes")
     roots, roots_path = _links(texts, words, percent)
-    slim = texts.select("tid", "key", "least_id").join(sizes, "tid").join(roots, F.col("tid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "tid"))
-    least = slim.groupBy("root").agg(F.min("least_id").alias("component"))
+    slim = texts.select("tid", "key", "least_id").join(sizes, "tid").join(roots, F.col("tid") == F.col("node"), "left")
+    slim, slim_path = table(slim.select("key", "least_id", "n", F.coalesce("root", "tid").alias("root")), "slim")
+    # written, so that a component of very many texts can be split
+    least, least_path = table(slim.groupBy("root").agg(F.min("least_id").alias("component")), "least")
     by_key = slim.join(least, "root").groupBy("key").agg(F.max("n").alias("n_shingles"), F.min("component").alias("least"), F.min("root").alias("root"))
     by_key, _ = table(by_key, "classes")
-    drop(spark, texts_path, sizes_path, roots_path)
+    drop(spark, texts_path, sizes_path, roots_path, slim_path, least_path)
     some = F.col("n_shingles") > 0
     return rows.join(by_key, "key").select("doc_id", "key", "n_shingles", F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("root")).alias("component"))
 
@@ -375,11 +397,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """docs with one row of each component: that of the least non-null id (then the least text digest). Rows with empty sets stay."""
     found, _ = table(similar(docs, words, percent, id_col, text_col), "similar")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = found.where("component is not null").groupBy("component").agg(F.min(rank).alias("first"))
-    groups = found.where("component is not null").groupBy("component", "doc_id", "key").agg(F.count("*").alias("n")).join(first, "component")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    first, first_path = table(found.where("component is not null").groupBy("component").agg(F.min(rank).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key")), "first")
+    groups, groups_path = table(found.where("component is not null").groupBy("component", "doc_id", "key").agg(F.count("*").alias("n")), "groups")
+    groups = groups.join(small(first), "component")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
     # what goes, and what stays but once: few rows beside those that stay as they are
     marked, _ = table(groups.where(~same | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), same.alias("_stays")), "marked")
+    drop(docs.sparkSession, first_path, groups_path)
     out = docs.join(small(marked), column(docs, id_col).eqNullSafe(F.col("_id")) & (text_key(column(docs, text_col)) == F.col("_key")), "left")
     once = out.where("_stays").dropDuplicates(["_id", "_key"])
     return out.where("_key is null").unionByName(once).drop("_id", "_key", "_stays")

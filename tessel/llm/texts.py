@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from .common import column, drop, table, text_key
 
-BROADCAST_ROWS = 200_000  # of at most some 60 bytes each
+BROADCAST_BYTES = 8 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(name: str, kind) -> Column:
+    """About how many bytes a value takes."""
+    c = F.col("`" + name.replace("`", "``") + "`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    assert not isinstance(kind, (ArrayType, MapType, StructType)), "only flat rows are broadcast"
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows take at most so many bytes, counting 32 for each beside its values. Of more rows than that allows none are read."""
+    width = sum((_bytes(f.name, f.dataType) for f in df.schema), F.lit(32))
+    taken = df.select(width.cast("long").alias("b")).limit(most // 32 + 1).agg(F.sum("b")).first()[0] or 0
+    return F.broadcast(df) if taken <= most else df
 
 
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame, str]:

@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessel.llm import jaccard
 from tessel.llm.components import components
-from tessel.llm.hashing import shingle_sets
+from tessel.llm.hashing import Ranges, exact_sets, shingle_counts, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,10 +83,39 @@ def test_similar_sets_share_a_signature(percent):
             assert differ <= len(x) + len(y) - 2 * both <= jaccard.most_apart(np.array([len(x) + len(y)]), percent)[0]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word[:n], word[:n].translate({97: 98, 98: 97})
+
+
 def test_shingles_match_plain_sets():
-    docs = made(9)
+    x, y = thue_morse(1024)
+    docs = [*made(9), (600, f"p q {x} r s p q {y} r s"), (601, "a b a b a b a"), (602, "k l"), (603, "K L k")]
+    raw = [(t or "").encode() for _, t in docs]
     for n in (1, 3, 5):
-        assert [len(x) for x in shingle_sets([(t or "").encode() for _, t in docs], n)] == [len(s) for s in sets_of(docs, n)]
+        sets = sets_of(docs, n)
+        assert [len(x) for x in shingle_sets(raw, n)] == [len(x) for x in exact_sets(raw, n)] == shingle_counts(raw, n).tolist() == [len(s) for s in sets]
+        exact = exact_sets(raw, n)
+        assert all(len(np.intersect1d(exact[i], exact[j])) == len(sets[i] & sets[j]) for i, j in itertools.combinations(range(0, len(raw), 3), 2))
+    assert exact_sets([], 3) == [] and [len(x) for x in exact_sets([b"", b" "], 3)] == [0, 0]
+
+
+def test_words_that_collide_in_polynomials_modulo_powers_of_two(documents, rows):
+    x, y = thue_morse(1024)
+    a = np.frombuffer(f"{x}{y}".encode(), np.uint8)
+    assert len(set(Ranges(a)(np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    docs = [(1, f"p q {x} r s"), (2, f"p q {y} r s"), (3, f"p q {x} r s p q {y} r s")]
+    assert rows(jaccard.report(documents(*docs))) == brute(docs) == [(1, 3, 1), (2, 3, 2), (3, 8, 3)]
+
+
+def test_links_are_verified_on_words():
+    """Even if all words had the same hash, no link and no size would be wrong."""
+    texts = [b"p q r s", b"t u v w", b"t U v w x", b"t u"]
+    verify = jaccard._verifier(3, 60)
+    batch = pa.RecordBatch.from_pydict({"u": [0, 1, 0], "v": [1, 2, 3], "tu": [texts[0], texts[1], texts[0]], "tv": [texts[1], texts[2], texts[3]]})
+    assert [b.to_pydict() for b in verify([batch])] == [{"u": [1], "v": [2]}]
 
 
 def test_keep_one(documents):
