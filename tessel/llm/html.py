@@ -1,21 +1,26 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut at block-level tags into flat blocks. A block has its number of words and its link density, those of the
-blocks before and after it, and whether it lies in boilerplate markup or in an article. A decision tree over these
-numbers, trained on the small labelled table below, tells content from the rest.
+blocks before and after it, and as markup the kind of its element, whether it lies in the page's article or in an
+element that isn't one, and whether one around it is named as boilerplate. A decision tree, trained on the small table of
+labelled blocks below, tells content from the rest; in training a test of markup has to separate ``MARKUP_COST`` times as
+well as one of words or links, so markup decides only what those leave open.
 
 Defined results: null, empty and tagless html is handled like any other (text outside of tags is a block); pages cut off
 anywhere are read to their end, but for what an unclosed script or style hides; start tags imply the end of an open
-paragraph, list item, option or table part; a page without content has the empty text; repeated rows are separate rows; an empty
-table gives no rows; extra columns are ignored.
+paragraph, list item, option or table part; an inline element that is named as boilerplate is a block of its own; what
+isn't displayed (hidden, display: none) isn't read; a page without content has the empty text; repeated rows are separate
+rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from functools import lru_cache
 from html import unescape
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +30,17 @@ from .common import column, map_arrow
 # Names of HTML elements
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul br".split())
 HIDDEN = frozenset("script style noscript template iframe object svg annotation annotation-xml title textarea canvas audio video select".split())
+FOREIGN = frozenset("svg annotation annotation-xml".split())  # a slash closes them
 TO_END = frozenset("script style".split())  # without an end tag they hide the rest of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MARKED = frozenset("nav aside footer form menu dialog button fieldset header".split())
+APART = frozenset("nav aside footer form menu dialog button fieldset header".split())
 MAIN = frozenset("article main".split())
-# Words of class, id and role that name what isn't an article
-HINTS = frozenset("ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popular privacy promo promoted promotion reader recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar trending warning widget widgets alert".split())
-CONTENT = frozenset("article main story post entry".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote figcaption dd dt caption summary".split())
+ENTRIES = frozenset("li td th option legend".split())
+# Whole names in class, id and role of what isn't an article, alone or with one of the endings
+NAMED = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo replies search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+ENDINGS = frozenset("area bar banner block box container form inner item links list menu notice panel section slot text unit widget wrapper".split())
 # Start tags that imply the end of open elements (and of all in them), and the elements that this doesn't reach beyond
 ITEMS = BLOCKS - frozenset("address div p li dt dd".split())
 IMPLIED = {
@@ -47,64 +56,96 @@ PARAGRAPH = frozenset(["p"]), frozenset("button table caption td th".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("body br button caption frameset html legend optgroup option select tbody td tfoot th thead tr".split())
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>|\Z)|[^>]*(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+EMPTY = re.compile(r"(?:^|[\s\"'])/>\Z")
 
 
 @lru_cache(4096)
-def _kind(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is an article."""
-    poor, rich = name in MARKED, name in MAIN
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's attributes name it as boilerplate, and whether they keep it from being displayed."""
+    named = hidden = False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        words = {x.lower() for x in NAME.findall(value)}
-        if key in ("hidden",) or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            poor = True
-        elif key in ("class", "id", "role"):
-            poor |= bool(words & HINTS) and not (words & {"content", "body"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer"})
-            rich |= bool(words & CONTENT) and not words & HINTS
-    return poor, rich and not poor
-
-
-def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
-    """(text, words, link density, in boilerplate, in an article) of the flat blocks with text."""
-    out: list[tuple[str, int, float, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []
+        if key in ("class", "id", "role"):
+            for name in value.lower().replace("_", "-").split():
+                first, _, rest = name.partition("-")
+                named |= first in NAMED and (not rest or all(x in ENDINGS or x.isdigit() for x in rest.split("-")))
+        hidden |= key == "hidden" or key == "style" and bool(UNDISPLAYED.search(value))
+    return named, hidden
+
+
+class Open:
+    """The open elements, and how many of them are what."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int, int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.apart = self.main = self.named = self.hidden = 0
+
+    def enter(self, name: str, attributes: str) -> bool:
+        """Whether the element starts or ends what is named or hidden."""
+        named, hidden = _marks(attributes)
+        apart = name in APART and not (name == "header" and self.main)  # an article's own heading
+        self.at[name].append(len(self.stack))
+        self.stack.append((name, apart, name in MAIN, named, hidden))
+        self._count(1)
+        return named or hidden
+
+    def _count(self, n: int) -> None:
+        _, apart, main, named, hidden = self.stack[-1]
+        self.apart, self.main, self.named, self.hidden = self.apart + n * apart, self.main + n * main, self.named + n * named, self.hidden + n * hidden
+
+    def leave(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self._count(-1)
+            self.at[self.stack.pop()[0]].pop()
+
+    def end(self, name: str) -> None:
+        if self.at[name]:
+            self.leave(self.at[name][-1])
+
+    def imply(self, ended: frozenset, barrier: frozenset) -> None:
+        """Close the outermost of the ended elements that no barrier keeps apart."""
+        if any(self.at[x] for x in ended):
+            inside = max((self.at[x][-1] for x in barrier if self.at[x]), default=-1)
+            found = [self.at[x][i] for x in ended for i in [bisect_right(self.at[x], inside)] if i < len(self.at[x])]
+            if found:
+                self.leave(min(found))
+
+    def kind(self) -> int:
+        """Of the innermost block element: 0 any, 1 entry of a list or table, 2 paragraph, 3 heading."""
+        for name, *_ in self.stack[: -4 : -1]:
+            if name in BLOCKS:
+                return 3 if name in HEADINGS else 2 if name in PARAGRAPHS else 1 if name in ENTRIES else 0
+        return 0
+
+    def place(self) -> int:
+        return -1 if self.apart else 1 if self.main else 0
+
+
+def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
+    """(text, words, link density, kind, place, named) of the flat blocks with text; place is -1 in elements that aren't articles, 1 in articles, else 0."""
+    out: list[tuple[str, int, float, int, int, int]] = []
+    opened = Open()
     text: list[str] = []
     linked: list[str] = []
-    poor = rich = link = 0
-    opened: Counter[str] = Counter()
+    link = False
     endless: set[str] = set()
 
-    def leave(depth):
-        nonlocal poor, rich
-        while len(stack) > depth:
-            last, p, r = stack.pop()
-            poor, rich = poor - p, rich - r
-            opened[last] -= 1
-
-    def imply(ended, barrier):
-        if any(opened[x] for x in ended):
-            depth = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ended:
-                    depth = i
-                elif stack[i][0] in barrier:
-                    break
-            leave(depth)
-
     def close():
         words = unescape("".join(text)).split()
         if words:
             inside = len(unescape("".join(linked)).split())
-            out.append((" ".join(words), len(words), min(1.0, inside / len(words)), int(poor > 0), int(rich > 0)))
+            out.append((" ".join(words), len(words), min(1.0, inside / len(words)), opened.kind(), opened.place(), int(opened.named > 0)))
         text.clear()
         linked.clear()
 
     def add(piece):
-        text.append(piece)
-        if link:
-            linked.append(piece + " ")
+        if not opened.hidden:
+            text.append(piece)
+            if link:
+                linked.append(piece + " ")
 
     at, n = 0, len(html)
     while at < n:
@@ -117,11 +158,11 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
         at = m.end()
         if m[2] is None:
             continue
-        name = m[2].lower()
-        if name == "body" and not m[1]:
+        name, ends = m[2].lower(), bool(m[1])
+        if name == "body" and not ends:
             continue
-        if name in HIDDEN and not m[1]:
-            if not m[3].rstrip(">").endswith("/"):
+        if name in HIDDEN and not ends:
+            if not (name in FOREIGN and EMPTY.search(m[3])):
                 end = None if name in endless else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                 if end is not None:
                     at = end.end()
@@ -130,67 +171,118 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
                 else:
                     endless.add(name)
             continue
+        if name == "a":
+            link = not ends
+        inline = name in ("span", "label", "small", "em", "strong", "ins")
         if name in BLOCKS:
             close()
-            if not m[1]:
+            if not ends:
                 if name in IMPLIED:
-                    imply(*IMPLIED[name])
+                    opened.imply(*IMPLIED[name])
                 if name in ENDS_PARAGRAPH:
-                    imply(*PARAGRAPH)
-        if name == "a":
-            link = 0 if m[1] else 1
+                    opened.imply(*PARAGRAPH)
+        elif inline and (any(_marks(m[3])) if not ends else opened.at[name] and any(opened.stack[opened.at[name][-1]][3:])):
+            close()
         if name in VOID:
             continue
-        if not m[1]:
-            if name in BLOCKS or name in ("span", "label"):
-                p, r = _kind(name, m[3])
-                if rich and name == "header" and not re.search(r"class|id|role", m[3]):
-                    p = False  # an article's own heading
-                stack.append((name, p, r))
-                opened[name] += 1
-                poor, rich = poor + p, rich + r
-        elif opened[name]:
-            leave(max(i for i, x in enumerate(stack) if x[0] == name))
+        if ends:
+            opened.end(name)
+        elif name in BLOCKS or inline:
+            opened.enter(name, m[3])
     close()
     return out
 
 
-# The labelled table: words, link density, the same of the block before and after, in boilerplate, in an article, article on the page; content
-TABLE = [
-    (40, 0.0, 35, 0.0, 50, 0.0, 0, 1, 1, 1), (1, 0.0, 60, 0.0, 30, 0.0, 0, 1, 1, 1), (2, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1, 1), (8, 0.0, 0, 0.0, 80, 0.0, 0, 1, 1, 1),
-    (12, 0.1, 40, 0.0, 40, 0.0, 0, 1, 1, 1), (6, 1.0, 40, 0.0, 40, 0.0, 0, 1, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1, 1), (300, 0.0, 5, 1.0, 2, 1.0, 0, 1, 1, 1),
-    (9, 0.0, 12, 0.0, 5, 0.0, 0, 1, 1, 1), (30, 0.0, 8, 0.0, 6, 0.2, 0, 1, 1, 1), (3, 0.0, 2, 1.0, 25, 0.0, 0, 1, 1, 1), (4, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 40, 0.0, 1, 0, 1, 0), (10, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0),
-    (40, 0.0, 1, 1.0, 10, 0.0, 1, 0, 1, 0), (25, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1, 0), (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0), (5, 0.2, 40, 0.0, 0, 0.0, 1, 0, 1, 0),
-    (20, 0.0, 30, 0.0, 22, 0.0, 1, 1, 1, 0), (6, 0.0, 30, 0.0, 30, 0.0, 1, 1, 1, 0), (60, 0.0, 40, 0.0, 5, 0.0, 1, 1, 1, 0), (2, 1.0, 10, 0.0, 10, 0.0, 1, 1, 1, 0),
-    (15, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 0), (40, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 0), (3, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0), (8, 1.0, 5, 0.0, 2, 0.0, 0, 0, 1, 0),
-    (120, 0.0, 200, 0.0, 3, 0.5, 0, 0, 1, 0), (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0),
-    (40, 0.0, 35, 0.0, 50, 0.0, 0, 0, 0, 1), (80, 0.1, 2, 1.0, 70, 0.0, 0, 0, 0, 1), (20, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (16, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (6, 0.0, 30, 0.1, 30, 0.0, 0, 0, 0, 1), (11, 0.0, 25, 0.0, 4, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (200, 0.05, 4, 0.0, 1, 1.0, 0, 0, 0, 1), (13, 0.0, 15, 0.0, 14, 0.0, 0, 0, 0, 1), (2, 0.0, 22, 0.0, 30, 0.0, 0, 0, 0, 1), (50, 0.2, 1, 1.0, 2, 1.0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (10, 0.9, 2, 1.0, 8, 0.8, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (20, 0.9, 30, 0.0, 20, 0.9, 0, 0, 0, 0), (4, 0.5, 3, 0.5, 2, 1.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (6, 0.7, 40, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (30, 0.0, 40, 0.0, 40, 0.0, 1, 0, 0, 0), (5, 0.0, 40, 0.0, 40, 0.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (90, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0, 0),
-]
-
-
-def train(rows, depth: int = 8):
-    """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or a label."""
+def features(found: list[tuple[int, float, int, int, int]]) -> list[tuple]:
+    """Words and link density of each block and of those before and after it, its kind, place and name; beside a page's article, all others are apart."""
+    article = any(b[3] > 0 for b in found)
+    none = (0, 0.0, 0, 0, 0)
+    return [
+        (*b[:2], *x[:2], *y[:2], b[2], -1 if article and b[3] < 1 else b[3], b[4])
+        for x, b, y in zip([none, *found], found, [*found[1:], none], strict=False)
+    ]
+
+
+#: Labelled blocks of pages, a line each: + content or - not; > in an article, < in an element that isn't one, = neither; ! named
+#: as boilerplate; heading h, paragraph p, entry i or other d; words, and after a slash those of them in links.
+TABLE = """
+-<i1/1 -<i1/1 -<i1/1 -=d7 +>h9 +>p12 +>p180 +>p31 +>p1 +>p64 +>p2 -<d8
+-<i1/1 -<i1/1 -<i2/2 -=!d9 +>h4 +>p2 +>p1 +>p3 +>p1 -<d6
+-<i1/1 -<i1/1 -=!d11 +>h13 +>p90 +>p1 +>p240 +>p7 +>p38 -<d9
+-<i2/2 -<i1/1 -=d5 +>h1 +>p1 -<d7
+-<d2 -<i1/1 -<i1/1 +>h6 +>p55/2 +>p4/4 +>i9 +>i12/3 +>i3/3 +>p70 -<p14 -<p30 -<d12/2
+-=d14 -<i1/1 +>h8 +>d40 +>d2 +>d120 -=p25 -=d60 -=p4 -<d20/5
+-<h2 -<i1/1 -<p16 +>h7 +>p33 -<p22 +>p41 +>p6 -<h3 -<i5/5 -<i6/6 -<d8
++>h5 +>p45 +>p60 ->!h1 ->!p24 ->!d3 ->!p52 ->!p8 -<d5
++>h5 +>p28 ->!d4 +>p66 ->!p12 +>p9 ->!d2/2 ->!d3/3
++>h3 +>p5/5 +>p19 +>i4/4 +>i4/4 +>i2 +>p8 -<d3/3 -<d2/2
+-<i1/1 -=d9 +>h5 +>p80 +>p4 +>p3/3 -<d4
++>h5 +>p80 +>p7 +>i2/2 +>i9 +>p2/2 +>p1 +>i1/1 +>p3
++>p3/3 +>p30 +>d2/2 +>d4 +>d1 +>i1/1 +>d90 +>d5 +>i2/2
++>i1/1 +>i2/2 +>i1/1 +>p3
++>p20 +>d1
++>h4 +>d40 +>d3
++>h2 +>d30 +>i4 +>i2 +>i1
++>p7 +>d90 +>d18
++>h3 +>p50 +>d6 +>d2
++>p11 +>p35 ->!d4/4 ->!i2/2 ->!i1/1 ->!p9/3 +>p8 +>i5
++>h6 ->!d2/2 ->!d1/1 +>p44 ->!p6/3 ->!p14/2 +>p4 +>d2
+-=i1/1 -=i1/1 +>p70 +>p12 +>p1/1 -=i1/1
+-=i1/1 -=i1/1 -=i2/2 +=h6 +=p44 +=p90/3 +=p14 +=p130 +=p26 -=d4/3 -=d2/2 -=d6
+-=d1/1 -=d1/1 -=d2/2 -=d1/1 +=d30 +=d95 +=d41/1 +=d60 -=d2/2 -=d3/3 -=d1/1
+-=d6/6 +=h7 +=p24 +=p5 +=p61 +=h3 +=p80 +=p18 -=!d12 -=!p20 -=d9/8
+-=d3/3 -=d4/3 -=d2 +=h9 +=p36 +=i12 +=i7 +=i15 +=p50 -=d2/2 -=d5/4 -=d4
+-=i1/1 -=i3/3 -=i2/2 -=i4/4 -=i2/2 -=d3/3 -=i6/6 -=i5/5 -=i7/7
+-=!d30 -=!d5 +=h4 +=p70 +=p22 -=!h2 -=!p35 -=!p12 -=!p60 -=!d3
+-=i2/2 -=d2 +=p200/4 +=p12 +=p150 -=d1 -=i1/1
+-=d2/2 -=d1/1 -=d2/2 +=d8 +=d70 +=d2 +=d44 +=d15 -=d3/3 -=d2/2
+-=d1/1 -=d1/1 -=d9 +=h7 +=d25 +=d66 +=d30 -=d7
+-=i1/1 -=i1/1 -=i1/1 -=d6 +=h8 +=p40 +=p3 +=p18 -=d6
++=d16
++=p9
++=h3 +=p11 +=p6 
++=p3 +=p2 +=p4
+-=d2/2 -=d2 -=d2/2 +=d55 +=d80 -=d3 -=d2/2 -=d2
+-=i1/1 -=i1/1 +=h5 +=p1 +=p30 +=p1 +=p2 +=p25 -=d2/2 -=d6
+"""
+MARKUP_COST = 2
+LEAST_ROWS = 5
+ONE = re.compile(r"([+-])([<>=])(!?)([diph])(\d+)(?:/(\d+))?")
+
+
+def labelled(table: str) -> list[tuple]:
+    """The features of labelled blocks, and 1 for content or 0."""
+    rows = []
+    for line in table.split("\n"):
+        found = [((int(w), int(l or 0) / int(w), "diph".index(k), "<=>".index(p) - 1, int(bool(n))), int(c == "+")) for c, p, n, k, w, l in ONE.findall(line)]
+        rows += [(*x, c) for x, (_, c) in zip(features([b for b, _ in found]), found, strict=True)]
+    return rows
+
+
+def train(rows, depth: int = 12, least: int = LEAST_ROWS, markup: int = 6, cost: float = MARKUP_COST):
+    """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or a label.
+
+    Features from ``markup`` on gain 1 / cost of what they separate; no side has under ``least`` rows.
+    """
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
         return int(2 * ones >= len(rows))
+    whole = 2 * ones * (1 - ones / len(rows))
     best = None
     for f in range(len(rows[0]) - 1):
-        values = sorted({r[f] for r in rows})
-        for a, b in zip(values, values[1:], strict=False):
+        for a, b in pairwise(sorted({r[f] for r in rows})):
             cut = (a + b) / 2
             sides = [[r for r in rows if (r[f] > cut) == s] for s in (False, True)]
-            impure = sum(2 * sum(r[-1] for r in s) * (1 - sum(r[-1] for r in s) / len(s)) for s in sides)
-            if best is None or impure < best[0] - 1e-12:
-                best = impure, f, cut, sides
+            if min(map(len, sides)) < least:
+                continue
+            gain = whole - sum(2 * sum(r[-1] for r in s) * (1 - sum(r[-1] for r in s) / len(s)) for s in sides)
+            gain /= cost if f >= markup else 1
+            if best is None or gain > best[0] + 1e-12:
+                best = gain, f, cut, sides
     if best is None:
         return int(2 * ones >= len(rows))
-    return best[1], best[2], train(best[3][0], depth - 1), train(best[3][1], depth - 1)
+    below, above = (train(side, depth - 1, least, markup, cost) for side in best[3])
+    return below if below == above else (best[1], best[2], below, above)
 
 
 def decide(tree, x) -> int:
@@ -202,14 +294,7 @@ def decide(tree, x) -> int:
 def main_text(html: str, tree) -> str:
     """The content blocks, joined by blanks."""
     found = blocks(html)
-    article = int(any(b[4] and not b[3] for b in found))
-    kept = []
-    for i, (text, words, density, poor, rich) in enumerate(found):
-        before = found[i - 1][1:3] if i else (0, 0.0)
-        after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
-        if decide(tree, (words, density, *before, *after, poor, rich, article)):
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(b[0] for b, x in zip(found, features([b[1:] for b in found]), strict=True) if decide(tree, x))
 
 
 def _extractor(tree):
@@ -225,4 +310,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(column(pages, id_col).alias("page_id"), column(pages, url_col).alias("url"), column(pages, html_col).alias("html"))
     kind = dict(rows.dtypes)
-    return map_arrow(rows, _extractor(train(TABLE)), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    return map_arrow(rows, _extractor(train(labelled(TABLE))), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
