@@ -1,13 +1,16 @@
 """Exact top-k inner products through an impact-ordered index, score at a time.
 
-Candidates are indexed in blocks. A posting is one component of one vector; its impact is its absolute value, quantised
-to ``levels`` steps of the block's largest. A segment holds all postings of one quantised impact. Segments are
-processed by descending impact for a block of queries: each adds its postings' products to the accumulators. What a
-candidate's later postings can still add is at most the product of the norms of the query and of those postings.
-Processing stops only when that proves which few candidates may be members; those are rescored exactly in integers.
-
-Every task passes on the best k of each query among its candidates, so what meets for a query grows with tasks, not
-rows. Queries travel in blocks of a bounded number of rows.
+Candidates are indexed in groups of a bounded number of vectors. A posting is a place in the group and one component's
+value there; zeros have none. Its impact is its absolute value, quantised by powers of the root of two. A segment holds
+all postings of one quantised impact, component by component. Segments are processed by descending impact: each adds its
+postings' products to the accumulators of a block of queries, and takes their components out of what is left of the
+query and of the candidate. What the later postings can still add is at most the product of the norms of both
+remainders (and a bound on rounding). Processing stops only when that proves which few candidates may be members; those
+are rescored exactly in integers, whatever their size.
+
+Every group meets all queries on the executors: queries are sent to each group's task through a shuffle and read as a
+stream, so neither the driver nor a task holds more of them than a batch. A group passes on the best k of each query,
+so what meets for a query grows with the groups, not with rows.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
 rows with the query's own id are never its results; repeated query rows give repeated results; vectors of different
@@ -17,49 +20,82 @@ bits is cut to the largest or smallest long.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, table
+from .common import column, drop, map_arrow, table
 
-QUERY_ROWS = 16_384  # sent to the executors at once
-BLOCK = 4096  # candidates indexed at once
+GROUP = 32_768  # candidates indexed at once, about
+QUERIES = 64  # that go through an index together
 FEW = 32  # possible members a query that are rescored at once
+PAIRS = 65_536  # rescored at once
+ROUNDING = 2.0**-52
+WORTH = 0.25  # of all candidates' squared norms: while more is left, what it may add proves nothing
 
 
 class Index:
-    """Postings of a block of integer vectors in segments by descending quantised impact."""
-
-    def __init__(self, x: np.ndarray, levels: int = 8):
-        self.x = x
-        size = np.abs(x)
-        step = max(1, -(-int(size.max(initial=0)) // levels))
-        level = -(-size // step)
-        self.segments, rest = [], (x.astype(np.float64) ** 2).sum(axis=1)
-        for l in range(int(level.max(initial=0)), 0, -1):
-            part = np.where(level == l, x, 0).astype(np.float64)
-            rest = np.maximum(rest - (part**2).sum(axis=1), 0)
-            self.segments.append((np.ascontiguousarray(part.T), np.sqrt(rest) * (1 + 1e-9)))
-
-    def possible(self, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, candidate) pairs that may be among a query's best k: all others are proven not to be, with floor a lower bound on its k-th score."""
-        norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))[:, None] * (1 + 1e-9)
-        sums, n = np.zeros((len(q), len(self.x))), len(self.x)
+    """Postings of integer vectors in segments by descending quantised impact."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.order = np.argsort(ids, kind="stable")
+        at, component = np.nonzero(x)
+        value = x[at, component].astype(np.float64)
+        impact = np.floor(2 * np.log2(np.abs(value))).astype(np.int64)
+        by = np.lexsort((at, component, -impact))
+        at, component, value, impact = at[by], component[by], value[by], impact[by]
+        cuts = [0, *(np.flatnonzero((np.diff(impact) != 0) | (np.diff(component) != 0)) + 1).tolist(), len(at)]
+        #: (squared norms of what comes after, [(component, places, values)]) by descending impact
+        self.segments: list[tuple[np.ndarray, list]] = []
+        rest, last = np.zeros(len(x)), None
+        for i, j in zip(cuts[-2::-1], cuts[:0:-1], strict=True):  # ascending, so that nothing is lost to rounding
+            if j == i:
+                continue
+            if impact[i] != last:
+                last = impact[i]
+                self.segments.append((rest.copy(), []))
+            self.segments[-1][1].append((int(component[i]), at[i:j], value[i:j]))
+            rest[at[i:j]] += value[i:j] ** 2
+        self.segments.reverse()
+        self.norm = np.sqrt(rest)
+        self.processed = 0  # segments, over all blocks of queries
+
+    def own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, query) where a candidate has the query's id."""
+        sorted_ids = self.ids[self.order]
+        a, z = np.searchsorted(sorted_ids, ids), np.searchsorted(sorted_ids, ids, side="right")
+        return self.order[np.concatenate([np.arange(i, j) for i, j in zip(a, z, strict=True)]).astype(np.int64)], np.repeat(np.arange(len(ids)), z - a)
+
+    def possible(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) pairs that may be among a query's best k; all others are proven not to be."""
+        wide = np.ascontiguousarray(q.T.astype(np.float64))
+        norm = np.sqrt((wide**2).sum(axis=0))
+        rounding = ROUNDING * (2 * len(wide) + 16)
+        error = rounding * self.norm[:, None] * norm
+        sums, left = np.zeros((len(self.x), len(q))), np.tile(norm**2, (len(self.x), 1))
+        own = self.own(ids)
+        n, whole = len(self.x), (self.norm**2).sum()
         may = np.ones(sums.shape, bool)
-        wide = q.astype(np.float64)
-        for part, rest in self.segments:
-            sums += wide @ part
-            slack = norm * rest
+        for rest, postings in self.segments:
+            for component, at, value in postings:
+                if component < len(wide):
+                    sums[at] += value[:, None] * wide[component]
+                    left[at] -= wide[component] ** 2
+            self.processed += 1
+            if rest.sum() > WORTH * whole:
+                continue
+            slack = np.sqrt(np.maximum(left, 0) + rounding * norm**2) * np.sqrt(rest * (1 + rounding))[:, None] + error
+            sums[own] = -np.inf
             if n > k:
-                floor = np.maximum(floor, np.partition(sums - slack, n - k, axis=1)[:, n - k])
-            may = sums + slack >= floor[:, None]
-            if may.sum() <= FEW * len(q):
-                break
-        return np.nonzero(may)
+                floor = np.partition(sums - slack, n - k, axis=0)[n - k]
+                may = sums + slack >= floor
+                if may.sum() <= FEW * len(q):
+                    break
+        may[own] = False
+        place, query = np.nonzero(may)
+        return query, place
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -70,82 +106,77 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([min(top, max(-top - 1, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q, x, strict=True)], np.int64)
 
 
-def _best(q, key, id_, score, k):
+def _best(q: np.ndarray, id_: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The best k of each query among (query, id, score) rows, ties to smaller ids."""
-    o = np.lexsort((id_, -score.astype(np.float64), q)) if np.abs(score).max(initial=0) < 2**53 else np.array(sorted(range(len(q)), key=lambda i: (q[i], -int(score[i]), id_[i])), np.int64)
+    o = np.lexsort((id_, ~score, q))  # ~ turns the order of all longs round
     q, id_, score = q[o], id_[o], score[o]
-    first = np.searchsorted(q, q)
-    keep = np.arange(len(q)) - first < k
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[keep], id_[keep], score[keep]
 
 
-def _matrix(values: pa.ListArray, width: int) -> np.ndarray:
+def _matrix(values: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Vectors as rows, padded by zeros to the longest or cut to a width."""
     flat, at = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
     n = np.diff(at)
+    width = int(n.max(initial=0)) if width is None else width
     if len(n) and (n == width).all():
         return flat[at[0] : at[-1]].reshape(-1, width).astype(np.int64)
     out = np.zeros((len(n), width), np.int64)
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        out[i, : b - a] = flat[a:b]
+        out[i, : min(b - a, width)] = flat[a : min(b, a + width)]
     return out
 
 
-def _search(queries: np.ndarray, ids: np.ndarray, k: int):
-    """Rows (vec_id, v) to the best k of each query (by its number) among them."""
-    width = queries.shape[1]
+def _search(k: int):
+    """Rows (g, kind, rid, vec_id, v) by group, candidates (kind 0) before queries, to the best k of each query in each group: (q, query_id, vec_id, score)."""
 
     def run(batches):
-        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        group, parts, index = None, [], None
         for b in batches:
-            for at in range(0, len(b), BLOCK):
-                part = b.slice(at, BLOCK)
-                cand, x = part.column("vec_id").to_numpy(), _matrix(part.column("v"), width)
-                index = Index(x)
-                tame = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, width) < 2**52
-                found = [best]
-                for i in range(0, len(queries), 256):
-                    q, own = queries[i : i + 256], ids[i : i + 256]
-                    held = np.bincount(best[0], minlength=len(queries))[i : i + 256]
-                    floor = np.full(len(q), -np.inf)
-                    full = held >= k
-                    if full.any():
-                        last = np.searchsorted(best[0], np.arange(i, i + len(q)), side="right") - 1
-                        floor[full] = best[2][last[full]]
-                    # its own row may stand in a query's way, hence one more
-                    a, c = index.possible(q, floor, k + int(np.isin(own, cand).any()) * _copies(cand)) if tame else np.nonzero(np.ones((len(q), len(x)), bool))
-                    other = own[a] != cand[c]
-                    a, c = a[other], c[other]
-                    found.append((a + i, cand[c], exact(q[a], x[c])))
-                cols = [np.concatenate(z) for z in zip(*found, strict=True)]
-                best = _best(cols[0], None, cols[1], cols[2], k)
-        yield pa.RecordBatch.from_arrays([pa.array(z) for z in best], ["q", "vec_id", "score"])
+            g, kind = b.column("g").to_numpy(), b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(b)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if g[i] != group:
+                    group, parts, index = g[i], [], None
+                part = b.slice(i, j - i)
+                if kind[i] == 0:
+                    parts.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"))))
+                    continue
+                if not parts and index is None:
+                    continue
+                if index is None:
+                    width = max(m.shape[1] for _, m in parts)
+                    x = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in parts])
+                    index, parts = Index(np.concatenate([p[0] for p in parts]), x), []
+                for at in range(0, len(part), QUERIES):
+                    some = part.slice(at, QUERIES)
+                    rid, ids, q = some.column("rid").to_numpy(), some.column("vec_id").to_numpy(), _matrix(some.column("v"), index.x.shape[1])
+                    a, c = index.possible(ids, q, k)
+                    # pieces bound what is held at once where very many tie
+                    score = np.concatenate([np.zeros(0, np.int64), *[exact(q[a[s : s + PAIRS]], index.x[c[s : s + PAIRS]]) for s in range(0, len(a), PAIRS)]])
+                    a, id_, score = _best(a, index.ids[c], score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (rid[a], ids[a], id_, score)], ["q", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _copies(ids: np.ndarray) -> int:
-    """How often the most frequent id occurs."""
-    return int(np.unique(ids, return_counts=True)[1].max(initial=0))
-
-
 def top(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose id is divisible by ``every``."""
     spark = df.sparkSession
     v = column(df, vector_col)
     sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    vecs = df.where(sound & column(df, id_col).isNotNull()).select(column(df, id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v"))
-    vecs, _ = table(vecs, "vectors")
-    queries = vecs.where(F.col("vec_id") % every == 0)
-    n, width = queries.count(), vecs.agg(F.max(F.size("v"))).first()[0] or 0
-    blocks, parts = max(1, -(-n // QUERY_ROWS)), []
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        ids = own.column("vec_id").to_numpy()
-        values = own.column("v")
-        q = np.concatenate([_matrix(c, width) for c in values.chunks]) if len(ids) else np.zeros((0, width), np.int64)
-        found = map_arrow(vecs, _search(q, ids, k), "q long, vec_id long, score long")
-        keys = spark.createDataFrame(list(enumerate(ids.tolist())), "q long, query_id long")
-        parts.append(found.join(F.broadcast(keys), "q").select((F.col("q") * blocks + block).alias("q"), "query_id", "vec_id", "score"))
+    vecs = df.where(sound & column(df, id_col).isNotNull()).select(
+        F.monotonically_increasing_id().alias("rid"), column(df, id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v")
+    )
+    vecs, vecs_path = table(vecs, "vectors")
+    groups = max(1, -(-vecs.count() // GROUP))
+    candidates = vecs.select(F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("g"), F.lit(0).alias("kind"), "rid", "vec_id", "v")
+    queries = vecs.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"), F.lit(1).alias("kind"), "rid", "vec_id", "v")
+    rows = candidates.unionByName(queries).repartition(groups, "g").sortWithinPartitions("g", "kind")
+    found, _ = table(map_arrow(rows, _search(k), "q long, query_id long, vec_id long, score long"), "found")
+    drop(spark, vecs_path)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    out = reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -28,9 +28,10 @@ def vectors(n, d, seed, spread=0.3):
     return [(i, [float(np.float32(a)) for a in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
 
 
-@pytest.mark.parametrize("block", [topk.BLOCK, 37])
-def test_against_brute_force(spark, rows, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK", block)
+@pytest.mark.parametrize("group", [topk.GROUP, 37])
+def test_against_brute_force(spark, rows, monkeypatch, group):
+    monkeypatch.setattr(topk, "GROUP", group)
+    monkeypatch.setattr(topk, "FEW", 1)
     data = vectors(700, 24, 1)
     assert rows(topk.top(frame(spark, data).repartition(3))) == sorted(brute(data), key=repr)
 
@@ -47,9 +48,11 @@ def test_repeated_ids(spark, rows):
     assert rows(topk.top(frame(spark, data), k=2)) == sorted([(0, 1, 1, 32768), (0, 2, 2, 16384)] * 2, key=repr)
 
 
-def test_query_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+def test_many_equal_vectors(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "PAIRS", 50)
     data = vectors(300, 8, 2)
+    data = data + [(300 + i, data[7][1]) for i in range(200)] + [(500 + i, [0.0] * 8) for i in range(50)]
     assert rows(topk.top(frame(spark, data), every=20)) == sorted(brute(data, 20), key=repr)
 
 
@@ -59,14 +62,37 @@ def test_large_components(spark, rows):
     assert rows(topk.top(frame(spark, data))) == sorted(brute(data), key=repr)
 
 
+def test_components_at_the_limits_of_longs(spark, rows):
+    top = 2.0**60
+    data = [(i, [top * (1 if i % 3 else -1), float(i)]) for i in range(0, 90, 10)]
+    got = rows(topk.top(frame(spark, data)))
+    cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+    value = lambda x: cut(math.floor(256 * float(np.float32(x))))
+    vecs = {i: [value(x) for x in v] for i, v in data}
+    for q, rank, i, score in got:
+        assert score == cut(sum(a * b for a, b in zip(vecs[q], vecs[i], strict=True)))
+    assert [r[1] for r in got if r[0] == 50] == [1, 2, 3, 4, 5]
+
+
 def test_index_stops_early_and_keeps_members():
     x = np.array([v for _, v in vectors(2000, 32, 4, 0.05)])
     x = np.floor(256 * x).astype(np.int64)
-    index = topk.Index(x)
-    q = x[:20]
-    a, c = index.possible(q, np.full(20, -np.inf), 6)
-    true = q @ x.T
+    index = topk.Index(np.arange(2000), x)
+    assert sum(len(at) for _, s in index.segments for _, at, _ in s) == np.count_nonzero(x)
+    impacts = [max(abs(v).max() for _, _, v in s) for _, s in index.segments]
+    assert impacts == sorted(impacts, reverse=True)
+    a, c = index.possible(np.arange(20), x[:20], 5)
+    assert index.processed < len(index.segments)
+    true = x[:20] @ x.T
+    true[np.arange(20), np.arange(20)] = -(2**60)
     for i in range(20):
-        worst = np.sort(true[i])[-6]
+        worst = np.sort(true[i])[-5]
         assert set(np.flatnonzero(true[i] >= worst)) <= set(c[a == i])
-    assert len(a) < 0.5 * true.size
+    assert len(a) < 0.1 * true.size
+
+
+def test_queries_are_not_gathered(spark, monkeypatch):
+    """No rows come to the driver but the number of vectors."""
+    monkeypatch.setattr("pyspark.sql.DataFrame.collect", None)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toArrow", None)
+    topk.top(frame(spark, vectors(100, 4, 1)), every=2)
