@@ -1,9 +1,9 @@
 """Benchmark decontamination (DataFrame functions only).
 
-Windows of the benchmark's words form a hash set. Every document's token windows are hashed inside the row and looked
-up in it; a window that hits is compared by its words, so a hash collision changes nothing. Up to ``set_limit``
-distinct windows the set travels with the plan to every executor; a larger one is looked up through an equi-join on
-the hash, which needs no bound.
+Windows of the benchmark's words form a broadcast hash set, in blocks of a bounded number of entries; documents are read
+once for each block. An entry is the digest of a window's first, middle and last word and its length: every place of a
+document is looked up by those, which streams through one stage without a shuffle, and the few places that hit are
+compared by all their words, so neither the digest nor a collision changes anything.
 
 Defined results: a null or wordless text has no words, no hits and isn't contaminated; an item without words is
 ignored; an item shorter than a window is one window of all its words; equal item ids count once; items with a null
@@ -16,76 +16,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, table, text_key
+from .common import UPPER, column, drop, table, text_key
 from .texts import small
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SET_LIMIT = 50_000
+#: A word is a run of digits, letters a-z and all beyond ASCII.
+BETWEEN = "".join(chr(i) for i in range(128) if not (chr(i).isdigit() or chr(i).isalpha()))
+SET_ROWS = 1 << 20  # of the hash set that travel at once: 16 to 32 MB
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words in order, A-Z lower-cased: what separates them becomes blanks, which is far cheaper than a pattern's matches."""
+    plain = F.translate(text, UPPER + BETWEEN, UPPER.lower() + " " * len(BETWEEN))
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
 
 
 def windows(benchmark: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct (item_id, length, win, hash): an item's windows as words joined by blanks."""
+    """Distinct (item_id, length, win, ends): an item's windows as words joined by blanks, and the digest of three of them."""
     w = benchmark.select(column(benchmark, id_col).cast("string").alias("item_id"), words(column(benchmark, text_col)).alias("w")).where(F.size("w") > 0)
     at = F.expr(f"explode(sequence(1, greatest(size(w) - {size - 1}, 1)))")
-    one = w.select("item_id", "w", at.alias("at")).select("item_id", F.expr(f"slice(w, at, least({size}, size(w)))").alias("win"))
-    return one.select("item_id", F.size("win").alias("length"), F.array_join("win", " ").alias("win"), F.xxhash64(F.transform("win", lambda x: F.xxhash64(x))).alias("hash")).distinct()
-
-
-def _hashes(length: int) -> str:
-    """SQL: the hash of the window of that length at i, of word hashes hs."""
-    return f"xxhash64(slice(hs, i, {length}))"
-
-
-def candidates(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, set_limit: int) -> DataFrame:
-    """(rid, doc_id, key of the text, n_words, found): found has (at, length, win) of the windows whose hash is in the set; rid is the row's own."""
-    lengths = [r[0] for r in grams.groupBy("length").agg(F.countDistinct("hash").alias("n")).orderBy("length").select("length").collect()]
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), column(docs, id_col).alias("doc_id"), text_key(column(docs, text_col)).alias("key"), words(column(docs, text_col)).alias("w"))
-    none = "array<struct<at:int,length:int,win:string>>"
-    if not lengths:
-        return table(base.select("rid", "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.expr(f"cast(array() as {none})").alias("found")), "decon")[0]
-    if grams.select("hash").distinct().limit(set_limit + 1).count() <= set_limit:
-        parts = []
-        for n in lengths:
-            inside = ",".join(f"{r[0]}L" if r[0] != -(2**63) else "bigint('-9223372036854775808')" for r in grams.where(F.col("length") == n).select("hash").distinct().collect())
-            at = f"filter(sequence(1, size(hs) - {n - 1}), i -> {_hashes(n)} IN ({inside}))"
-            parts.append(f"CASE WHEN size(hs) >= {n} THEN transform({at}, i -> struct(i AS at, {n} AS length, array_join(slice(ws, i, {n}), ' ') AS win)) ELSE cast(array() as {none}) END")
-        # one-element arrays bind the words and their hashes once for all windows
-        found = f"transform(array(w), ws -> transform(array(transform(ws, x -> xxhash64(x))), hs -> struct(bigint(size(ws)) AS n_words, cast(concat({', '.join(parts)}) as {none}) AS found))[0])[0]"
-        return table(base.select("rid", "doc_id", "key", F.expr(found).alias("r")).select("rid", "doc_id", "key", "r.n_words", "r.found"), "decon")[0]
-    base, _ = table(base, "decon-words")
-    each = F.array(*[F.struct(F.lit(n).alias("length")) for n in lengths])
-    wins = base.select("rid", "w", F.explode(each).alias("e")).where(F.size("w") >= F.col("e.length"))
-    wins = wins.select("rid", F.col("e.length").alias("length"), F.expr("posexplode(transform(array(transform(w, x -> xxhash64(x))), hs -> transform(sequence(1, size(hs) - e.length + 1), i -> xxhash64(slice(hs, i, e.length))))[0]) AS (at, hash)"))
-    hits = wins.join(grams.select("length", "hash").distinct(), ["length", "hash"]).groupBy("rid").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "length")).alias("at"))
-    out = base.join(hits.withColumnRenamed("rid", "hit"), F.col("rid") == F.col("hit"), "left")
-    found = f"cast(coalesce(transform(at, a -> struct(a.at AS at, a.length AS length, array_join(slice(w, a.at, a.length), ' ') AS win)), array()) as {none})"
-    return table(out.select("rid", "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.expr(found).alias("found")), "decon")[0]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 5, set_limit: int = SET_LIMIT) -> DataFrame:
-    """rid, doc_id, key (of the text), n_words, spans (word ranges from 1, inclusive), n_hit, items, contaminated for every document.
+    one = w.select("item_id", "w", at.alias("at")).select("item_id", F.expr(f"slice(w, at, least({size}, size(w)))").alias("win")).withColumn("length", F.size("win"))
+    ends = _ends(*(F.xxhash64(F.get("win", i)) for i in (F.lit(0), F.floor(F.col("length") / 2).cast("int"), F.col("length") - 1)), F.col("length"))
+    return one.select("item_id", "length", F.array_join("win", " ").alias("win"), ends.alias("ends")).distinct()
+
+
+def _ends(first: Column, middle: Column, last: Column, length: Column) -> Column:
+    return F.xxhash64(first, middle, last, length.cast("int"))
+
+
+def hits(docs: DataFrame, ends: DataFrame, lengths: list[int], id_col: str, text_col: str, rows: bool) -> DataFrame:
+    """Places whose ends are in the set: (doc_id, key of the text, n_words, at from 1, length, win); with rows also one for each document, at null."""
+    base = docs.select(column(docs, id_col).alias("doc_id"), text_key(column(docs, text_col)).alias("key"), words(column(docs, text_col)).alias("ws"))
+    base = base.withColumn("hs", F.transform("ws", lambda x: F.xxhash64(x)))
+    # one place more than there are words stands for the document; the outer form keeps the array from being made twice
+    each = base.select("doc_id", "key", "ws", "hs", F.posexplode_outer(F.array_append("hs", F.lit(None).cast("long"))).alias("at", "h"))
+    each = each.withColumn("length", F.explode_outer(F.array(*map(F.lit, lengths)))) if len(lengths) > 1 else each.withColumn("length", F.lit(lengths[0]))
+    n = F.size("hs")
+    inside = F.col("at") + F.col("length") <= n
+    digest = _ends(F.col("h"), F.get("hs", F.col("at") + F.floor(F.col("length") / 2).cast("int")), F.get("hs", F.col("at") + F.col("length") - 1), F.col("length"))
+    each = each.withColumn("ends", F.when(inside, digest))
+    found = each.join(F.broadcast(ends.select(F.col("ends").alias("hit"))), F.col("ends") == F.col("hit"), "left")
+    is_hit = F.col("hit").isNotNull()
+    found = found.where(is_hit | ((F.col("at") == n) & (F.col("length") == lengths[0]) & F.lit(rows)))
+    win = F.array_join(F.slice("ws", F.col("at") + 1, F.col("length")), " ")
+    return found.select("doc_id", "key", n.cast("long").alias("n_words"), F.when(is_hit, F.col("at") + 1).alias("at"), F.when(is_hit, F.col("length")).alias("length"), F.when(is_hit, win).alias("win"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 5, set_rows: int = SET_ROWS) -> DataFrame:
+    """doc_id, key (of the text), n_words, spans (word ranges from 1, inclusive), n_hit, items, contaminated for every document.
 
     Contaminated: at least ``percent`` of the words lie in windows that a benchmark item holds too.
     """
-    grams, _ = table(windows(benchmark, size, item_col, text_col), "decon-grams")
-    rows = candidates(docs, grams, id_col, text_col, set_limit)
-    found = rows.select("rid", F.explode("found").alias("f")).select("rid", "f.at", "f.length", "f.win")
-    side = grams.select("win", "item_id")
-    if grams.limit(set_limit + 1).count() <= set_limit:
-        side = F.broadcast(side)
-    hits = found.join(side, "win").groupBy("rid").agg(
+    spark = docs.sparkSession
+    grams, grams_path = table(windows(benchmark, size, item_col, text_col), "decon-grams")
+    ends, ends_path = table(grams.select("ends").distinct(), "decon-ends")
+    lengths = sorted(r[0] for r in grams.select("length").distinct().collect()) or [size]  # as many as a window has words, at most
+    blocks = max(1, -(-ends.count() // set_rows))
+    done = [table(hits(docs, ends.where(F.pmod("ends", F.lit(blocks)) == i), lengths, id_col, text_col, rows=i == 0), "decon-hits") for i in range(blocks)]
+    # equal texts have equal hits: those of a text are worked on once
+    found = done[0][0]
+    for more, _ in done[1:]:
+        found = found.unionByName(more)
+    found = found.where("at is not null").select("key", "at", "length", "win").distinct()
+    found = found.join(small(grams.select("win", "item_id")), "win").groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("length") - 1).alias("to")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")
     )
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'last', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.to - greatest(s.last, x.at - 1)), 'last', greatest(s.last, x.to)), s -> s.n)")
-    hits = hits.select(F.col("rid").alias("hit"), "spans", "items", n_hit.alias("n_hit"))
-    out = rows.join(hits, F.col("rid") == F.col("hit"), "left")
+    found, _ = table(found.select(F.col("key").alias("hit"), "spans", "items", n_hit.alias("n_hit")), "decon-found")
+    drop(spark, grams_path, ends_path, *[path for _, path in done[1:]])
+    rows = done[0][0].where("at is null").select("doc_id", "key", "n_words")
+    out = rows.join(found, F.col("key") == F.col("hit"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("rid", "doc_id", "key", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,to:int>>)")).alias("spans"), n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "key", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,to:int>>)")).alias("spans"), n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import decontaminate
 
@@ -41,10 +42,42 @@ def case(spark):
     return docs, items, spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [decontaminate.SET_LIMIT, 3])
+@pytest.mark.parametrize("limit", [decontaminate.SET_ROWS, 7])
 def test_against_brute_force(documents, rows, case, limit):
     docs, items, benchmark = case
-    assert rows(decontaminate.report(documents(*docs), benchmark, set_limit=limit)) == brute(docs, items)
+    assert rows(decontaminate.report(documents(*docs), benchmark, set_rows=limit)) == brute(docs, items)
+
+
+def test_words(spark):
+    every = "".join(map(chr, range(300)))
+    texts = [every, every[::-1], "", " ", "a", "\x00a\x00\x00B\x7f", "Äß9z  É", None, "  lead, trail  ", "İK"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(decontaminate.words(F.col("t"))).collect()
+    assert [r[0] for r in got] == [words(t) for t in texts]
+
+
+def test_large_benchmark(spark, documents, rows):
+    """More than 50,000 windows, in several blocks of the one path."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(n))
+    items = [(i, text(5_300)) for i in range(10)]
+    docs = [(i, f"{text(20)} {' '.join(items[i % 10][1].split()[i * 40 : i * 40 + 12 + i % 3])} {text(20)}") for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.windows(benchmark, 13).count() > 50_000
+    got = rows(decontaminate.report(documents(*docs), benchmark, set_rows=20_000))
+    grams = {}
+    for i, t in items:
+        v = words(t)
+        for j in range(len(v) - 12):
+            grams.setdefault(tuple(v[j : j + 13]), set()).add(str(i))
+    want = []
+    for i, t in docs:
+        w, hit, names = words(t), set(), set()
+        for j in range(len(w) - 12):
+            if tuple(w[j : j + 13]) in grams:
+                hit |= set(range(j, j + 13))
+                names |= grams[tuple(w[j : j + 13])]
+        want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    assert got == sorted(want, key=repr) and sum(x[2] > 0 for x in want) >= 40
 
 
 def test_spans_and_clean(documents, rows, case):
