@@ -7,8 +7,14 @@ an enhanced suffix array of the anchor's suffixes: a stack scan over the common
 in each interval the left extensions are sorted and scanned in the same way; where they diverge, a maximal repeat
 ends, which is reported with all its occurrences, not just neighbours.
 
-An anchor with more than ``tree_limit`` different contexts would be too large for one task's tree. Its windows are
-counted instead, by a digest, with partial sums, which finds exactly the same repeats.
+An anchor with more than ``tree_limit`` different contexts is split into classes that share more bytes on its left or on
+its right. If all of a class have a bytes before and b from the anchor on in common and ``length`` - a - b are lacking, a
+repeated window starts within one of a few ranges of these, and who shares it has in common what lies before and after
+that range; so every window is whole within a class. Classes are split until each fits a task's tree; a class that shares
+``length`` bytes is a repeat group itself.
+
+Contexts and equal texts are told apart by digests (62 and 128 bits). What a text's anchors and spans take is less than
+the text.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; equal texts of that length
 lose everything; matches never cross texts but may overlap within one; repeated rows are separate occurrences; an
@@ -18,18 +24,20 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, map_arrow, table
+from .common import drop, map_arrow, release, table
 from .hashing import Ranges, U, mix
 from .texts import distinct_texts, small
 
 PIECE = 1 << 20  # windows handled at once
 TREE_LIMIT = 8192
+WAYS = 4  # in which a class is split
 
 
 def _least(key: np.ndarray, w: int) -> np.ndarray:
@@ -178,13 +186,13 @@ def _contexts(length: int, k: int):
 
 
 def _trees(length: int, reach: bool):
-    """Rows (h, cx, left, right) sorted by h to the maximal repeats: (h, cx, before, after, repeat), a row for each occurrence.
+    """Rows (c, h, cx, left, right) sorted by class c to the maximal repeats: (h, cx, before, after, c, repeat), a row for each occurrence.
 
     With reach only the furthest before and after of each occurrence, repeat null.
     """
 
     def run(batches):
-        h, cx, lefts, rights = None, [], [], []
+        c, h, cx, lefts, rights = None, None, [], [], []
         out: list[tuple] = []
 
         def close():
@@ -196,24 +204,24 @@ def _trees(length: int, reach: bool):
                     far[0, who] = np.maximum(far[0, who], before)
                     far[1, who] = np.maximum(far[1, who], after)
                 else:
-                    out.extend((h, cx[j], before, after, i) for j in who.tolist())
-            out.extend((h, cx[j], int(far[0, j]), int(far[1, j]), None) for j in np.flatnonzero(far[1]).tolist())
+                    out.extend((h, cx[j], before, after, c, i) for j in who.tolist())
+            out.extend((h, cx[j], int(far[0, j]), int(far[1, j]), c, None) for j in np.flatnonzero(far[1]).tolist())
 
         def flush():
             cols = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "cx", "before", "after", "repeat"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["h", "cx", "before", "after", "c", "repeat"])
 
         for b in batches:
-            for g, c, x, y in zip(*(b.column(n).to_pylist() for n in ("h", "cx", "left", "right")), strict=True):
-                if g != h:
+            for k, g, x, left, right in zip(*(b.column(n).to_pylist() for n in ("c", "h", "cx", "left", "right")), strict=True):
+                if k != c:
                     close()
-                    h, cx, lefts, rights = g, [], [], []
+                    c, h, cx, lefts, rights = k, g, [], [], []
                     if len(out) >= 20_000:
                         yield flush()
-                cx.append(c)
-                lefts.append(x)
-                rights.append(y)
+                cx.append(x)
+                lefts.append(left)
+                rights.append(right)
         close()
         if out:
             yield flush()
@@ -221,18 +229,29 @@ def _trees(length: int, reach: bool):
     return run
 
 
-def _counted(contexts: DataFrame, length: int) -> tuple[DataFrame, str]:
-    """(h, cx, before, after) of the contexts of very frequent anchors: the reach of their windows that occur again; and a written path."""
-    w = contexts.select("h", "cx", F.length("left").alias("n"), "left", "right")
-    # both sides as one string of hex digits in reading order, two for each byte
-    text = F.concat(F.array_join(F.reverse(F.regexp_extract_all(F.hex("left"), F.lit("(..)"), F.lit(1))), ""), F.hex("right"))
-    w = w.select("h", "cx", "n", text.alias("t")).where(F.length("t") >= 2 * length)
-    w = w.select("h", "cx", "n", F.explode(F.expr(f"transform(sequence(0, least(n, cast(length(t) / 2 as int) - {length})), i -> struct(i, unhex(substr(sha2(substr(t, 2 * i + 1, {2 * length}), 256), 1, 32)) AS d))")).alias("x")).select("h", "cx", (F.col("n") - F.col("x.i")).alias("before"), "x.d")
-    # the place of the anchor counts too: two anchors of one text may be near enough to share a window
-    w, path = table(w, "windows")
-    again = w.groupBy("h", "before", "d").agg(F.count("*").alias("c")).where("c > 1").select("h", "before", "d")
-    found = w.join(again, ["h", "before", "d"])
-    return found.groupBy("h", "cx").agg(F.max("before").cast("long").alias("before"), F.max(length - F.col("before")).cast("long").alias("after")), path
+def _classes(contexts: DataFrame, big: DataFrame, length: int, k: int, limit: int) -> tuple[list[DataFrame], list[DataFrame], list[str]]:
+    """(classes (c, h, cx, left, right) of at most so many contexts, groups of what shares ``length`` bytes, written paths); big has the anchors h to split."""
+    spark = contexts.sparkSession
+    rest, path = table(contexts.join(small(big), "h").select(F.col("h").alias("c"), F.lit(0).alias("a"), F.lit(k).alias("b"), "h", "cx", "left", "right"), "classes")
+    parts, groups, paths = [], [], [path]
+    while True:
+        lacking = F.lit(length) - F.col("a") - F.col("b")
+        cut = lambda i: F.floor((lacking + 1) * i / WAYS).cast("int")
+        ranges = F.array(*[F.struct((F.col("a") + cut(i)).alias("a"), (F.col("b") + lacking - cut(i + 1) + 1).alias("b"), (cut(i) < cut(i + 1)).alias("some")) for i in range(WAYS)])
+        more = F.explode(F.filter(ranges, lambda x: x["some"]))
+        split = rest.select("c", "h", "cx", "left", "right", more.alias("m")).where((F.octet_length("left") >= F.col("m.a")) & (F.octet_length("right") >= F.col("m.b")))
+        c = F.xxhash64("c", "m.a", "m.b", F.expr("substring(left, 1, m.a)"), F.expr("substring(right, 1, m.b)"))
+        rest, path = table(split.select(c.alias("c"), "m.a", "m.b", "h", "cx", "left", "right"), "classes")
+        paths.append(path)
+        sizes, path = table(rest.groupBy("c").agg(F.count("*").alias("m"), (F.first("a") + F.first("b") >= length).alias("whole")).where("m > 1"), "class-sizes")
+        paths.append(path)
+        # what shares all bytes is a group; what fits a task goes to the trees; the others are split again
+        whole, large = sizes.where("whole").select("c"), sizes.where(f"not whole and m > {limit}").select("c")
+        groups.append(rest.join(small(whole), "c").select("h", "cx", F.col("a").cast("long").alias("before"), F.col("b").cast("long").alias("after"), "c", F.lit(0).cast("long").alias("repeat")))
+        parts.append(rest.join(small(sizes.where(f"not whole and m <= {limit}").select("c")), "c").select("c", "h", "cx", "left", "right"))
+        if large.isEmpty():
+            return parts, groups, paths
+        rest = rest.join(small(large), "c")
 
 
 def _merge(batches):
@@ -269,33 +288,39 @@ def _kept(length: int):
 
 
 def repeat_groups(texts: DataFrame, length: int = 200, k: int = 64, tree_limit: int = TREE_LIMIT, reach: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Repeats in texts (tid, text): (anchors (h, cx, tid, pos), groups (h, cx, before, after, repeat), written paths).
+    """Repeats in texts (tid, text): (anchors (h, cx, tid, pos), groups (h, cx, before, after, c, repeat), written paths).
 
-    The bytes pos - before to pos + after of an anchor's occurrence are an occurrence of the repeat (h, repeat); those of
-    contexts that occur more than once and of very frequent anchors are given with repeat null: both are resolved by
-    digests. Groups are clipped to an anchor's context, so a longer maximal repeat is in several of them. With reach,
-    the groups are summed up to how far an occurrence's repeats go.
+    The bytes pos - before to pos + after of an anchor's occurrence are an occurrence of the repeat (c, repeat); those of
+    contexts that occur more than once are given with c and repeat null. Groups are clipped to an anchor's context, so a
+    longer maximal repeat is in several of them, as is one whose occurrences share several classes. With reach, the
+    groups of a class are summed up to how far an occurrence's repeats go.
     """
     spark = texts.sparkSession
     every, every_path = table(map_arrow(texts.select("tid", "text"), _anchored(length, k), "h long, cx long, tid long, pos long"), "anchors")
     often, often_path = table(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    found, found_path = table(every.join(small(often, 1_000_000), "h"), "found")
+    found, found_path = table(every.join(often.hint("merge"), "h"), "found")
     drop(spark, every_path, often_path)
-    by, by_path = table(found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "pos")).alias("one")), "contexts")
+    release(spark)
+    by = found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "pos")).alias("one"))
+    by, by_path = table(by.select("h", "cx", "n", "one.tid", "one.pos"), "contexts")
     wide, wide_path = table(by.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
-    at = by.join(small(wide, 1_000_000), "h").select("one.tid", F.struct("h", "cx", F.col("one.pos").alias("pos")).alias("x")).groupBy("tid").agg(F.collect_list("x").alias("at"))
-    at, at_path = table(at, "places")
-    near, near_path = table(map_arrow(texts.select("tid", "text").join(small(at, 200_000), "tid").select("text", "at"), _contexts(length, k), "h long, cx long, left binary, right binary"), "sides")
-    hot = wide.where(F.col("m") > tree_limit).select("h")
-    hot = small(hot)
-    trees = map_arrow(near.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h"), _trees(length, reach), "h long, cx long, before long, after long, repeat long")
-    counted, windows_path = _counted(near.join(hot, "h"), length)
-    counted = counted.withColumn("repeat", F.lit(None).cast("long"))
+    at = by.join(wide.select("h").hint("merge"), "h").groupBy("tid").agg(F.collect_list(F.struct("h", "cx", "pos")).alias("at"))
+    near, near_path = table(map_arrow(texts.select("tid", "text").join(at.hint("merge"), "tid").select("text", "at"), _contexts(length, k), "h long, cx long, left binary, right binary"), "sides")
+    release(spark)
+    big, big_path = table(wide.where(F.col("m") > tree_limit).select("h"), "big")
+    parts, groups, paths = [near.select(F.col("h").alias("c"), "h", "cx", "left", "right")], [], []
+    if not big.isEmpty():
+        # few: each has more than tree_limit contexts
+        more, groups, paths = _classes(near, big, length, k, tree_limit)
+        parts = [parts[0].join(small(big), "h", "left_anti").select("c", "h", "cx", "left", "right"), *more]
+    rows = reduce(DataFrame.unionByName, parts).repartition("c").sortWithinPartitions("c")
+    trees = map_arrow(rows, _trees(length, reach), "h long, cx long, before long, after long, c long, repeat long")
     # a context that occurs again is a repeat as a whole; how far it reaches is clipped to the text when spans are cut
-    whole = by.where("n > 1").select("h", "cx", F.lit(length - k).cast("long").alias("before"), F.lit(length).cast("long").alias("after"), F.lit(None).cast("long").alias("repeat"))
-    groups, groups_path = table(trees.unionByName(counted).unionByName(whole), "repeats")
-    drop(spark, by_path, wide_path, at_path, near_path, windows_path)
-    return found, groups, [found_path, groups_path]
+    none = F.lit(None).cast("long")
+    whole = by.where("n > 1").select("h", "cx", F.lit(length - k).cast("long").alias("before"), F.lit(length).cast("long").alias("after"), none.alias("c"), none.alias("repeat"))
+    out, out_path = table(reduce(DataFrame.unionByName, [trees, *groups, whole]), "repeats")
+    drop(spark, by_path, wide_path, near_path, big_path, *paths)
+    return found, out, [found_path, out_path]
 
 
 def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, tree_limit: int) -> tuple[DataFrame, DataFrame]:
@@ -305,11 +330,11 @@ def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, t
     found, groups, paths = repeat_groups(texts, length, k, tree_limit, reach=True)
     # written, so that the join's sides are plain shuffles and an occurrence in very many texts can be split
     reach, reach_path = table(groups.groupBy("h", "cx").agg(F.max("before").alias("before"), F.max("after").alias("after")), "reach")
-    spans = found.join(reach, ["h", "cx"]).select("tid", F.greatest(F.col("pos") - F.col("before"), F.lit(0)).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+    spans = found.join(reach.hint("merge"), ["h", "cx"]).select("tid", F.greatest(F.col("pos") - F.col("before"), F.lit(0)).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
     spans = map_arrow(spans.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), _merge, "tid long, starts array<long>, ends array<long>")
     spans, spans_path = table(spans, "spans")
-    small_spans = small(spans, 200_000)
-    out = texts.join(small_spans, "tid", "left").select("key", "text", "n_rows", "starts", "ends")
+    release(spark)
+    out = texts.join(spans.hint("merge"), "tid", "left").select("key", "text", "n_rows", "starts", "ends")
     out, _ = table(map_arrow(out, _kept(length), "key string, n_bytes long, kept binary, starts array<long>, ends array<long>"), "kept")
     drop(spark, texts_path, spans_path, reach_path, *paths)
     span = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
@@ -319,7 +344,8 @@ def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, t
 def cleaned(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
     """doc_id, n_bytes, kept (bytes: a cut may split a character), spans (array of start, end in bytes): every byte of a string of ``length`` bytes that starts elsewhere too is removed."""
     rows, out = _removed(docs, length, k, id_col, text_col, tree_limit)
-    return rows.join(out.dropDuplicates(["key"]), "key").select("doc_id", "n_bytes", "kept", "spans")
+    out, _ = table(out.dropDuplicates(["key"]), "cleaned")  # written, so that a text of very many rows can be split
+    return rows.join(out, "key").select("doc_id", "n_bytes", "kept", "spans")
 
 
 def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
@@ -327,4 +353,5 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id
     rows, out = _removed(docs, length, k, id_col, text_col, tree_limit)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     out = out.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return rows.join(out.dropDuplicates(["key"]), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out, _ = table(out.dropDuplicates(["key"]), "digests")
+    return rows.join(out, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

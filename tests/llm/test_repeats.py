@@ -45,6 +45,23 @@ def test_against_brute_force(documents, rows, monkeypatch, limit, piece):
     assert rows(repeats.dedup(documents(*docs), length=20, k=6, tree_limit=limit)) == brute(docs, 20)
 
 
+def test_anchor_in_very_many_contexts(documents, rows):
+    """One passage, shared in parts of any length on both sides, in more contexts than a task's tree takes."""
+    rng = random.Random(9)
+    noise = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage = noise(44)
+    docs = [(i, noise(20) + passage[rng.randrange(12) : 44 - rng.randrange(12)] + noise(20)) for i in range(400)]
+    expected = brute(docs, 20)
+    for limit in (repeats.TREE_LIMIT, 30, 2):
+        assert rows(repeats.dedup(documents(*docs), length=20, k=6, tree_limit=limit)) == expected
+
+
+def test_more_contexts_than_the_limit(documents, rows):
+    docs = [(i, f"{i:08d}" + "the passage all share" + f"{i * 7919 % 9000:08d}") for i in range(repeats.TREE_LIMIT + 300)]
+    got = rows(repeats.dedup(documents(*docs), length=20, k=6))
+    assert got == brute(docs, 20)
+
+
 def test_kept_texts_and_spans(documents):
     docs = made(11, n=25)
     got = []
@@ -83,7 +100,7 @@ def test_maximal_repeats_have_all_occurrences():
 def test_groups_name_occurrences(spark):
     passage = "the same words over and over"
     texts = spark.createDataFrame([(0, "AAA " + passage + " BBB"), (1, "CC " + passage + " DD"), (2, "E " + passage + " FFFF")], "tid long, text string")
-    found, groups, _ = repeats.repeat_groups(texts, 20, 6)
+    found, groups, _ = repeats.repeat_groups(texts, len(passage) + 2, 6)
     spans = found.join(groups, ["h", "cx"]).selectExpr("tid", "pos - before as s", "pos + after as e", "repeat").collect()
     raw = {r["tid"]: r["text"] for r in texts.collect()}
     longest = {(r["tid"], raw[r["tid"]][r["s"] : r["e"]]) for r in spans if r["e"] - r["s"] == len(passage) + 2}
