@@ -16,10 +16,6 @@ from ..schema import TOKEN
 EMPTY = "cast(array() as array<struct<kind:string,old:{0},new:{0}>>)".format(TOKEN.simpleString())
 
 
-class KindMismatch(ValueError):
-    """An fqn has signatures of different kinds in the two snapshots."""
-
-
 def differs(a: Column, b: Column) -> Column:
     """Two tokens differ in text, or one is missing."""
     return ~a["text_normalized"].eqNullSafe(b["text_normalized"])

@@ -1,7 +1,7 @@
 """Extraction of public surfaces from component sources.
 
 ``surfaces_of`` reads one file; ``extract`` applies it to a DataFrame (repo_path, content) in Arrow batches. Files that
-can't be read by the syntax module, that are private, or that define no component give no rows.
+are private or define no component give no rows; of a file with broken parts, the others are read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ PRIVATE = ("@private", "@experimental", "@internal")
 WRAPPER = re.compile("wrapComponentConfig")
 TEMPLATE = ".html.twig"
 PREFIX = "sw-"
+SPLICE = re.compile(r"\$\{|" + ESCAPE.pattern, re.S)
 WHITE = re.compile(rb"[ \t\n\f\r]+")
 
 
@@ -37,7 +38,8 @@ class File:
 
     def token(self, start: int, end: int) -> dict:
         """Normalised text and range of a byte range."""
-        text = b" ".join(x for x in WHITE.split(self.src.raw[start:end]) if x).decode()
+        raw = self.src.raw[start:end]
+        text = (b" ".join(x for x in WHITE.split(raw) if x) if WHITE.search(raw) else raw).decode("utf-8", "replace")
         (r0, c0), (r1, c1) = self.src.point(start), self.src.point(end)
         return {"text_normalized": text, "source_range": {"start_byte": start, "end_byte": end, "start_point": {"row": r0, "column": c0}, "end_point": {"row": r1, "column": c1}}}
 
@@ -47,7 +49,7 @@ class File:
         return self.token(t[a].start, t[(a + 1 if b is None else b) - 1].end)
 
     def text(self, a: int, b: int) -> str:
-        return self.src.raw[self.src.tokens[a].start : self.src.tokens[b - 1].end].decode()
+        return self.src.raw[self.src.tokens[a].start : self.src.tokens[b - 1].end].decode("utf-8", "replace")
 
     # the file's top level
 
@@ -83,17 +85,21 @@ class File:
                 j = s.match[j] + 1 if s.tokens[j].kind == "mark" and s.tokens[j].text in PAIRS else j + 1
             if j < len(s.tokens) and s.tokens[j].kind == "string":
                 for a, b in self.fragments(j):
-                    named = template_name(s.raw[a:b].decode())
+                    named = template_name(s.raw[a:b].decode("utf-8", "replace"))
                     found = found if named is None else named
         return found if found is not None else directory_name(self.path)
 
     def fragments(self, i: int) -> list[tuple[int, int]]:
-        """Byte ranges of a string's text between its escapes."""
+        """Byte ranges of a string's or template's text between its escapes and substitutions."""
         t = self.src.tokens[i]
         out, at, end = [], t.start + 1, t.end - 1
-        for m in ESCAPE.finditer(self.src.text, at, end):
+        template, next_ = t.kind == "template", at
+        while next_ < end:
+            m = (SPLICE if template else ESCAPE).search(self.src.text, next_, end)
+            if m is None:
+                break
             out.append((at, m.start()))
-            at = m.end()
+            at = next_ = self.src.braces(m.start() + 1) if m[0] == "${" else m.end()
         return [x for x in [*out, (at, end)] if x[0] < x[1]]
 
     def roots(self) -> list[int]:
@@ -136,7 +142,10 @@ class File:
                 if s.is_(i, "{") and s.is_object(i):
                     for m in s.members(i):
                         if m.kind == "pair" and m.key == m.first and s.tokens[m.key].kind == "name":
-                            self.option(s.tokens[m.key].text, m, name, out)
+                            try:
+                                self.option(s.tokens[m.key].text, m, name, out)
+                            except SyntaxProblem as problem:
+                                log.error("a part of %s isn't read: %s", self.path, problem)
         if not out:
             return []
         if not name.startswith(PREFIX):
@@ -150,14 +159,14 @@ class File:
         kind = s.group((a, b))
         if key == "emits" and kind == "array":
             for x, y in s.elements(a):
-                if s.group((x, y)) == "string":
+                if y - x == 1 and s.tokens[x].kind in ("string", "template"):
                     for start, end in self.fragments(x):
-                        out.append(surface(self.path, self.token(start, end), f"vue.{name}.emit.{s.raw[start:end].decode()}"))
+                        out.append(surface(self.path, self.token(start, end), f"vue.{name}.emit.{s.raw[start:end].decode("utf-8", "replace")}"))
         elif key == "props" and kind == "array":
             for x, y in s.elements(a):
                 if s.group((x, y)) == "string":
                     t = s.tokens[x]
-                    out.append(surface(self.path, self.of(x), f"vue.{name}.prop.{s.raw[t.start + 1 : t.end - 1].decode()}", prop=(None, None)))
+                    out.append(surface(self.path, self.of(x), f"vue.{name}.prop.{s.raw[t.start + 1 : t.end - 1].decode("utf-8", "replace")}", prop=(None, None)))
         elif key == "props" and kind == "object":
             for p in s.members(a):
                 if p.kind == "pair":
@@ -173,7 +182,10 @@ class File:
             for d in s.members(a):
                 if d.kind == "method":
                     fqn = f"vue.{name}.{'method' if key == 'methods' else key}.{self.text(d.key, s.key_end(d.key) + 1)}"
-                    out.append(surface(self.path, self.token(s.tokens[d.first].start, s.tokens[d.body].start), fqn, method=self.method(d)))
+                    try:
+                        out.append(surface(self.path, self.token(s.tokens[d.first].start, s.tokens[d.body].start), fqn, method=self.method(d)))
+                    except SyntaxProblem as problem:
+                        log.error("%s of %s isn't read: %s", fqn, self.path, problem)
 
     def prop(self, span: tuple[int, int]) -> tuple | None:
         """(type, required) of a prop's definition; None for kinds that aren't read."""
@@ -246,11 +258,7 @@ def directory_name(path: str) -> str | None:
 
 def surfaces_of(path: str, raw: bytes) -> list[dict]:
     """The surfaces of one file, the component's own last, in order of seq."""
-    try:
-        return File(path, raw).surfaces()
-    except (SyntaxProblem, IndexError, KeyError) as problem:
-        log.error("%s isn't read: %s", path, problem)
-        return []
+    return File(path, raw).surfaces()
 
 
 def _run(batches):

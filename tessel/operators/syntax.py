@@ -1,8 +1,11 @@
 """Tokens and object members of a JavaScript / TypeScript subset.
 
-Sources are taken as bytes decoded one to one (latin-1), so indexes are byte offsets. Brackets are matched over the
-whole file; a file whose brackets don't match, or with JSX, isn't read. Members of object literals, parameters and
-type annotations are found by walking tokens from bracket to bracket.
+Sources are taken as bytes decoded one to one (latin-1), so indexes are byte offsets. Members of object literals,
+parameters and type annotations are found by walking tokens from bracket to bracket.
+
+What can't be read costs as little as possible: a character that starts no token, a quote or a template without its end,
+an opening bracket that is closed by another's, and a closing one that nothing opened become tokens of kind ``error``,
+which are part of no bracket; an element of JSX is one token; a member that can't be read is left out, up to the next comma.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ LEX = re.compile(
     |(?P<mark>=>|\.\.\.|\?\?=?|\?\.(?!\d)|&&=?|\|\|=?|===?|!==?|\*\*=?|\+\+|--|<<=?|<=|[-+*/%&|^]=|[{}()\[\];,<>=+\-*/%&|^!~?:.])""",
     re.S | re.X,
 )
+QUOTED = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"", re.S)
+JSX_OPEN = re.compile(r"<([A-Za-z_$][\w$.:-]*)?(?=[\s/>])")
 REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 ESCAPE = re.compile(r"\\(?:u\{[^}]*\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[0-7]{1,3}|\r\n|.)", re.S)
 # Words of the language
@@ -29,10 +34,11 @@ MODIFIERS = frozenset("async get set static public private protected readonly ov
 TYPE_WORDS = frozenset("keyof typeof readonly infer unique asserts new abstract".split())
 LITERALS = frozenset("null true false this super undefined".split())
 PAIRS = {"(": ")", "[": "]", "{": "}"}
+ENDS = frozenset(PAIRS.values())
 
 
 class SyntaxProblem(ValueError):
-    """The file can't be read."""
+    """A part of the file can't be read."""
 
 
 @dataclass(slots=True)
@@ -68,30 +74,73 @@ class Source:
         self.comments: list[tuple[Token, int]] = []
         self._lex()
         self.match: dict[int, int] = {}
+        self._pair()
         self.parent: list[int] = []
         open_: list[int] = []
         for i, t in enumerate(self.tokens):
-            if t.kind == "mark" and t.text in ")]}":
-                if not open_ or PAIRS[self.tokens[open_[-1]].text] != t.text:
-                    raise SyntaxProblem("brackets don't match")
-                o = open_.pop()
-                self.match[o], self.match[i] = i, o
+            if t.kind == "mark" and t.text in ENDS:
+                open_.pop()
             self.parent.append(open_[-1] if open_ else -1)
             if t.kind == "mark" and t.text in PAIRS:
                 open_.append(i)
-        if open_:
-            raise SyntaxProblem("brackets don't match")
         self._objects: dict[int, bool] = {}
 
+    def _pair(self, by_indent: bool = False) -> None:
+        """Match brackets; those without a partner become errors.
+
+        If any lack one, which they are shows in the lines' indentation: a closing bracket that begins a line belongs to
+        one that was opened on a line indented alike.
+        """
+        open_: list[int] = []
+        errors: list[int] = []
+        match: dict[int, int] = {}
+        for i, t in enumerate(self.tokens):
+            if t.kind != "mark":
+                continue
+            if t.text in PAIRS:
+                open_.append(i)
+            elif t.text in ENDS:
+                alike = (k for k in reversed(open_) if PAIRS[self.tokens[k].text] == t.text)
+                if by_indent and self.new_line(i):
+                    wide = self._indent(t)
+                    o = next((k for k in alike if self._indent(self.tokens[k]) <= wide), None)
+                    o = o if o is not None and self._indent(self.tokens[o]) == wide else None
+                else:
+                    o = next(alike, None)
+                if o is None:
+                    errors.append(i)
+                    continue
+                while open_[-1] != o:
+                    errors.append(open_.pop())
+                match[open_.pop()], match[i] = i, o
+        errors += open_
+        if errors and not by_indent:
+            self._pair(True)
+            return
+        self.match = match
+        for i in errors:
+            self.tokens[i].kind = "error"
+
+    def _indent(self, t: Token) -> int:
+        """How far the line on which the token begins is indented."""
+        at = self.lines[bisect_right(self.lines, t.start) - 1]
+        return next(i for i, c in enumerate(self.text[at : t.start + 1]) if c not in " \t")
+
     def _lex(self) -> None:
         s, at, tokens = self.text, 0, self.tokens
         while at < len(s):
             c = s[at]
             if c == "`":
                 end = self._template(at)
-                tokens.append(Token("template", s[at:end], at, end))
-                at = end
+                tokens.append(Token("template", s[at:end], at, end) if end else Token("error", c, at, at + 1))
+                at = end or at + 1
                 continue
+            if c == "<" and self._value_may_start():
+                end = self._jsx(at)
+                if end:
+                    tokens.append(Token("jsx", s[at:end], at, end))
+                    at = end
+                    continue
             if c == "/" and s[at + 1 : at + 2] not in ("/", "*") and self._value_may_start():
                 m = REGEX.match(s, at)
                 if m:
@@ -100,7 +149,9 @@ class Source:
                     continue
             m = LEX.match(s, at)
             if m is None:
-                raise SyntaxProblem(f"unreadable at byte {at}")
+                tokens.append(Token("error", c, at, at + 1))
+                at += 1
+                continue
             kind = m.lastgroup
             if kind == "comment":
                 self.comments.append((Token(kind, m[0], at, m.end()), len(tokens)))
@@ -115,6 +166,7 @@ class Source:
         return t.text in OPERATORS if t.kind == "name" else t.kind == "mark" and t.text not in (")", "]", "}", "++", "--")
 
     def _template(self, at: int) -> int:
+        """The end of the template at that byte; 0 if it has none."""
         s, i = self.text, at + 1
         while i < len(s):
             if s[i] == "\\":
@@ -122,20 +174,64 @@ class Source:
             elif s[i] == "`":
                 return i + 1
             elif s.startswith("${", i):
-                depth, i = 1, i + 2
-                while i < len(s) and depth:
-                    if s[i] == "`":
-                        i = self._template(i)
-                        continue
-                    m = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"").match(s, i)
-                    if m:
-                        i = m.end()
-                        continue
-                    depth += {"{": 1, "}": -1}.get(s[i], 0)
+                i = self.braces(i + 1)
+                if not i:
+                    return 0
+            else:
+                i += 1
+        return 0
+
+    def braces(self, at: int) -> int:
+        """The end of the expression in braces at that byte; 0 if it has none."""
+        s, i, depth = self.text, at + 1, 1
+        while i < len(s) and depth:
+            if s[i] == "`":
+                i = self._template(i)
+                if not i:
+                    return 0
+                continue
+            m = QUOTED.match(s, i)
+            if m:
+                i = m.end()
+                continue
+            depth += {"{": 1, "}": -1}.get(s[i], 0)
+            i += 1
+        return 0 if depth else i
+
+    def _jsx(self, at: int) -> int:
+        """The end of the element at that byte; 0 if none begins there or it has no end."""
+        s, i, open_ = self.text, at, []
+        while i < len(s):
+            if s[i] == "{":
+                i = self.braces(i)
+                if not i:
+                    return 0
+            elif s.startswith("</", i):
+                end = s.find(">", i)
+                if end < 0 or not open_ or s[i + 2 : end].strip() != open_.pop():
+                    return 0
+                i = end + 1
+            elif s[i] == "<":
+                m = JSX_OPEN.match(s, i)
+                if m is None:
+                    return 0
+                i = m.end()
+                while i < len(s) and s[i] != ">" and not s.startswith("/>", i):
+                    q = QUOTED.match(s, i)
+                    i = q.end() if q else self.braces(i) if s[i] == "{" else i + 1
+                    if not i or s[i : i + 1] == "<":
+                        return 0
+                if s.startswith("/>", i):
+                    i += 2
+                else:
+                    open_.append(m[1] or "")
                     i += 1
             else:
                 i += 1
-        raise SyntaxProblem("a template doesn't end")
+                continue
+            if not open_:
+                return i
+        return 0
 
     def point(self, at: int) -> tuple[int, int]:
         row = bisect_right(self.lines, at) - 1
@@ -169,6 +265,13 @@ class Source:
             i += 1
         raise SyntaxProblem("type arguments don't end")
 
+    def _angle(self, i: int) -> int:
+        """The token after the <...> that starts at i; the last one if it doesn't end."""
+        try:
+            return self.angle(i)
+        except SyntaxProblem:
+            return len(self.tokens)
+
     def type_end(self, i: int) -> int:
         """The token after the type that starts at i."""
         operand, asked = True, 0
@@ -178,7 +281,7 @@ class Source:
                 if t.text in ("|", "&", "-", "...") or t.kind == "name" and t.text in TYPE_WORDS and not self.is_(i + 1, ",", ")", "=", ";", "{", "|", "&", ">", "[", "."):
                     i += 1
                 elif t.kind == "mark" and t.text == "<":
-                    i = self.angle(i)
+                    i = self._angle(i)
                 elif t.kind == "mark" and t.text in PAIRS:
                     i, operand = self.match[i] + 1, False
                 elif t.kind == "mark":
@@ -188,7 +291,9 @@ class Source:
             elif t.kind == "mark" and t.text == "[" and not self.new_line(i):
                 i = self.match[i] + 1
             elif t.kind == "mark" and t.text == "<":
-                i = self.angle(i)
+                if self._angle(i) == len(self.tokens):
+                    return i
+                i = self._angle(i)
             elif t.kind == "mark" and t.text in (".", "|", "&", "=>"):
                 i, operand = i + 1, True
             elif t.kind == "name" and t.text in ("is", "extends"):
@@ -307,47 +412,56 @@ class Source:
         return self.is_(i - 1, "const", "let", "var") or parent >= 0 and self.tokens[parent].text == "(" and self.is_(i - 1, "(", ",") and self.is_parameters(parent)
 
     def members(self, i: int) -> list[Member]:
-        """The members of the object literal whose brace is at i."""
+        """The members of the object literal whose brace is at i; those that can't be read are left out."""
         out, close, i = [], self.match[i], i + 1
         while i < close:
             if self.is_(i, ",", ";"):
                 i += 1
                 continue
-            first = i
-            if self.is_(i, "..."):
-                i = self.value_end(i + 1, close)
-                out.append(Member("spread", first, first, i - 1))
-                continue
-            while self.tokens[i].kind == "name" and self.tokens[i].text in MODIFIERS and not self.is_(i + 1, "(", ",", ":", "}", "=", "<", "?"):
-                i += 1
-            if self.is_(i, "*"):
-                i += 1
-            key = i
-            i = self.match[i] + 1 if self.is_(i, "[") else i + 1
-            if self.is_(i, "?"):
-                i += 1
-            if self.is_(i, "(", "<"):
-                opening = self.angle(i) if self.is_(i, "<") else i
-                if not self.is_(opening, "("):
-                    raise SyntaxProblem("a method has no parameters")
-                body, returns = self.match[opening] + 1, None
-                if self.is_(body, ":"):
-                    end = self.type_end(body + 1)
-                    returns, body = (body + 1, end), end
-                if not self.is_(body, "{"):
-                    raise SyntaxProblem("a method has no body")
-                out.append(Member("method", key, first, self.match[body], None, opening, returns, body))
-                i = self.match[body] + 1
-            elif self.is_(i, ":"):
-                end = self.value_end(i + 1, close)
-                out.append(Member("pair", key, first, end - 1, (i + 1, end)))
-                i = end
-            else:
-                end = self.value_end(i, close)
-                out.append(Member("shorthand", key, first, max(key, end - 1)))
-                i = max(end, key + 1)
+            try:
+                member = self._member(i, close)
+                out.append(member)
+                i = max(member.last, i) + 1
+            except SyntaxProblem:
+                i = self._comma(i, close)
         return out
 
+    def _comma(self, i: int, close: int) -> int:
+        """The next comma outside of brackets, or close."""
+        while i < close and not self.is_(i, ","):
+            i = self.match[i] + 1 if self.is_(i, *PAIRS) else i + 1
+        return i
+
+    def _member(self, first: int, close: int) -> Member:
+        i = first
+        if self.is_(i, "..."):
+            return Member("spread", first, first, self.value_end(i + 1, close) - 1)
+        while self.tokens[i].kind == "name" and self.tokens[i].text in MODIFIERS and not self.is_(i + 1, "(", ",", ":", "}", "=", "<", "?"):
+            i += 1
+        if self.is_(i, "*"):
+            i += 1
+        key = i
+        if self.tokens[key].kind == "error" or i >= close:
+            raise SyntaxProblem("a member has no name")
+        i = self.match[i] + 1 if self.is_(i, "[") else i + 1
+        if self.is_(i, "?"):
+            i += 1
+        if self.is_(i, "(", "<"):
+            opening = self.angle(i) if self.is_(i, "<") else i
+            if not self.is_(opening, "("):
+                raise SyntaxProblem("a method has no parameters")
+            body, returns = self.match[opening] + 1, None
+            if self.is_(body, ":"):
+                end = self.type_end(body + 1)
+                returns, body = (body + 1, end), end
+            if not self.is_(body, "{"):
+                raise SyntaxProblem("a method has no body")
+            return Member("method", key, first, self.match[body], None, opening, returns, body)
+        if self.is_(i, ":"):
+            end = self.value_end(i + 1, close)
+            return Member("pair", key, first, end - 1, (i + 1, end))
+        return Member("shorthand", key, first, max(key, self.value_end(i, close) - 1))
+
     def key_end(self, key: int) -> int:
         return self.match[key] if self.is_(key, "[") else key
 

@@ -101,32 +101,46 @@ def json_line(report: DataFrame) -> str:
 
 
 def human_rows(report: DataFrame, files: DataFrame) -> DataFrame:
-    """code, headline, fqn, label, help, before, file, line, column and the source line of every row of a report.
+    """code, headline, fqn, label, help, before, file, line, column, end_line, end_column and the source lines of every row of a report.
 
-    The place is the new token's, or where a removed surface began; a file that is gone has no source line.
+    The place is the new token's, or where a removed surface began; a file that is gone has no source lines.
     """
-    r = F.when(F.col("kind").isNull(), F.col("surface.source_token.source_range")).otherwise(F.col("new.source_range"))
+    gone = F.col("kind").isNull()
+    r = F.when(gone, F.col("surface.source_token.source_range")).otherwise(F.col("new.source_range"))
+    end = F.when(gone, r["start_point"]).otherwise(r["end_point"])
     vue = F.coalesce(F.col("kind").startswith("Vue"), F.lit(False))
     row = report.select(
-        code(F.col("kind")).alias("code"), F.when(F.col("kind").isNull(), GONE).otherwise(BROKEN).alias("headline"), F.col("surface.fqn").alias("fqn"), label().alias("label"),
+        code(F.col("kind")).alias("code"), F.when(gone, GONE).otherwise(BROKEN).alias("headline"), F.col("surface.fqn").alias("fqn"), label().alias("label"),
         F.when(~vue, F.concat(F.lit("old signature was: "), F.col("surface.source_token.text_normalized"))).alias("help"),
-        F.when(F.col("old").isNotNull(), F.concat(F.lit("before: "), F.col("old.text_normalized"))).alias("before"),
-        F.col("surface.file_path").alias("file"), one_based(r["start_point"]["row"]).alias("line"), one_based(r["start_point"]["column"]).alias("column"),
+        F.when(F.col("old").isNotNull(), F.concat(F.lit("before: "), F.col("old.text_normalized"))).alias("before"), F.col("surface.file_path").alias("file"),
+        one_based(r["start_point"]["row"]).alias("line"), one_based(r["start_point"]["column"]).alias("column"), one_based(end["row"]).alias("end_line"), one_based(end["column"]).alias("end_column"),
     )
-    source = files.select(F.col("repo_path").alias("file"), "content")
-    text = F.coalesce(F.get(F.split("content", "\n"), F.col("line").cast("int") - 1), F.lit(""))
-    return row.join(source, "file", "left").select(*row.columns, text.alias("source"))
+    lines = files.select(F.col("repo_path").alias("file"), F.split("content", "\n").alias("_lines"))
+    text = F.coalesce(F.slice("_lines", F.col("line").cast("int"), (F.col("end_line") - F.col("line") + 1).cast("int")), F.array().cast("array<string>"))
+    return row.join(lines, "file", "left").select(*row.columns, text.alias("source"))
+
+
+def _frame(r) -> list[str]:
+    """The source lines with their numbers, what is meant underlined, and the label after the last."""
+    width = len(str(r["end_line"]))
+    out = []
+    for i, line in enumerate(r["source"]):
+        number, line = r["line"] + i, line.rstrip("\r")
+        cut = lambda column: len(line.encode()[: column - 1].decode("utf-8", "replace"))  # noqa: E731, B023  columns count bytes
+        start = cut(r["column"]) if i == 0 else len(line) - len(line.lstrip())
+        end = cut(r["end_column"]) if number == r["end_line"] else len(line)
+        out += [f" {number:>{width}} | {line}", f" {'':>{width}} | {' ' * start}{'^' * max(1, end - start)}"]
+    if out:
+        out[-1] += f" {r['label']}"
+        return out
+    return [f" {'':>{width}} | {r['label']}"]
 
 
 def human_text(rows: DataFrame) -> str:
     """Plain text of human_rows, ordered by file and place."""
     out = []
     for r in rows.orderBy("file", "line", "column", "fqn", "code").toLocalIterator():
-        out += [f"[{r['code']}] Error: {r['headline']}", f"   --> {r['file']}:{r['line']}:{r['column']}"]
-        if r["source"]:
-            out += [f"    | {r['source']}", f"    | {' ' * (r['column'] - 1)}^ {r['label']}"]
-        else:
-            out.append(f"    | {r['label']}")
+        out += [f"[{r['code']}] Error: {r['headline']}", f"   --> {r['file']}:{r['line']}:{r['column']}", *_frame(r)]
         out += [f"    = help: {r['help']}"] if r["help"] else []
         out += [f"    = note: API surface: {r['fqn']}"]
         out += [f"    = note: {r['before']}"] if r["before"] else []

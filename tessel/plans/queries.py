@@ -125,6 +125,46 @@ def _components_only(spark, sf_dir):
     return rows.where(F.size(F.split("fqn", r"\.")) == 2).select("fqn", "file_path")
 
 
+def _skipped(private: bool):
+    """Files without any surface: the private ones, or those that have no component."""
+
+    def run(spark, sf_dir):
+        files = w.small_files(spark, sf_dir)
+        without = files.join(extract(files).select(F.col("file_path").alias("repo_path")), "repo_path", "left_anti")
+        return without.where(text.is_private(F.col("content")) == private).select("repo_path")
+
+    return run
+
+
+def _broken_files(spark, sf_dir):
+    """What stands around the broken parts."""
+    rows = extract(w.broken_files(spark, sf_dir)).where("not fqn like '%.method.bad' and not fqn like '%.method.view'")
+    return rows.select("fqn", F.col("source_token.text_normalized").alias("text"))
+
+
+def _ranges(spark, sf_dir):
+    """Byte and point ranges of methods."""
+    rows = extract(w.sources(spark, sf_dir)).where("signature.kind = 'TsMethod'")
+    r = F.col("source_token.source_range")
+    points = [r[f"{p}_point"][f].alias(f"{p}_{f}") for p in ("start", "end") for f in ("row", "column")]
+    return rows.select("fqn", r["start_byte"].alias("start_byte"), r["end_byte"].alias("end_byte"), *points)
+
+
+def _prop_definitions(spark, sf_dir):
+    rows = extract(w.prop_files(spark, sf_dir)).where("signature.kind = 'VueProp'")
+    prop = lambda f: F.col(f"signature.vue_prop.{f}.text_normalized")
+    return rows.select("fqn", prop("type_annotation").alias("type"), prop("required").alias("required"))
+
+
+def _kind_mismatches(spark, sf_dir):
+    """A new snapshot in which some props and methods have become something else."""
+    base = w.surfaces(spark, sf_dir, False)
+    number = F.regexp_extract("fqn", "-([0-9]+)", 1).cast("long")
+    kind = F.col("signature.kind")
+    other = F.when((kind == "VueProp") & (number % 3 == 0), "TsMethod").when((kind == "TsMethod") & (number % 5 == 0), "None").otherwise(kind)
+    return d.mismatches(base, base.withColumn("signature", F.col("signature").withField("kind", other)))
+
+
 QUERIES = {
     "normalize_ws": _documents(text.normalize_ws),
     "private_marker": _documents(text.is_private),
@@ -148,6 +188,11 @@ QUERIES = {
     "extract_async": _extracted("method", lambda r: r.where("signature.ts_method.async is not null").select("fqn")),
     "extract_return_type": _extracted("method", lambda r: r.select("fqn", F.col("signature.ts_method.return_type.text_normalized").alias("ret"))),
     "component_rows": _components_only,
+    "private_skipped": _skipped(True),
+    "no_component_skipped": _skipped(False),
+    "broken_files": _broken_files,
+    "extract_ranges": _ranges,
+    "prop_definitions": _prop_definitions,
     "file_surface_count": lambda spark, sf_dir: s.file_counts(extract(w.small_files(spark, sf_dir))),
     "surface_dedup": lambda spark, sf_dir: s.upsert(_defined(spark, sf_dir)).select("fqn", "file_path"),
     "duplicate_fqns": lambda spark, sf_dir: s.duplicates(_defined(spark, sf_dir)),
@@ -155,7 +200,7 @@ QUERIES = {
     "removed": lambda spark, sf_dir: d.removed(*_snapshots(spark, sf_dir)).select("fqn", F.col("source_token.text_normalized").alias("text")),
     "added": lambda spark, sf_dir: d.added(*_snapshots(spark, sf_dir)).select("fqn"),
     "matched": lambda spark, sf_dir: d.matched(*_snapshots(spark, sf_dir)).select("base.fqn"),
-    "kind_mismatches": lambda spark, sf_dir: d.mismatches(*_snapshots(spark, sf_dir)),
+    "kind_mismatches": _kind_mismatches,
     "chg_async": _changes("TsMethodAsyncChanged"),
     "chg_return": _changes("TsMethodReturnTypeChanged"),
     "chg_param_required": _changes("TsMethodParamBecameRequired"),
@@ -171,7 +216,7 @@ QUERIES = {
     "has_breaks": lambda spark, sf_dir: _report(spark, sf_dir).limit(1).agg((F.count("*") > 0).alias("breaks")),
     "github_lines": lambda spark, sf_dir: output.github_lines(_report(spark, sf_dir)),
     "json_report": lambda spark, sf_dir: output.json_entries(_report(spark, sf_dir)),
-    "human_report": lambda spark, sf_dir: output.human_rows(_report(spark, sf_dir), w.sources(spark, sf_dir, True)).select("code", "headline", "fqn", "label", "help", "before", "file", "line", "column"),
+    "human_report": lambda spark, sf_dir: output.human_rows(_report(spark, sf_dir), w.sources(spark, sf_dir, True)).select("code", "headline", "fqn", "label", "help", "before", "file", "line", "column", "end_line", "end_column"),
     "index_roundtrip": _index_roundtrip,
     "full_pipeline": full_pipeline,
 }
@@ -232,6 +277,38 @@ g AS (SELECT *, contains(name, '.') AND string_split(name, '.')[-1] IN ('php', '
 TEXT = "SELECT doc_id, {} AS value FROM documents"
 CHANGE = WITH + "SELECT fqn, old, new FROM changed WHERE kind = '{}'"
 
+
+def _token(text: str, row: str) -> str:
+    """SQL: the JSON of a made-up token; null for a null text."""
+    return (
+        f"CASE WHEN ({text}) IS NULL THEN 'null' ELSE '{{\"text_normalized\":\"' || ({text}) || '\",\"source_range\":{{\"start_byte\":' || (({row}) * 100) || ',\"end_byte\":' || (({row}) * 100 + strlen({text})) || "
+        f"',\"start_point\":{{\"row\":' || ({row}) || ',\"column\":4}},\"end_point\":{{\"row\":' || ({row}) || ',\"column\":' || (4 + strlen({text})) || '}}}}}}' END"
+    )
+
+
+def _surface(fqn: str, text: str, row: str, signature: str) -> str:
+    return f"'{{\"file_path\":\"src/Resources/app/administration/src/' || string_split({fqn}, '.')[2] || '/index.ts\",\"source_token\":' || {_token(text, row)} || ',\"fqn\":\"' || {fqn} || '\",\"signature\":' || {signature} || '}}'"
+
+
+def _prop(type_: str, required: str, row: str) -> str:
+    return f"""'{{"VueProp":{{"type_annotation":' || {_token(type_, row)} || ',"required":' || {_token(f"CASE WHEN {required} THEN 'true' END", row)} || '}}}}'"""
+
+
+_PARAM = f"""'{{"name":' || {_token("name", "0")} || ',"type_annotation":' || {_token("type", "0")} || ',"default_value":' || {_token("def", "0")} || ',"optional":' || {_token("CASE WHEN opt THEN '?' END", "0")} || ',"rest":' || {_token("CASE WHEN rest THEN '...' END", "0")} || '}}'"""
+JSON = (
+    WITH.rstrip()
+    + f""",
+pj AS (SELECT k, string_agg({_PARAM}, ',' ORDER BY pos) AS ps FROM bd GROUP BY k),
+mj AS (SELECT 'vue.sw-order-' || k || '.method.load' AS fqn, sig, k % 50 AS r, '{{"TsMethod":{{"async":' || {_token("CASE WHEN asy THEN 'async' END", "0")} || ',"parameters":[' || coalesce(ps, '') || '],"return_type":' || {_token("ret", "0")} || '}}}}' AS js FROM bm LEFT JOIN pj USING (k)),
+prj AS (SELECT 'vue.' || comp || '.prop.' || name AS fqn, name, k % 50 AS r, {_prop("type", "req", "k % 50")} AS js FROM bp),
+npj AS (SELECT 'vue.' || comp || '.prop.' || name AS fqn, name, k % 50 AS r, {_prop("type", "req", "k % 50")} AS js FROM np),
+sj AS (SELECT fqn, {_surface("fqn", "sig", "r", "js")} AS js FROM mj UNION ALL SELECT fqn, {_surface("fqn", "name", "r", "js")} FROM prj
+  UNION ALL SELECT fqn, {_surface("fqn", "txt", "r", "'" + chr(34) + "None" + chr(34) + "'")} FROM bs WHERE NOT contains(fqn, '.prop.') AND NOT contains(fqn, '.method.')),
+nj AS (SELECT fqn, {_surface("fqn", "name", "r", "js")} AS js FROM npj)
+SELECT section, CASE WHEN kind IS NULL THEN sj.js ELSE '{{"surface":' || coalesce(sj.js, nj.js) || ',"kind":"' || kind || '","old":' || {_token("old", "CASE WHEN kind LIKE 'Vue%' THEN nr ELSE 0 END")} || ',"new":' || {_token("new", "nr")} || '}}' END AS entry
+FROM report LEFT JOIN sj ON sj.fqn = report.fqn LEFT JOIN nj ON nj.fqn = report.fqn AND kind = 'VueRequiredPropAdded'"""
+)
+
 SQL = {
     "normalize_ws": TEXT.format(r"trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g'), ' ')"),
     "private_marker": TEXT.format("contains(text, '@private') OR contains(text, '@experimental') OR contains(text, '@internal')"),
@@ -255,6 +332,11 @@ SQL = {
     "extract_async": WITH + "SELECT 'vue.sw-order-' || k || '.method.load' AS fqn FROM bm WHERE asy",
     "extract_return_type": WITH + "SELECT 'vue.sw-order-' || k || '.method.load' AS fqn, ret FROM bm",
     "component_rows": "SELECT 'vue.sw-supplier-' || s_suppkey AS fqn, 'src/Resources/app/administration/src/sw-supplier-' || s_suppkey || '/index.ts' AS file_path FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 9 <> 0",
+    "private_skipped": "SELECT 'src/Resources/app/administration/src/sw-supplier-' || s_suppkey || '/index.ts' AS repo_path FROM supplier WHERE s_suppkey % 7 = 0",
+    "no_component_skipped": "SELECT 'src/Resources/app/administration/src/sw-supplier-' || s_suppkey || '/index.ts' AS repo_path FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 9 = 0",
+    "broken_files": "SELECT 'vue.sw-broken-' || s_suppkey || n AS fqn, txt AS text FROM supplier, (VALUES ('', ''), ('.emit.one', 'one'), ('.emit.two', 'two'), ('.emit.a', 'a'), ('.emit.c', 'c'), ('.method.before', 'before(a: string): void'), ('.method.after', 'after(b?: number)')) t(n, txt)",
+    "extract_ranges": WITH + "SELECT 'vue.sw-order-' || k || '.method.load' AS fqn, lead_ AS start_byte, lead_ + strlen(sig) + 1 AS end_byte, 5::BIGINT AS start_row, 4::BIGINT AS start_column, 5::BIGINT AS end_row, (4 + strlen(sig) + 1)::BIGINT AS end_column FROM (SELECT k, sig, strlen('import template from ''./sw-order-' || k || '.html.twig'';' || chr(10) || '// é: public' || chr(10) || 'export default {' || chr(10) || '  template,' || chr(10) || '  methods: {' || chr(10) || '    ') AS lead_ FROM bm)",
+    "prop_definitions": "SELECT 'vue.sw-props-' || s_suppkey || '.prop.' || coalesce(n, 'own' || s_suppkey) AS fqn, CASE WHEN n IS NULL THEN 'Own' || (s_suppkey % 4) ELSE t END AS type, r AS required FROM supplier, (VALUES ('plain', 'String', NULL), ('either', '[Number, String]', NULL), ('full', 'Object', 'true'), ('loose', '[Array, Object]', NULL), ('must', NULL, 'true'), (NULL, NULL, NULL), ('''quoted-name''', 'Boolean', NULL)) v(n, t, r)",
     "file_surface_count": "SELECT 'src/Resources/app/administration/src/sw-supplier-' || s_suppkey || '/index.ts' AS file_path, 5::BIGINT AS n FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 9 <> 0",
     "surface_dedup": "SELECT 'vue.sw-nation-' || c_nationkey AS fqn, max('f' || c_custkey) AS file_path FROM customer GROUP BY 1",
     "duplicate_fqns": "SELECT 'vue.sw-nation-' || c_nationkey AS fqn, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1",
@@ -262,7 +344,7 @@ SQL = {
     "removed": WITH + "SELECT fqn, txt AS text FROM bs WHERE fqn NOT IN (SELECT fqn FROM ns)",
     "added": WITH + "SELECT fqn FROM ns WHERE fqn NOT IN (SELECT fqn FROM bs)",
     "matched": WITH + "SELECT fqn FROM ns WHERE fqn IN (SELECT fqn FROM bs)",
-    "kind_mismatches": "SELECT 'x' AS fqn WHERE false",
+    "kind_mismatches": WITH + "SELECT 'vue.' || comp || '.prop.' || name AS fqn FROM bp WHERE k % 3 = 0 UNION ALL SELECT 'vue.sw-order-' || k || '.method.load' FROM bm WHERE k % 5 = 0",
     "chg_async": CHANGE.format("TsMethodAsyncChanged"),
     "chg_return": CHANGE.format("TsMethodReturnTypeChanged"),
     "chg_param_required": CHANGE.format("TsMethodParamBecameRequired"),
@@ -286,6 +368,16 @@ SQL = {
       WHEN 'VuePropTypeChanged' THEN 'prop ''' || string_split(r.fqn, '.')[-1] || ''' type changed from ''' || old || ''' to ''' || new || '''' WHEN 'VuePropBecameRequired' THEN 'prop ''' || string_split(r.fqn, '.')[-1] || ''' became required'
       ELSE 'required prop ''' || string_split(r.fqn, '.')[-1] || ''' was added to existing component' END || CASE WHEN kind LIKE 'Ts%' THEN ' Old signature was: ''' || b.txt || '''' ELSE '' END END AS line
     FROM report r LEFT JOIN bs b ON b.fqn = r.fqn""",
+    "json_report": JSON,
+    "human_report": WITH
+    + """SELECT CASE WHEN kind IS NULL THEN 'api:removed' ELSE lower(regexp_replace(kind, '([a-z])([A-Z])', '\\1:\\2', 'g')) END AS code, CASE WHEN kind IS NULL THEN 'Removed public API surface' ELSE 'Potential breaking change on public API surface' END AS headline, r.fqn,
+    CASE WHEN kind IS NULL THEN 'was previously defined in this file' ELSE CASE kind WHEN 'TsMethodAsyncChanged' THEN 'async changed' WHEN 'TsMethodReturnTypeChanged' THEN 'return type changed from ''' || coalesce(old, '') || ''' to ''' || new || ''''
+      WHEN 'TsMethodParamBecameRequired' THEN 'parameter became required' WHEN 'TsMethodParamTypeChanged' THEN 'parameter type changed from ''' || old || ''' to ''' || new || '''' WHEN 'TsMethodParamRestChanged' THEN 'parameter ...rest changed'
+      WHEN 'TsMethodRequiredParamAdded' THEN 'required parameter added' WHEN 'TsMethodParamRemoved' THEN 'parameter removed'
+      WHEN 'VuePropTypeChanged' THEN 'prop ''' || string_split(r.fqn, '.')[-1] || ''' type changed from ''' || old || ''' to ''' || new || '''' WHEN 'VuePropBecameRequired' THEN 'prop ''' || string_split(r.fqn, '.')[-1] || ''' became required'
+      ELSE 'required prop ''' || string_split(r.fqn, '.')[-1] || ''' was added to existing component' END END AS label,
+    CASE WHEN kind IS NULL OR kind LIKE 'Ts%' THEN 'old signature was: ' || b.txt END AS help, 'before: ' || old AS before, 'src/Resources/app/administration/src/' || string_split(r.fqn, '.')[2] || '/index.ts' AS file,
+    nr + 1 AS line, 5::BIGINT AS "column", nr + 1 AS end_line, (5 + CASE WHEN kind IS NULL THEN 0 ELSE length(r.new) END)::BIGINT AS end_column FROM report r LEFT JOIN bs b ON b.fqn = r.fqn""",
     "index_roundtrip": WITH
     + """SELECT bs.fqn, 'src/Resources/app/administration/src/' || string_split(bs.fqn, '.')[2] || '/index.ts' AS file_path, CASE WHEN contains(bs.fqn, '.prop.') THEN 'VueProp' WHEN contains(bs.fqn, '.method.') THEN 'TsMethod' ELSE 'None' END AS kind,
     CASE WHEN contains(bs.fqn, '.method.') THEN coalesce(n, 0) END AS n_params, txt AS text FROM bs LEFT JOIN (SELECT 'vue.sw-order-' || k || '.method.load' AS fqn, count(*) AS n FROM bd GROUP BY k) c ON c.fqn = bs.fqn""",

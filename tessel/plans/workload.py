@@ -126,7 +126,9 @@ def sources(spark: SparkSession, sf_dir: str, new: bool = False) -> DataFrame:
     head = lambda: F.concat(F.lit("import template from './"), F.col("comp"), F.lit(".html.twig';\n// é: public\nexport default {\n  template,\n"))
     parts = prop.join(emit, "comp", "left").select("comp", F.concat(head(), F.lit("  emits: ["), F.coalesce("emits", F.lit("")), F.lit("],\n  props: {\n"), F.col("props"), F.lit("\n  },\n  data() { return { a: 1 }; },\n};\n")).alias("content"))
     orders = m.select("comp", F.concat(head(), F.lit("  methods: {\n    "), F.col("sig"), F.lit(" {\n      return [1, 2].map((x) => { return x; });\n    },\n    other: () => 1,\n  },\n};\n")).alias("content"))
-    return parts.unionByName(orders).select(path(F.col("comp")).alias("repo_path"), "content")
+    files = parts.unionByName(orders).select(path(F.col("comp")).alias("repo_path"), "content")
+    # few bytes but much work: dealt to all cores, which the sizes of shuffled partitions alone would not do
+    return files.repartition(4 * spark.sparkContext.defaultParallelism, "repo_path")
 
 
 def small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +141,34 @@ def small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(path(comp).alias("repo_path"), content.alias("content"))
 
 
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each supplier with something in the middle that can't be read, or that isn't plain script; what stands around it is as usual."""
+    k = F.col("s_suppkey")
+    comp = F.concat(F.lit("sw-broken-"), k)
+    broken = [
+        "    bad() {\n      if (a)) { return 1; }\n    },\n",  # a stray bracket
+        "    view() {\n      return <div title=\"a\">don't {x ? <b>it's</b> : '}'}</div>;\n    },\n",
+        "    bad() {\n      if (a) {\n        return 1;\n    },\n",  # a bracket without its end
+        "    bad() {\n      return 'open;\n    },\n",
+        "    bad() {\n      }\n    },\n",
+        "    bad(a: Map<string, b) { return 1; },\n",
+        "    bad() { return a # \\ `open; },\n",
+    ]
+    middle = F.element_at(F.array(*map(F.lit, broken)), (k % len(broken) + 1).cast("int"))
+    head = "export default {\n  emits: ['one', `two`, `a${b}c`],\n  methods: {\n    before(a: string): void { return; },\n"
+    content = F.concat(F.lit(head), middle, F.lit("    after(b?: number) { return 2; },\n  },\n};\n"))
+    return read(spark, sf_dir, "supplier").select(path(comp).alias("repo_path"), content.alias("content"))
+
+
+def prop_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each supplier with a definition of props of every kind."""
+    k = F.col("s_suppkey")
+    head = "export default {\n  props: {\n    plain: String,\n    either: [Number,  String],\n    full: { type: Object, required: true, default: () => ({}) },\n    loose: { type: [Array, Object], required: false },\n"
+    more = "    must: { required: true },\n    none: null,\n    cast: Object as PropType<X>,\n    own"
+    content = F.concat(F.lit(head + more), k, F.lit(": Own"), k % 4, F.lit(",\n    'quoted-name': { type: Boolean },\n  },\n};\n"))
+    return read(spark, sf_dir, "supplier").select(path(F.concat(F.lit("sw-props-"), k)).alias("repo_path"), content.alias("content"))
+
+
 def some_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, path, imported, fqn): paths, imports and names of many shapes, by part."""
     k = F.col("p_partkey")

@@ -5,7 +5,7 @@ import pytest
 from tessel.__main__ import main
 from tessel.plans import engine, output
 from tessel.sources import index as store
-from tessel.sources.files import RootError, list_files, validate_root
+from tessel.sources.files import RootError, Rule, list_files, validate_root
 
 OLD = "import t from './sw-card.html.twig';\nexport default {\n  emits: ['close'],\n  props: { title: { type: String }, size: Number },\n  methods: { load(id: A, x?) {} },\n};\n"
 NEW = "import t from './sw-card.html.twig';\nexport default {\n  props: { title: { type: Number }, size: Number, extra: { type: A, required: true } },\n  methods: { load(id: A, x) {} },\n};\n"
@@ -38,6 +38,32 @@ def test_listing(tree):
     assert f"{FOLDER}/built/x.js" in list_files(tree, ignore_files=False)
 
 
+@pytest.mark.parametrize(
+    "line, path, is_dir, named",
+    [
+        ("*.js", "a/b.js", False, True), ("/*.js", "a/b.js", False, False), ("/*.js", "b.js", False, True), ("a/*.js", "a/b/c.js", False, False), ("a/**/c.js", "a/b/d/c.js", False, True),
+        ("a/**/c.js", "a/c.js", False, True), ("**/b", "x/y/b", True, True), ("a/**", "a/b/c", False, True), ("a/**", "a", True, False), ("b/", "x/b", True, True), ("b/", "x/b", False, False),
+        ("a?c", "abc", False, True), ("a?c", "a/c", False, False), ("[ab].ts", "x/b.ts", False, True), ("[!ab].ts", "b.ts", False, False), ("\\#x", "#x", False, True), ("a\\*", "ab", False, False),
+        ("a\\*", "a*", False, True), ("trail  ", "trail", False, True), ("x/y", "z/x/y", False, False), ("a[", "a[", False, True),
+    ],
+)
+def test_ignore_rules(line, path, is_dir, named):
+    assert Rule("", line).names(path, is_dir) == named
+    assert Rule("sub/dir", line).names(f"sub/dir/{path}", is_dir) == named
+    assert not Rule("other", line).names(path, is_dir)
+
+
+def test_nested_ignore_files(tree):
+    (tree / "src" / ".ignore").write_text("other/*\n!other/x.ts\n")
+    assert list_files(tree) == [f"{FOLDER}/_kept/x.js", f"{FOLDER}/index.ts", "src/other/x.ts"]
+
+
+def test_frames_of_several_lines():
+    row = {"line": 9, "end_line": 10, "column": 3, "end_column": 6, "label": "changed", "source": ["  é(", "   b) {"]}
+    assert output._frame(row) == ["  9 |   é(", "    |   ^^", " 10 |    b) {", "    |    ^^ changed"]
+    assert output._frame(row | {"source": []}) == ["    | changed"]
+
+
 def test_root(tree, tmp_path_factory):
     assert validate_root(tree, "acme/shop") == tree.resolve()
     empty = tmp_path_factory.mktemp("empty")
@@ -87,7 +113,8 @@ def test_index_and_check(spark, tree, tmp_path_factory, name):
     human = engine.check(spark, tree, "acme/shop", index, "human")[1]
     assert "[ts:method:param:became:required] Error: Potential breaking change on public API surface" in human
     assert "= help: old signature was: load(id: A, x?)" in human and "= note: before: String" in human
-    assert "    | " + " " * 25 + "^ parameter became required" in human
+    assert " 4 |   methods: { load(id: A, x) {} },\n   | " + " " * 25 + "^ parameter became required" in human
+    assert " 3 |   props: { title: { type: Number }" in human and "^^^^^^ prop 'title' type changed" in human
     with pytest.raises(ValueError):
         engine.check(spark, tree, "acme/shop", index, "xml")
 

@@ -117,6 +117,13 @@ METHOD = "methods: { m() {} }"
         ("export default { props: { methods: { type: Array, default() {} } } }", ["sw-x", "sw-x.method.default", "sw-x.prop.methods"]),
         ("export default { props: ['a', \"b\", c, `d`] }", ["sw-x", "sw-x.prop.a", "sw-x.prop.b"]),
         ("export default { emits: { a: null } }", []),
+        ("export default { emits: ['a', `b`, `c${ {x: `}`} }d\\ne`, [`f`], `` ] }", ["sw-x", "sw-x.emit.a", "sw-x.emit.b", "sw-x.emit.c", "sw-x.emit.d", "sw-x.emit.e"]),
+        ("export default {\n  methods: {\n    a() {\n      if (x {\n    },\n    b() {}\n  }\n}", ["sw-x", "sw-x.method.a", "sw-x.method.b"]),
+        ("export default { methods: { a() { ) }, b() {} } }", ["sw-x", "sw-x.method.a", "sw-x.method.b"]),
+        ("export default { methods: { a() { return <p a='}'>don't {b ? <i/> : <>it's</>}</p>; }, b() {} } }", ["sw-x", "sw-x.method.a", "sw-x.method.b"]),
+        ("export default { methods: { a() { return 'x\n }, b(): A<B {}, c() {} } }", ["sw-x", "sw-x.method.a", "sw-x.method.c"]),
+        ("export default { methods: { a() { f = <T>(x) => <U>y; return a < b; }, b() {} } }", ["sw-x", "sw-x.method.a", "sw-x.method.b"]),
+        ("export default { emits: ['a'], methods: { a() {} } }\n`open \x01 #", ["sw-x", "sw-x.emit.a", "sw-x.method.a"]),
         ("export default { computed: { get a() { return 1; }, set a(v) {} } }", ["sw-x", "sw-x.computed.a"]),
         ("export default { methods: { async *g() {}, [k]() {}, 'q'() {}, async() {} } }", ["sw-x", "sw-x.method.'q'", "sw-x.method.[k]", "sw-x.method.async", "sw-x.method.g"]),
         ("export default { a: /[{]/, b: `x${ {} }`, c: 1 / 2 / 3, methods: { m() { const r = /}/g; return a ? { methods: { deep() {} } } : 1; } } }", ["sw-x", "sw-x.method.deep", "sw-x.method.m"]),
@@ -129,6 +136,17 @@ def test_rules(source, expected):
     assert names(source) == sorted(expected)
 
 
+def test_broken_sources_never_fail():
+    """Every character of a file taken out, and brackets and quotes put in: nothing raises, and most surfaces stay."""
+    raw = FIXTURE.encode()
+    whole = {x["fqn"] for x in surfaces_of(PATH, raw)}
+    left = []
+    for i in range(0, len(raw), 3):
+        for b in (raw[:i] + raw[i + 1 :], *(raw[:i] + c + raw[i:] for c in (b"}", b"(", b'"', b"`", b"<", b"\xff"))):
+            left.append(len(whole & {x["fqn"] for x in surfaces_of(PATH, b)}))
+    assert sum(left) > 0.8 * len(whole) * len(left)
+
+
 def test_required_is_never_reset():
     s = surfaces_of(PATH, b"export default { props: { p: { type: X, type: Y, required: true, required: false } } }")[0]["signature"]["vue_prop"]
     assert (s["type_annotation"]["text_normalized"], s["required"]["text_normalized"]) == ("Y", "true")

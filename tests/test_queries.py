@@ -1,5 +1,5 @@
 import pytest
-from support import TESTDATA, agrees
+from support import agrees
 
 from tessel.plans import queries
 
@@ -9,12 +9,8 @@ def test_query_agrees_with_sql(spark, duck, name):
     agrees(spark, duck, queries.QUERIES[name], queries.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
-def test_report_queries_have_a_row_for_each_finding(spark, name):
-    if not (TESTDATA / "sf0.001").exists():
-        pytest.skip("no test data")
-    sf = str(TESTDATA / "sf0.001")
-    assert queries.QUERIES[name](spark, sf).count() == queries.QUERIES["report_full"](spark, sf).count()
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_entry_registers_everything():
