@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, jaccard, langid, mixing, repeats, sharding, tokens, topk, warc
-from .common import shared_dir
+from .common import drop, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,9 @@ def op6_tokens(spark, sf_dir):
 
     path = f"{shared_dir(spark)}/tessel/tokens-{uuid.uuid4().hex}"
     tokens.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return tokens.positions(tokens.read(spark, path))
+    out = tokens.positions(tokens.read(spark, path))
+    drop(spark, path)
+    return out
 
 
 def op7_repeats(spark, sf_dir):

@@ -1,7 +1,11 @@
 """WARC archives: writing with payload deduplication, and a sequential reader.
 
-Every record is one gzip member. The reader takes an archive as a stream: it inflates members bit by bit, frames each
-record by its content length and verifies the digests of block and payload; a broken frame or digest raises.
+Every record is one gzip member. The reader takes an archive as a stream: it inflates it bit by bit, frames each record by
+its content length while it inflates, and verifies the digests of block and payload that are stated; a broken frame or
+digest raises. It reads archives from elsewhere as well: without digests or with others than SHA-1, with several records
+in a member or none in gzip, and records that aren't HTTP messages. Only a payload that is asked for is held as a whole.
+
+A record's id has the page's and a part of its payload's digest, so only rows that are repeated in full share one.
 
 Archives are written by the executors through pyarrow's file systems into the shared folder. A task that is run again
 writes new files; only those named in the committed manifest are read.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, shared_dir, table
+from .common import column, drop, map_arrow, shared_dir, table
 from .texts import small
 
 DATE = "1970-01-01T00:00:00Z"
 ROLL = 64 << 20  # an archive is closed at this size
 CHUNK = 1 << 18
+MOST_HEAD = 1 << 20  # bytes of a header
+EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_type string, record_id string, target string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -61,52 +68,164 @@ def page_record(record_id: str, url: str | None, payload: bytes, refers_to: str
     return record("revisit", record_id, http, [*fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers_to}>")])
 
 
-def members(stream) -> Iterator[bytes]:
-    """The contents of a stream's gzip members, one after another."""
-    rest = b""
-    while True:
-        data = rest or stream.read(CHUNK)
-        if not data:
-            return
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            if not data:
-                raise WarcError("the archive ends within a record")
-            out.append(z.decompress(data))
-            data = b"" if z.eof else stream.read(CHUNK)
-        rest = z.unused_data
-        yield b"".join(out)
-
-
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Named fields (lower-cased) and block of a record, its block digest verified."""
-    head, mark, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not mark or not lines[0].startswith("WARC/"):
-        raise WarcError("no WARC header")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(fields.get("content-length", -1))
-    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise WarcError(f"{fields.get('warc-record-id')}: the block isn't as long as it says")
-    block = rest[:n]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
-        raise WarcError(f"{fields.get('warc-record-id')}: wrong block digest")
-    return fields, block
-
-
-def pages_of(stream) -> Iterator[tuple]:
-    """(record_type, record_id, target, refers_to, payload_digest, payload_bytes, payload) of responses and revisits."""
+class Inflated:
+    """The bytes that a stream of gzip members (or of plain bytes) holds, in order, a bounded piece at a time."""
+
+    def __init__(self, stream):
+        self.stream, self.z, self.raw, self.held = stream, None, b"", b""
+        self.plain = None
+
+    def _more(self) -> bool:
+        """Hold some more bytes; False at the end of the last member."""
+        while True:
+            if not self.raw:
+                self.raw = self.stream.read(CHUNK)
+                if not self.raw:
+                    if self.z is not None:
+                        raise WarcError("the archive ends within a record")
+                    return False
+            if self.plain is None:
+                while len(self.raw) < 2 and (data := self.stream.read(CHUNK)):
+                    self.raw += data
+                self.plain = self.raw[:2] != b"\x1f\x8b"
+            if self.plain:
+                out, self.raw = self.raw, b""
+            else:
+                self.z = self.z or zlib.decompressobj(31)
+                try:
+                    out = self.z.decompress(self.raw, CHUNK)
+                except zlib.error as e:
+                    raise WarcError(f"a member can't be inflated: {e}") from e
+                self.raw = self.z.unconsumed_tail
+                if self.z.eof:
+                    self.raw, self.z = self.z.unused_data, None
+                elif not out and not self.raw:
+                    continue
+            if out:
+                self.held += out
+                return True
+
+    def head(self) -> bytes | None:
+        """What comes before the next empty line, which is passed over; None at the end."""
+        while True:
+            if self.held:
+                m = EMPTY_LINE.search(self.held)
+                if m:
+                    out, self.held = self.held[: m.start()], self.held[m.end() :]
+                    return out
+                if len(self.held) > MOST_HEAD:
+                    raise WarcError("a header doesn't end")
+            if not self._more():
+                if self.held:
+                    raise WarcError("the archive ends within a header")
+                return None
+
+    def line_ends(self) -> int:
+        """How many line ends come next; they are passed over."""
+        n = 0
+        while self.held or self._more():
+            rest = self.held.lstrip(b"\r\n")
+            n += self.held[: len(self.held) - len(rest)].count(b"\n")
+            self.held = rest
+            if rest:
+                break
+        return n
+
+    def block(self, n: int) -> Iterator[bytes]:
+        """The next n bytes in pieces."""
+        while n:
+            if not self.held and not self._more():
+                raise WarcError("the archive ends within a block")
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            yield part
+
+
+def named(head: bytes) -> dict[str, str]:
+    """The fields of a header by lower-cased names; folded lines are joined."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+class Check:
+    """A digest as a field states it; ``sha1`` is taken in any case."""
+
+    def __init__(self, said: str | None):
+        name, _, self.value = (said or "").partition(":")
+        name = name.strip().lower().replace("-", "")
+        self.known = name in ("md5", "sha1", "sha256", "sha512")
+        self.sha1 = hashlib.sha1()
+        self.hash = self.sha1 if name == "sha1" or not self.known else hashlib.new(name)
+        self.said_sha1 = self.value.strip() if name == "sha1" else None
+
+    def update(self, data: bytes) -> None:
+        self.sha1.update(data)
+        if self.hash is not self.sha1:
+            self.hash.update(data)
+
+    def wrong(self) -> bool:
+        """Whether a known digest is stated and isn't this one, in base32 or hex."""
+        d, value = self.hash.digest(), self.value.strip()
+        return self.known and value.rstrip("=").upper() != base64.b32encode(d).decode().rstrip("=") and value.lower() != d.hex()
+
+
+def records(stream, payloads: bool = True) -> Iterator[tuple]:
+    """(record_type, record_id, target, refers_to, payload_digest, payload_bytes, payload) of every record.
+
+    Blocks are read in pieces; what follows the headers of an HTTP message is the payload, else the whole block. Stated
+    digests are verified, but that of a payload only where it is whole and as it was sent. A revisit has the digest and
+    the length that it states, if it does; other records have those of their payload.
+    """
     bare = lambda x: None if x is None else x.strip("<>")
-    for raw in members(stream):
-        f, block = parse(raw)
-        if f["warc-type"] not in ("response", "revisit"):
-            continue
-        http, _, payload = block.partition(b"\r\n\r\n")
-        said = f["warc-payload-digest"].removeprefix("sha1:")
-        length = next(int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length")
-        if f["warc-type"] == "response" and (digest(payload) != said or len(payload) != length):
-            raise WarcError(f"{f['warc-record-id']}: wrong payload digest or length")
-        yield f["warc-type"], bare(f["warc-record-id"]), f.get("warc-target-uri"), bare(f.get("warc-refers-to")), said, length, payload if f["warc-type"] == "response" else None
+    source = Inflated(stream)
+    while (head := source.head()) is not None:
+        if not head.startswith(b"WARC/"):
+            raise WarcError("no WARC header")
+        f = named(head)
+        name, length = f.get("warc-record-id"), f.get("content-length", "")
+        if not length.isdigit():
+            raise WarcError(f"{name}: no content length")
+        whole, payload = Check(f.get("warc-block-digest")), Check(f.get("warc-payload-digest"))
+        http = f.get("content-type", "").lower().startswith("application/http")
+        lead, parts, size = b"" if http else None, [], 0
+        for part in source.block(int(length)):
+            whole.update(part)
+            if lead is not None:
+                lead += part
+                m = EMPTY_LINE.search(lead)
+                if m is None:
+                    continue
+                part, lead_end = lead[m.end() :], lead[: m.start()]
+                fields, lead = named(lead_end), None
+            payload.update(part)
+            size += len(part)
+            if payloads:
+                parts.append(part)
+        if source.line_ends() < 2:
+            raise WarcError(f"{name}: the block isn't as long as it says")
+        if lead is not None:  # headers only, without an empty line
+            fields = named(lead)
+        if whole.wrong():
+            raise WarcError(f"{name}: wrong block digest")
+        kind, said = f.get("warc-type", "").lower(), None
+        if kind == "revisit":
+            said = fields.get("content-length", "") if http else ""
+            size, digest_ = int(said) if said.isdigit() else None, payload.said_sha1
+        else:
+            if payload.wrong() and "warc-truncated" not in f and "chunked" not in (fields.get("transfer-encoding", "") if http else ""):
+                raise WarcError(f"{name}: wrong payload digest")
+            digest_ = base64.b32encode(payload.sha1.digest()).decode()
+        yield kind, bare(name), f.get("warc-target-uri"), bare(f.get("warc-refers-to")), digest_, size, b"".join(parts) if payloads and kind != "revisit" else None
+
+
+def pages_of(stream, payloads: bool = True) -> Iterator[tuple]:
+    """The responses and revisits among the records."""
+    return (r for r in records(stream, payloads) if r[0] in ("response", "revisit"))
 
 
 def _files(folder: str):
@@ -117,7 +236,7 @@ def _files(folder: str):
 
 def _writer(folder: str, name: str, roll: int):
     """Rows (page_id, url, html, response_id) to archives; rows (path, bytes, records)."""
-    urn = lambda i: f"urn:{name}:{'' if i is None else i}"
+    urn = lambda i, data: f"urn:{name}:{'' if i is None else i}:{hashlib.sha256(data).hexdigest()[:16]}"
 
     def run(batches):
         system, root = _files(folder)
@@ -131,7 +250,8 @@ def _writer(folder: str, name: str, roll: int):
                         path = f"{uuid.uuid4().hex}.warc.gz"
                         out, size, count = system.open_output_stream(f"{root}/{path}", compression=None), 0, 0
                         size += out.write(record("warcinfo", f"urn:uuid:{uuid.uuid4()}", b"format: WARC File Format 1.1\r\n", [("Content-Type", "application/warc-fields")])) or 0
-                    data = page_record(urn(i), url, (html or "").encode(), None if to is None else urn(to))
+                    raw = (html or "").encode()
+                    data = page_record(urn(i, raw), url, raw, None if to is None else urn(to, raw))
                     out.write(data)
                     size, count = size + len(data), count + 1
                     if size >= roll:
@@ -162,9 +282,9 @@ def _reader(folder: str, payloads: bool):
             for path in b.column("path").to_pylist():
                 rows, size = [], 0
                 with system.open_input_stream(f"{root}/{path}", compression=None) as stream:
-                    for x in pages_of(stream):
-                        rows.append(x if payloads else (*x[:-1], None))
-                        size += x[5] if payloads else 0
+                    for x in pages_of(stream, payloads):
+                        rows.append(x)
+                        size += len(x[6] or b"")
                         if len(rows) >= 2000 or size >= 8 << 20:
                             yield batch(rows)
                             rows, size = [], 0
@@ -199,6 +319,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives of the pages."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/tessel/warc-{uuid.uuid4().hex}"
-    got = read(spark, write(pages, folder), folder, payloads=False)
-    number = lambda c: F.expr(f"cast(nullif(substr({c}, 10), '') as long)")  # noqa: E731  after urn:page:
+    got, _ = table(read(spark, write(pages, folder), folder, payloads=False), "records")
+    drop(spark, folder)
+    number = lambda c: F.expr(f"cast(nullif(split_part({c}, ':', 3), '') as long)")  # noqa: E731  urn:page:id:digest
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -47,7 +47,9 @@ def test_hot_payload_and_rolling(spark, rows):
     manifest = warc.write(df, folder, roll=2000)
     assert manifest.count() > 10
     got = warc.read(spark, manifest, folder)
-    assert sorted(r["record_id"] for r in got.collect()) == sorted(f"urn:page:{i}" for i, *_ in many)
+    assert sorted(r["record_id"].rpartition(":")[0] for r in got.collect()) == sorted(f"urn:page:{i}" for i, *_ in many)
+    ids = {r["record_id"] for r in got.where("record_type = 'response'").collect()}
+    assert len(ids) == 101 and {r["refers_to"] for r in got.where("record_type = 'revisit'").collect()} <= ids
     assert {r["record_type"]: r["n"] for r in got.groupBy("record_type").count().withColumnRenamed("count", "n").collect()} == {"response": 101, "revisit": 199}
     assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got.collect())
 
@@ -56,12 +58,44 @@ def test_members_are_plain_gzip(spark):
     data = warc.page_record("urn:page:1", "http://a", b"hello", None) + warc.page_record("urn:page:2", None, b"hello", "urn:page:1")
     text = gzip.decompress(data).decode()
     assert text.count("WARC/1.1\r\n") == 2 and text.endswith("\r\n\r\n\r\n\r\n") and f"sha1:{sha(b'hello')}" in text
-    assert len(list(warc.members(io.BytesIO(data)))) == 2
+    assert len(list(warc.records(io.BytesIO(data)))) == 2
+    assert gzip.decompress(data[: data.index(b"\x1f\x8b", 2)]).count(b"WARC/1.1\r\n") == 1  # a member a record
     first, second = warc.pages_of(io.BytesIO(data))
     assert first == ("response", "urn:page:1", "http://a", None, sha(b"hello"), 5, b"hello")
     assert second == ("revisit", "urn:page:2", None, "urn:page:1", sha(b"hello"), 5, None)
 
 
+def foreign(kind, block, *fields, end=b"\r\n\r\n"):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", "<urn:x>"), *fields, ("Content-Length", str(len(block)))]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + end
+
+
+HTTP = ("Content-Type", "application/http; msgtype=response")
+
+
+def test_archives_from_elsewhere():
+    raw = [
+        foreign("warcinfo", b"software: x\r\n", ("Content-Type", "application/warc-fields")),
+        foreign("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody", HTTP),  # neither digests nor an HTTP length
+        foreign("response", b"HTTP/1.0 200\n\nline ends", HTTP, ("WARC-Target-URI", "u"), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(b"line ends").hexdigest())),
+        foreign("response", b"plain", ("Content-Type", "text/dns"), ("WARC-Block-Digest", "md5:" + hashlib.md5(b"plain").hexdigest()), ("X-Folded", "a\r\n b")),
+        foreign("revisit", b"", ("WARC-Refers-To", "<urn:y>"), ("WARC-Payload-Digest", "sha1:ABC")),
+        foreign("response", b"HTTP/1.1 204 No\r\nX: y", HTTP, ("WARC-Payload-Digest", "blake9:zz")),
+        foreign("response", b"HTTP/1.1 200\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nab\r\n0\r\n\r\n", HTTP, ("WARC-Payload-Digest", "sha1:" + sha(b"ab")), end=b"\r\n\r\n\r\n"),
+    ]
+    want = [("response", None, sha(b"body"), 4, b"body"), ("response", "u", sha(b"line ends"), 9, b"line ends"), ("response", None, sha(b"plain"), 5, b"plain"), ("revisit", None, "ABC", None, None), ("response", None, sha(b""), 0, b""), ("response", None, "", 12, None)]
+    z = lambda data: gzip.compress(data)
+    for data in (b"".join(raw), z(b"".join(raw)), b"".join(map(z, raw)), z(raw[0] + raw[1]) + z(b"".join(raw[2:]))):
+        for stream in (io.BytesIO(data), Slow(data)):
+            got = [(x[0], x[2], x[4], x[5], x[6]) for x in warc.pages_of(stream)]
+            assert got[:5] == want[:5] and got[5][4] == b"2\r\nab\r\n0\r\n\r\n"
+        assert [x[5] for x in warc.pages_of(io.BytesIO(data), payloads=False)] == [4, 9, 5, None, 0, 12]
+    assert list(warc.records(io.BytesIO(b""))) == []
+    for bad in (foreign("response", b"x", ("WARC-Block-Digest", "sha1:AAAA")), b"WARC/1.0\r\nWARC-Type: x\r\n\r\n", foreign("response", b"xy")[:-6], b"WARC/1.0\r\nA: b", b"junk\r\n\r\n"):
+        with pytest.raises(warc.WarcError):
+            list(warc.records(io.BytesIO(bad)))
+
+
 class Slow(io.BytesIO):
     def read(self, n=-1):
         return super().read(7)
