@@ -78,6 +78,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY cls, sub, size, di
 SELECT doc_id, size, source_size, target, (CASE WHEN source_size > 0 THEN
     (floor(rank::DOUBLE * (target / source_size::DOUBLE) + shift) - floor((rank - 1)::DOUBLE * (target / source_size::DOUBLE) + shift))::BIGINT * size ELSE 0 END)::BIGINT AS taken
 FROM r JOIN t USING (skey)""",
+    "op4_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM p""",
     "op5_decontamination": r"""
 WITH b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, w[i:i + least(13, len(w)) - 1] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
@@ -89,10 +95,35 @@ a AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN a USING (rid)""",
+    "op7_repeats": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT rid, o, substr(x, 2 * o + 1, 2 * (1024 + 199)) AS part FROM (SELECT rid, x, unnest(range(0, greatest(length(x) // 2 - 199, 0), 1024)) AS o FROM d)),
+w AS (SELECT rid, o + i AS p, md5(substr(part, 2 * i + 1, 400)) AS h FROM (SELECT rid, o, part, unnest(range(0, least(1024, length(part) // 2 - 199))) AS i FROM c)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT rid, p FROM w SEMI JOIN r ON w.h = r.h),
+n AS (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 1 ELSE 0 END AS fresh FROM m),
+g AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS k FROM n),
+s AS (SELECT rid, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY rid, k),
+k AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS f, a - coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS size FROM s UNION ALL SELECT rid, max(z), NULL FROM s GROUP BY rid),
+t AS (SELECT rid, string_agg(substr(x, 2 * f + 1, 2 * coalesce(size, length(x) // 2)), '' ORDER BY f) AS kept FROM k JOIN d USING (rid) GROUP BY rid),
+u AS (SELECT rid, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN u USING (rid)""",
     "op8_topk": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_jaccard": r"""
+WITH RECURSIVE t AS (SELECT text AS raw, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
+s AS (SELECT raw, row_number() OVER (ORDER BY raw) AS tid, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS items FROM t),
+e AS (SELECT tid, unnest(items) AS item FROM s),
+i AS (SELECT a.tid AS u, b.tid AS v, count(*) AS shared FROM e a JOIN e b ON a.item = b.item AND a.tid < b.tid GROUP BY 1, 2),
+l AS (SELECT u, v FROM i JOIN s a ON a.tid = u JOIN s b ON b.tid = v WHERE 100 * shared >= 90 * (len(a.items) + len(b.items) - shared)),
+g AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT tid AS u, tid AS v FROM s WHERE len(items) > 0 UNION SELECT r.u, g.v FROM r JOIN g ON g.u = r.v),
+m AS (SELECT coalesce(text, '') AS raw, min(doc_id) AS least FROM documents GROUP BY 1),
+c AS (SELECT r.u AS tid, min(least) AS least FROM r JOIN s ON s.tid = r.v JOIN m USING (raw) GROUP BY 1)
+SELECT doc_id, len(items)::BIGINT AS n_shingles, CASE WHEN len(items) > 0 THEN least ELSE doc_id END AS component_id FROM documents d JOIN s ON s.raw = coalesce(d.text, '') LEFT JOIN c USING (tid)""",
 }
