@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import column, drop, map_arrow, table
 
-GROUP = 32_768  # candidates indexed at once, about
+GROUP = 16_384  # candidates indexed at once, about: as many as this, or fewer where cores would idle
+LEAST_GROUP = 4096
 QUERIES = 64  # that go through an index together
 FEW = 32  # possible members a query that are rescored at once
 PAIRS = 65_536  # rescored at once
@@ -171,7 +172,8 @@ def top(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: st
         F.monotonically_increasing_id().alias("rid"), column(df, id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v")
     )
     vecs, vecs_path = table(vecs, "vectors")
-    groups = max(1, -(-vecs.count() // GROUP))
+    n = vecs.count()
+    groups = max(1, -(-n // GROUP), min(2 * spark.sparkContext.defaultParallelism, n // LEAST_GROUP))
     candidates = vecs.select(F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("g"), F.lit(0).alias("kind"), "rid", "vec_id", "v")
     queries = vecs.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"), F.lit(1).alias("kind"), "rid", "vec_id", "v")
     rows = candidates.unionByName(queries).repartition(groups, "g").sortWithinPartitions("g", "kind")
