@@ -117,7 +117,13 @@ def _index_roundtrip(spark, sf_dir):
 
 
 def _shared(spark) -> str:
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessel-")).rstrip("/")
+    """The folder that all executors share; a temporary one only where that is unset and all runs in one process."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tessel-")
 
 
 def _components_only(spark, sf_dir):
