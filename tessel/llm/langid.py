@@ -3,8 +3,9 @@
 Lower-cased texts with every run of non-letters turned into one blank give n-grams of one to three characters, hashed
 to ``DIM`` features. Document frequencies are counted over all learning documents. The model is fitted on a sample of
 them by follow-the-regularised-leader with elastic-net penalties, so most weights are zero; its temperature is then
-set on a held-back part of the sample. The sample is drawn by a digest of the id, evenly over the languages, and has
-about ``sample`` documents in all, whatever the input's size; that bounds what reaches the driver.
+set on a held-back part of the sample. The sample is drawn by a digest of id and text, evenly over the languages, holds
+repeated rows once, and has about ``sample`` documents in all, whatever the input's size. One task streams it once for
+each epoch, a batch at a time, so neither that task nor the driver holds more than the model.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0, as is every text if nothing can be
 learned; rows with null lang are predicted but not learned from; a null id counts as the empty string; repeated rows
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, release
+from .common import column, drop, map_arrow, small_batches, table
 
 DIM = 1 << 15
 SAMPLE = 4000
@@ -144,6 +145,7 @@ class Model:
 
 def train(learn: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> Model:
     """A model from rows (id, text, lang) with non-null lang."""
+    spark = learn.sparkSession
     sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     df = map_arrow(learn.select("text"), _frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # DIM + 1 rows at most
@@ -151,35 +153,60 @@ def train(learn: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> Model:
     for r in df:
         count[r["feature"]] = r["n"]
     idf = np.log((1 + count[DIM]) / (1 + count[:DIM])) + 1
-    u = (F.xxhash64(F.lit("langid"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("double") / F.lit(2.0**64)) + 0.5
+    u = (F.xxhash64(F.lit("langid"), F.coalesce(F.col("id").cast("string"), F.lit("")), "text").cast("double") / F.lit(2.0**64)) + 0.5
     rate = F.lit(0.0)
     for lang in languages:
         rate = F.when(F.col("lang") == lang, min(1.0, sample / len(languages) / sizes[lang])).otherwise(rate)
-    rows = map_arrow(learn.withColumn("u", u).where(F.col("u") < rate).select("lang", "u", "text"), _counts, "lang string, u double, ids array<short>, counts array<int>").toArrow()
-    order = sorted(range(len(rows)), key=lambda i: hash_order(rows, i))
-    fit, held = Ftrl(len(languages)), []
-    docs = []
-    for k, i in enumerate(order):
-        ids = rows["ids"][i].values.to_numpy().astype(np.int64)
-        if len(ids):
-            x = np.append(_weigh(rows["counts"][i].values.to_numpy(), idf[ids]), 1.0).astype(np.float32)
-            (held if k % 5 == 4 else docs).append((np.append(ids, DIM).astype(np.int32), x, languages.index(rows["lang"][i].as_py())))
-    del rows
-    for _ in range(epochs):
-        for d in docs:
-            fit.learn(*d)
-    w = fit.weights()
-    scores = np.array([x @ w[ids] for ids, x, _ in held]).reshape(len(held), len(languages))
-    model = Model(languages, w.astype(np.float32), idf.astype(np.float32), calibrate(scores, np.array([y for *_, y in held], np.int64)))
-    del docs, held, fit
-    release(learn.sparkSession)
-    return model
-
-
-def hash_order(rows, i) -> tuple:
-    """A fixed shuffle of the sample: by digits of the digest that the draw doesn't use."""
-    u = rows["u"][i].as_py()
-    return (u * 2**30 % 1, u, rows["lang"][i].as_py(), len(rows["ids"][i]))
+    # distinct: all copies of a row are drawn or none
+    drawn = learn.withColumn("u", u).where(F.col("u") < rate).select("lang", "u", "text").distinct()
+    rows, path = table(map_arrow(drawn, _counts, "lang string, u double, ids array<short>, counts array<int>"), "langid-sample")
+    # a fixed shuffle, by digits of the digest that the draw doesn't use
+    order = [F.col("u") * 2**30 % 1, "u", "lang", F.size("ids")]
+    stream = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs)))).repartition(1).sortWithinPartitions("epoch", *order)
+    weights, temperature = np.zeros((DIM + 1, len(languages)), np.float32), 1.0
+    with small_batches(spark):
+        fit = map_arrow(stream.select("epoch", "lang", "ids", "counts"), _fit(languages, idf, epochs), "feature int, w array<double>").toArrow()
+    for feature, w in zip(fit["feature"].to_pylist(), fit["w"].to_pylist(), strict=True):
+        if feature < 0:
+            temperature = w[0]
+        else:
+            weights[feature] = w
+    drop(spark, path)
+    return Model(languages, weights, idf.astype(np.float32), temperature)
+
+
+def _fit(languages: list[str], idf: np.ndarray, epochs: int):
+    """Rows (epoch, lang, ids, counts), the same ones in the same order in each epoch, to (feature, w) of the weights that aren't zero, and the temperature at -1.
+
+    Every fifth document is held back; the epoch after the last one gives the scores of those.
+    """
+
+    def run(batches):
+        fit, weights, scores, wanted, last, k = Ftrl(len(languages)), None, [], [], None, 0
+        for b in batches:
+            ids, counts = b.column("ids"), b.column("counts")
+            for i, (epoch, lang) in enumerate(zip(b.column("epoch").to_pylist(), b.column("lang").to_pylist(), strict=True)):
+                if epoch != last:
+                    last, k = epoch, 0
+                at = ids[i].values.to_numpy().astype(np.int64)
+                held = k % 5 == 4
+                k += 1
+                if not len(at) or held != (epoch == epochs):
+                    continue
+                x = np.append(_weigh(counts[i].values.to_numpy(), idf[at]), 1.0).astype(np.float32)
+                at, y = np.append(at, DIM), languages.index(lang)
+                if held:
+                    weights = fit.weights() if weights is None else weights
+                    scores.append(x @ weights[at])
+                    wanted.append(y)
+                else:
+                    fit.learn(at, x, y)
+        w = fit.weights()
+        some = np.flatnonzero(w.any(axis=1))
+        t = calibrate(np.array(scores).reshape(len(scores), len(languages)), np.array(wanted, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array([*w[some].tolist(), [t]], pa.list_(pa.float64()))], ["feature", "w"])
+
+    return run
 
 
 def _predict(model: Model):

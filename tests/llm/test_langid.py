@@ -54,6 +54,19 @@ def test_odd_rows(documents, corpus):
     assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
 
 
+def test_sample_is_bounded_where_rows_lack_ids(documents, corpus, monkeypatch):
+    """Texts without ids are drawn one by one, repeated rows once; the driver gets the model only."""
+    drawn = []
+    keep = langid.table
+    monkeypatch.setattr(langid, "table", lambda df, label: (drawn.append(keep(df, label)) or drawn[-1]))
+    monkeypatch.setattr(langid, "drop", lambda *_: None)
+    many = [(None, t, lang) for _, t, lang in corpus] + [(5, "kato miren suren", "xa")] * 500
+    model = langid.fitted(frame(documents, many), sample=90)
+    rows = drawn[0][0].collect()
+    assert 30 < len(rows) < 180 and len({r["u"] for r in rows}) == len(rows)
+    assert sum(model(t)[0] == lang for _, t, lang in corpus) >= 0.95 * len(corpus)
+
+
 def test_recognised_keeps_clean_rows(documents, corpus):
     df = frame(documents, [*corpus, (1000, "12 34", "xa"), (1001, None, None)])
     kept = langid.recognised(df)
