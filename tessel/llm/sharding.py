@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import column, drop, table, text_key
 
 SUBS = 1024  # slices of a shard in which rows get their slots
+RUN = 1 << 16  # slots of equal rows that are made at once
 FINE = 64  # cells of a mean shard, at least
 
 
@@ -203,11 +204,16 @@ def minimax_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text
             shard = shard + F.when(F.col("key") > key, 1).otherwise(0)
         drop(spark, ends_path)
     drop(spark, groups_path)
-    placed = slim.withColumn("shard", shard.cast("int")).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(SUBS)).cast("int"))
-    counts = placed.groupBy("shard", "sub").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("sub")) - F.col("n")
+    # rows that are equal in all that counts go by their number, so many of them don't meet in one slice
+    equal = slim.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("n"))
+    placed = equal.withColumn("shard", shard.cast("int")).withColumn("sub", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SUBS)).cast("int"))
+    placed, _ = table(placed, "shard-placed")
+    drop(spark, slim_path)
+    counts = placed.groupBy("shard", "sub").agg(F.sum("n").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("sub")) - F.col("rows")
     counts = counts.select("shard", "sub", before.alias("before"))  # shards x SUBS rows at most
-    nth = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("doc_id", "key"))
-    return placed.withColumn("nth", nth).join(F.broadcast(counts), ["shard", "sub"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    run = Window.partitionBy("shard", "sub").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0))).join(F.broadcast(counts), ["shard", "sub"]).withColumn("first", F.col("before") + F.col("first"))
+    out = out.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    out = out.withColumn("at", F.explode(F.sequence("at", F.least(F.col("at") + RUN, "n") - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -110,3 +110,11 @@ def test_hot_rows_leave_no_shard_empty(documents):
     docs = [(i, f"{i} " * 30) for i in range(2000)] + [(i, "hot " * 250) for i in range(60)]
     by = check(sharding.minimax_shards(documents(*docs)).collect(), docs, 24)
     assert len(by) == 24 and max(by.values()) == 60 * 1008
+
+
+def test_equal_rows_have_slots_of_their_own(documents, monkeypatch):
+    """Rows without ids and repeated rows, a third of all each, in runs longer than are made at once."""
+    monkeypatch.setattr(sharding, "RUN", 16)
+    docs = [(i, f"{i} " * 30) for i in range(200)] + [(None, f"{i} none") for i in range(200)] + [(7, "again")] * 200 + [(None, None)] * 33
+    by = check(sharding.minimax_shards(documents(*docs), shards=5).collect(), docs, 5)
+    assert len(by) == 5
