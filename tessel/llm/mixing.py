@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import column, drop, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
+RUN = 1 << 16  # equal rows that are made at once
 
 
 def words(text: Column) -> Column:
@@ -48,29 +49,41 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int =
     return s.select("skey", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
-    """df with size, source_size, target and copies: how often the mix takes each document."""
-    own = ["size", "source_size", "target", "copies", "skey", "cls", "sub", "digest", "nth", "rows_before", "subs_before"]
-    size = words(column(df, text_col)) if size is None else size
-    source, id_ = column(df, source_col), F.coalesce(column(df, id_col).cast("string"), F.lit(""))
-    kept = [column(df, c) for c in df.columns if c.lower() not in own]
-    # null last: no other key starts with 1
-    keyed = df.select(*kept, size.alias("size"), F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"), F.md5(id_.cast("binary")).alias("digest"))
+def _ranked(keyed: DataFrame, weights, share: float, limit: int) -> DataFrame:
+    """keyed (size, skey, digest, times: how often a row stands for itself) with source_size, target and rank: of its rows the first's in its source, from 1."""
     bits = F.bin("size")
     keyed = keyed.withColumn("cls", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 3))).withColumn("sub", F.substring("digest", 1, 2))
-    counts = keyed.groupBy("skey", "cls", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    counts = keyed.groupBy("skey", "cls", "sub").agg(F.sum("times").alias("n"), F.sum(F.col("size") * F.col("times")).alias("words"))
     classes = counts.groupBy("skey", "cls").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))  # a few hundred for each source
     goals = targets(classes.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, share, limit)
     classes = classes.select("skey", "cls", (F.sum("n").over(Window.partitionBy("skey").orderBy("cls")) - F.col("n")).alias("rows_before"))
     subs = counts.select("skey", "cls", "sub", (F.sum("n").over(Window.partitionBy("skey", "cls").orderBy("sub")) - F.col("n")).alias("subs_before"))
     ranks = subs.join(classes, ["skey", "cls"]).join(goals, "skey")
-    nth = F.row_number().over(Window.partitionBy("skey", "cls", "sub").orderBy("size", "digest"))
-    rank = F.col("rows_before") + F.col("subs_before") + F.col("nth")
+    run = Window.partitionBy("skey", "cls", "sub").orderBy("size", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nth = F.sum("times").over(run) - F.col("times") + 1
+    return keyed.withColumn("nth", nth).join(ranks, ["skey", "cls", "sub"]).withColumn("rank", F.col("rows_before") + F.col("subs_before") + F.col("nth"))
+
+
+def _copies(seed: str) -> Column:
+    """How many integers the prefix sum of expected copies crosses at a rank."""
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("skey")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
-    copies = F.floor(rank.cast("double") * ratio + offset) - F.floor((rank - 1).cast("double") * ratio + offset)
-    out = keyed.withColumn("nth", nth).join(ranks, ["skey", "cls", "sub"])
-    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in own], "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return (F.floor(F.col("rank").cast("double") * ratio + offset) - F.floor((F.col("rank") - 1).cast("double") * ratio + offset)).cast("long")
+
+
+def _keys(source: Column, id_: Column) -> list[Column]:
+    # null last: no other key starts with 1
+    return [F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"), F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")).alias("digest")]
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
+    """df with size, source_size, target and copies: how often the mix takes each document."""
+    own = ["size", "source_size", "target", "copies", "skey", "cls", "sub", "digest", "nth", "rank", "times", "rows_before", "subs_before"]
+    size = words(column(df, text_col)) if size is None else size
+    kept = [column(df, c) for c in df.columns if c.lower() not in own]
+    keyed = df.select(*kept, size.alias("size"), *_keys(column(df, source_col), column(df, id_col)), F.lit(1).alias("times"))
+    out = _ranked(keyed, weights, share, limit)
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in own], "size", "source_size", "target", _copies(seed).alias("copies"))
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
@@ -80,8 +93,12 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     return m.select(*kept, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
-def taken(df: DataFrame, **options) -> DataFrame:
+def taken(df: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document; the texts are read once."""
-    slim, _ = table(df.select(column(df, "doc_id").alias("doc_id"), column(df, "source").alias("source"), words(column(df, "text")).alias("w")), "mix")
-    m = mix(slim, size=F.col("w"), **options)
-    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    slim, path = table(df.select(column(df, "doc_id").alias("doc_id"), column(df, "source").alias("source"), words(column(df, "text")).alias("size")), "mix")
+    equal, _ = table(slim.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")), "mix-rows")
+    drop(df.sparkSession, path)
+    m = _ranked(equal.select("doc_id", "size", *_keys(F.col("source"), F.col("doc_id")), "times"), weights, share, limit)
+    m = m.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(RUN).cast("long"))))
+    m = m.withColumn("at", F.explode(F.sequence("at", F.least(F.col("at") + RUN, "times") - 1))).withColumn("rank", F.col("rank") + F.col("at"))
+    return m.select("doc_id", "size", "source_size", "target", (_copies(seed) * F.col("size")).alias("taken"))

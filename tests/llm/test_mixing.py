@@ -62,3 +62,13 @@ def test_odd_rows(documents, rows):
     assert sum(r["taken"] for r in mixing.taken(df).collect()) == 3
     assert rows(mixing.taken(df.where("false"))) == []
     assert rows(mixing.mixed(df.where("false"))) == []
+
+
+def test_equal_rows_are_counted(documents, rows, monkeypatch):
+    """Rows without ids and repeated rows, in runs longer than are made at once, are taken as often as single ones of their size."""
+    monkeypatch.setattr(mixing, "RUN", 16)
+    docs = [(None if i % 3 else i, "a b c" if i % 2 else "a b c d", None, "s") for i in range(300)] + [(7, "a", None, "t")] * 100 + [(None, None, None, "t")] * 40
+    found = rows(mixing.taken(documents(*docs)))
+    assert len(found) == len(docs)
+    each = rows(mixing.mix(documents(*docs)).selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken"))
+    assert found == each
