@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, langid, mixing, repeats, sharding, tokens, topk, warc
+from . import codes, decontaminate, html, jaccard, langid, mixing, repeats, sharding, tokens, topk, warc, whitening
 from .common import drop, shared_dir
 
 
@@ -60,7 +60,35 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_mixing, op4_warc, op5_decontamination, op6_tokens, op7_repeats, op8_topk, op9_html, op10_jaccard)}
+def op11_codes(spark, sf_dir):
+    return codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_mixing, op4_warc, op5_decontamination, op6_tokens, op7_repeats, op8_topk, op9_html, op10_jaccard, op11_codes, op12_whitening)}
+
+
+def _lloyd(rounds: int) -> str:
+    """SQL of the product codes: all distances of each round."""
+    sql = r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, vec_id, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, entry, x FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, rid) - 1 AS entry, x FROM p) WHERE entry < 256),"""
+    nearest = "min({{'d': list_inner_product(p.x::DOUBLE[], p.x::DOUBLE[]) - 2 * list_inner_product(p.x::DOUBLE[], c.x::DOUBLE[]) + list_inner_product(c.x::DOUBLE[], c.x::DOUBLE[]), 'e': entry}}) AS m FROM p JOIN c{0} c USING (part) GROUP BY rid, part"
+    for i in range(rounds):
+        sql += f"""
+a{i} AS MATERIALIZED (SELECT rid, part, {nearest.format(i)}),
+s{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (SELECT part, m.e AS entry, i, sum(p.x[i])::BIGINT AS s, count(*) AS n FROM a{i} JOIN p USING (rid, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN s{i} USING (part, entry)),"""
+    return sql + f"""
+a AS (SELECT rid, part, {nearest.format(rounds)}),
+r AS (SELECT rid, string_agg(lower(printf('%02x', m.e)), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM v JOIN r USING (rid)"""
+
 
 SQL = {
     "op3_mixing": r"""
@@ -126,4 +154,5 @@ r AS (SELECT tid AS u, tid AS v FROM s WHERE len(items) > 0 UNION SELECT r.u, g.
 m AS (SELECT coalesce(text, '') AS raw, min(doc_id) AS least FROM documents GROUP BY 1),
 c AS (SELECT r.u AS tid, min(least) AS least FROM r JOIN s ON s.tid = r.v JOIN m USING (raw) GROUP BY 1)
 SELECT doc_id, len(items)::BIGINT AS n_shingles, CASE WHEN len(items) > 0 THEN least ELSE doc_id END AS component_id FROM documents d JOIN s ON s.raw = coalesce(d.text, '') LEFT JOIN c USING (tid)""",
+    "op11_codes": _lloyd(4),
 }
