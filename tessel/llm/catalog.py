@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, decontaminate, html, jaccard, langid, mixing, repeats, sharding, tokens, topk, warc, whitening
+from . import codes, decontaminate, html, jaccard, langid, mixing, recompress, repeats, sharding, tokens, topk, warc, whitening
 from .common import drop, shared_dir
 
 
@@ -68,7 +68,11 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_mixing, op4_warc, op5_decontamination, op6_tokens, op7_repeats, op8_topk, op9_html, op10_jaccard, op11_codes, op12_whitening)}
+def op13_recompression(spark, sf_dir):
+    return recompress.report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_mixing, op4_warc, op5_decontamination, op6_tokens, op7_repeats, op8_topk, op9_html, op10_jaccard, op11_codes, op12_whitening, op13_recompression)}
 
 
 def _lloyd(rounds: int) -> str:
@@ -155,4 +159,15 @@ m AS (SELECT coalesce(text, '') AS raw, min(doc_id) AS least FROM documents GROU
 c AS (SELECT r.u AS tid, min(least) AS least FROM r JOIN s ON s.tid = r.v JOIN m USING (raw) GROUP BY 1)
 SELECT doc_id, len(items)::BIGINT AS n_shingles, CASE WHEN len(items) > 0 THEN least ELSE doc_id END AS component_id FROM documents d JOIN s ON s.raw = coalesce(d.text, '') LEFT JOIN c USING (tid)""",
     "op11_codes": _lloyd(4),
+    "op13_recompression": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+h AS (SELECT rid, doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS k FROM g),
+f AS (SELECT k, min({'d': doc_id, 's': s}) AS first FROM h GROUP BY k HAVING count(*) > 1),
+m AS (SELECT rid, s FROM h JOIN f USING (k) WHERE doc_id <> first.d OR s > first.s),
+c AS (SELECT DISTINCT rid, unnest(range(s, s + 20)) AS i FROM m),
+r AS (SELECT rid, list(i) AS gone, count(*) AS n FROM c GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+    sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN r USING (rid)""",
 }
