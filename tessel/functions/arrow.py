@@ -6,14 +6,19 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow(f, schema), with this package sent to the executors once."""
-    context = df.sparkSession.sparkContext
+def send(spark: SparkSession) -> None:
+    """This package is sent to the executors, once."""
+    context = spark.sparkContext
     if not getattr(context, "_tessel_sent", False):
         root = Path(__file__).resolve().parents[2]
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tessel-')}/tessel", "zip", root, "tessel"))
         context._tessel_sent = True
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema), with this package sent to the executors once."""
+    send(df.sparkSession)
     return df.mapInArrow(f, schema)
