@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import codecs
 import logging
 import os
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 
 from .plans import engine
+from .sources.shared import blocks, delete, shared_dir
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -30,9 +33,14 @@ def main(argv: list[str] | None = None) -> int:
         n = engine.index(spark, a.path, a.project, a.index)
         logging.getLogger("tessel").info("%d surfaces", n)
         return 0 if n else 1
-    broken, text = engine.check(spark, a.path, a.project, a.index, a.format)
+    to = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    broken, _ = engine.check(spark, a.path, a.project, a.index, a.format, to)
     if broken:
-        print(text)
+        text = codecs.getincrementaldecoder("utf-8")()
+        for block in blocks(to):
+            sys.stdout.write(text.decode(block))
+        sys.stdout.write("\n")
+        delete(to)
     return int(broken)
 
 

@@ -1,8 +1,9 @@
 """Comparison of two snapshots of surfaces, keyed by fqn, as one declarative plan.
 
-Both sides are joined once (full outer, on unique keys). Removed surfaces are the base rows without a partner; matched
-rows yield their changes through higher-order functions; added rows are looked up again by their component. Tokens
-compare by their text only.
+Both sides are joined once (full outer, on unique keys) and each joined row yields its part of the report in one explode:
+rows without a partner in the new snapshot are removed surfaces, matched rows give their changes through higher-order
+functions, added required props a change that stays if the base has their component, which only the names of the base
+tell. Tokens compare by their text only.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import owner
 from ..schema import TOKEN
 
+ADDED = "VueRequiredPropAdded"
 EMPTY = "cast(array() as array<struct<kind:string,old:{0},new:{0}>>)".format(TOKEN.simpleString())
 
 
@@ -83,31 +85,43 @@ def mismatches(base: DataFrame, new: DataFrame) -> DataFrame:
     return matched(base, new).where("base.signature.kind <> new.signature.kind").select("base.fqn")
 
 
-def changes(pairs: DataFrame) -> DataFrame:
-    """(surface of the base, kind, old, new) of (base, new) pairs."""
+def _found() -> Column:
+    """The changes of (base, new), an array; signatures of different kinds fail."""
     b, n = F.col("base.signature"), F.col("new.signature")
     token = F.col("new.source_token")
     found = F.when(b["kind"] == "TsMethod", method_changes(b["ts_method"], n["ts_method"], token)).when(b["kind"] == "VueProp", prop_changes(b["vue_prop"], n["vue_prop"], token))
-    bad = b["kind"] != n["kind"]
+    bad = F.raise_error(F.concat(F.lit("signature kinds differ for "), F.col("base.fqn"))).cast(f"array<struct<kind:string,old:{TOKEN.simpleString()},new:{TOKEN.simpleString()}>>")
     # the failure sits in the column that is exploded, so no pruning removes it
-    found = F.when(bad, F.raise_error(F.concat(F.lit("signature kinds differ for "), F.col("base.fqn"))).cast(f"array<struct<kind:string,old:{TOKEN.simpleString()},new:{TOKEN.simpleString()}>>")).otherwise(found)
-    return pairs.select(F.col("base").alias("surface"), F.explode(found).alias("c")).select("surface", "c.kind", "c.old", "c.new")
+    return F.when(b["kind"] != n["kind"], bad).otherwise(found)
+
+
+def changes(pairs: DataFrame) -> DataFrame:
+    """(surface of the base, kind, old, new) of (base, new) pairs."""
+    return pairs.select(F.col("base").alias("surface"), F.explode(_found()).alias("c")).select("surface", "c.kind", "c.old", "c.new")
 
 
 def required_props(new_rows: DataFrame, base: DataFrame) -> DataFrame:
     """Changes for added rows that are required props of components that base has."""
     rows = new_rows.where("signature.kind = 'VueProp' AND signature.vue_prop.required IS NOT NULL")
     rows = rows.join(base.select(F.col("fqn").alias("component")), owner(F.col("fqn")) == F.col("component"), "left_semi")
-    return rows.select(F.struct("file_path", "source_token", "fqn", "signature").alias("surface"), F.lit("VueRequiredPropAdded").alias("kind"), F.lit(None).cast(TOKEN).alias("old"), F.col("signature.vue_prop.required").alias("new"))
+    return rows.select(F.struct("file_path", "source_token", "fqn", "signature").alias("surface"), F.lit(ADDED).alias("kind"), F.lit(None).cast(TOKEN).alias("old"), F.col("signature.vue_prop.required").alias("new"))
 
 
 def diff(base: DataFrame, new: DataFrame) -> DataFrame:
     """The report in long form: section (removed, breaking_changes), surface, kind, old, new; kind, old and new are null for removed."""
     both = _side(base, "base").join(_side(new, "new"), F.col("base_fqn") == F.col("new_fqn"), "full_outer")
-    gone = both.where("new_fqn IS NULL").select(F.lit("removed").alias("section"), F.col("base").alias("surface"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast(TOKEN).alias("old"), F.lit(None).cast(TOKEN).alias("new"))
-    broken = changes(both.where("base_fqn IS NOT NULL AND new_fqn IS NOT NULL").select("base", "new"))
-    broken = broken.unionByName(required_props(both.where("base_fqn IS NULL").select("new.*"), base))
-    return gone.unionByName(broken.select(F.lit("breaking_changes").alias("section"), "surface", "kind", "old", "new"))
+    none = F.lit(None).cast(TOKEN)
+    gone = F.array(F.struct(F.lit(None).cast("string").alias("kind"), none.alias("old"), none.alias("new")))
+    required = F.col("new.signature.vue_prop.required")
+    fresh = F.when((F.col("new.signature.kind") == "VueProp") & required.isNotNull(), F.array(_change(ADDED, None, required)))
+    rows = F.when(F.col("new_fqn").isNull(), gone).when(F.col("base_fqn").isNull(), fresh).otherwise(_found())
+    rows = both.select(F.coalesce("base", "new").alias("surface"), F.explode(rows).alias("c")).select("surface", "c.kind", "c.old", "c.new")
+    # changes of other kinds have their own name as key, so they spread; what it finds doesn't matter
+    asked = F.coalesce(F.col("kind") == ADDED, F.lit(False))
+    key = F.when(asked, owner(F.col("surface.fqn"))).otherwise(F.col("surface.fqn"))
+    names = base.select(F.col("fqn").alias("component")).distinct()
+    rows = rows.join(names, key == F.col("component"), "left").where(~asked | F.col("component").isNotNull())
+    return rows.select(F.when(F.col("kind").isNull(), "removed").otherwise("breaking_changes").alias("section"), "surface", "kind", "old", "new")
 
 
 def has_breaks(report: DataFrame) -> bool:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_data, escape_property, one_based
 from ..schema import CODES, REMOVED_CODE
 from ..sources.index import json_surface
+from ..sources.sink import write_text
 
 
 def code(kind: Column) -> Column:
@@ -93,13 +94,6 @@ def json_entries(report: DataFrame) -> DataFrame:
     return report.select("section", F.when(F.col("kind").isNull(), s).otherwise(change).alias("entry"))
 
 
-def json_line(report: DataFrame) -> str:
-    """{"removed":[...],"breaking_changes":[...]} on one line; a report is read by people, so it passes through the driver."""
-    rows = [(r["section"], r["entry"]) for r in json_entries(report).toLocalIterator()]
-    parts = (",".join(e for s, e in rows if s == section) for section in ("removed", "breaking_changes"))
-    return '{"removed":[%s],"breaking_changes":[%s]}' % tuple(parts)
-
-
 def human_rows(report: DataFrame, files: DataFrame) -> DataFrame:
     """code, headline, fqn, label, help, before, file, line, column, end_line, end_column and the source lines of every row of a report.
 
@@ -120,29 +114,44 @@ def human_rows(report: DataFrame, files: DataFrame) -> DataFrame:
     return row.join(lines, "file", "left").select(*row.columns, text.alias("source"))
 
 
-def _frame(r) -> list[str]:
+def _frame() -> Column:
     """The source lines with their numbers, what is meant underlined, and the label after the last."""
-    width = len(str(r["end_line"]))
-    out = []
-    for i, line in enumerate(r["source"]):
-        number, line = r["line"] + i, line.rstrip("\r")
-        cut = lambda column: len(line.encode()[: column - 1].decode("utf-8", "replace"))  # noqa: E731, B023  columns count bytes
-        start = cut(r["column"]) if i == 0 else len(line) - len(line.lstrip())
-        end = cut(r["end_column"]) if number == r["end_line"] else len(line)
-        out += [f" {number:>{width}} | {line}", f" {'':>{width}} | {' ' * start}{'^' * max(1, end - start)}"]
-    if out:
-        out[-1] += f" {r['label']}"
-        return out
-    return [f" {'':>{width}} | {r['label']}"]
-
-
-def human_text(rows: DataFrame) -> str:
-    """Plain text of human_rows, ordered by file and place."""
-    out = []
-    for r in rows.orderBy("file", "line", "column", "fqn", "code").toLocalIterator():
-        out += [f"[{r['code']}] Error: {r['headline']}", f"   --> {r['file']}:{r['line']}:{r['column']}", *_frame(r)]
-        out += [f"    = help: {r['help']}"] if r["help"] else []
-        out += [f"    = note: API surface: {r['fqn']}"]
-        out += [f"    = note: {r['before']}"] if r["before"] else []
-        out.append("")
-    return "\n".join(out)
+    width = F.length(F.col("end_line").cast("string"))
+    gutter = F.concat(F.lit(" "), F.repeat(F.lit(" "), width), F.lit(" | "))
+
+    def marked(line: Column, i: Column) -> Column:
+        number, line = F.col("line") + i, F.regexp_replace(line, "\r+$", "")
+        # columns count bytes; a character that is cut counts as one
+        cut = lambda column: F.length(F.substring(line.cast("binary"), F.lit(1), (column - 1).cast("int")).cast("string"))
+        start = F.when(i == 0, cut(F.col("column"))).otherwise(F.length(line) - F.length(F.regexp_replace(line, r"(?U)^\s+", "")))
+        end = F.when(number == F.col("end_line"), cut(F.col("end_column"))).otherwise(F.length(line))
+        under = F.concat(gutter, F.repeat(F.lit(" "), start), F.repeat(F.lit("^"), F.greatest(F.lit(1), end - start)))
+        return F.concat(F.lit(" "), F.lpad(number.cast("string"), width, F.lit(" ")), F.lit(" | "), line, F.lit("\n"), under)
+
+    lines = F.concat(F.array_join(F.transform("source", marked), "\n"), F.lit(" "), F.col("label"))
+    return F.when(F.size("source") > 0, lines).otherwise(F.concat(gutter, F.col("label")))
+
+
+def human_entry() -> Column:
+    """Plain text of a row of human_rows."""
+    note = lambda lead, c: F.when(F.length(c) > 0, F.concat(F.lit(f"    = {lead}: "), F.col(c), F.lit("\n"))).otherwise("")
+    return F.concat(
+        F.lit("["), F.col("code"), F.lit("] Error: "), F.col("headline"), F.lit("\n   --> "), F.col("file"), F.lit(":"), F.col("line"), F.lit(":"), F.col("column"), F.lit("\n"), _frame(), F.lit("\n"),
+        note("help", "help"), F.lit("    = note: API surface: "), F.col("fqn"), F.lit("\n"), note("note", "before"),
+    )
+
+
+FORMATS = ("human", "github", "json")
+
+
+def write(report: DataFrame, path: str, fmt: str, files: DataFrame | None = None) -> None:
+    """A report as one file, rendered, ordered and written by the tasks: plain text by file and place (files has the source lines), annotations by name, or JSON {"removed":[...],"breaking_changes":[...]} on one line."""
+    if fmt == "json":
+        section = F.when(F.col("section") == "removed", 0).otherwise(1)
+        write_text(json_entries(report), path, F.col("entry"), ["entry"], section, ('{"removed":[', '],"breaking_changes":['), ",", "]}")
+    elif fmt == "github":
+        write_text(github_lines(report), path, F.col("line"), ["fqn", "line"])
+    elif fmt == "human":
+        write_text(human_rows(report, files), path, human_entry(), ["file", "line", "column", "fqn", "code"])
+    else:
+        raise ValueError(f"unknown format {fmt}")

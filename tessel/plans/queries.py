@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,8 @@ from ..operators import surfaces as s
 from ..operators.extract import extract
 from ..schema import SURFACE
 from ..sources import index as store
+from ..sources.files import read_files
+from ..sources.shared import shared_dir
 from . import output
 from . import workload as w
 
@@ -110,20 +111,53 @@ def _index_roundtrip(spark, sf_dir):
     """The base snapshot as JSON entries, read back."""
     base = w.surfaces(spark, sf_dir, False)
     lines = store.json_lines(base)
-    path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     lines.select(F.concat(F.lit("{"), F.col("entry"), F.lit("}")).alias("value")).write.text(path)
     rows = store.load_json_lines(spark, path)
+    return _entries_shape(rows)
+
+
+def _entries_shape(rows: DataFrame) -> DataFrame:
     return rows.select("fqn", "file_path", F.col("signature.kind").alias("kind"), F.size("signature.ts_method.parameters").cast("long").alias("n_params"), F.col("source_token.text_normalized").alias("text"))
 
 
-def _shared(spark) -> str:
-    """The folder that all executors share; a temporary one only where that is unset and all runs in one process."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="tessel-")
+def _index_object(spark, sf_dir):
+    """The base snapshot as one JSON object, read back in blocks."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}.json"
+    store.save_json(w.surfaces(spark, sf_dir, False), path)
+    return _entries_shape(store.load_json(spark, path))
+
+
+def _saved(compare, column: str):
+    """Both snapshots saved, loaded and compared, which takes no shuffle."""
+
+    def run(spark, sf_dir):
+        both = []
+        for rows in _snapshots(spark, sf_dir):
+            both.append(f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}")
+            store.save(rows, both[-1])
+        return compare(*(store.load(spark, p) for p in both)).select(column)
+
+    return run
+
+
+def _report_file(fmt: str, separator: str):
+    """The report as the file that check writes, read back by its entries; without source lines."""
+
+    def run(spark, sf_dir):
+        path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+        files = w.sources(spark, sf_dir, True).where("false") if fmt == "human" else None
+        output.write(_report(spark, sf_dir), path, fmt, files)
+        return spark.read.option("lineSep", separator).text(path).select(F.regexp_replace("value", r"\n$", "").alias("entry"))
+
+    return run
+
+
+def _tree_files(spark, sf_dir):
+    """Files as a tree, of which a scan reads the component sources."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    w.write_tree(spark, sf_dir, root)
+    return read_files(spark, root)
 
 
 def _components_only(spark, sf_dir):
@@ -224,6 +258,14 @@ QUERIES = {
     "json_report": lambda spark, sf_dir: output.json_entries(_report(spark, sf_dir)),
     "human_report": lambda spark, sf_dir: output.human_rows(_report(spark, sf_dir), w.sources(spark, sf_dir, True)).select("code", "headline", "fqn", "label", "help", "before", "file", "line", "column", "end_line", "end_column"),
     "index_roundtrip": _index_roundtrip,
+    "index_object": _index_object,
+    "matched_saved": _saved(d.matched, "base.fqn"),
+    "removed_saved": _saved(d.removed, "fqn"),
+    "added_saved": _saved(d.added, "fqn"),
+    "github_file": _report_file("github", "\n"),
+    "human_file": _report_file("human", "\n\n"),
+    "tree_files": _tree_files,
+    "odd_components": lambda spark, sf_dir: extract(w.odd_components(spark, sf_dir)).select("fqn", "file_path"),
     "full_pipeline": full_pipeline,
 }
 
@@ -388,3 +430,16 @@ SQL = {
     + """SELECT bs.fqn, 'src/Resources/app/administration/src/' || string_split(bs.fqn, '.')[2] || '/index.ts' AS file_path, CASE WHEN contains(bs.fqn, '.prop.') THEN 'VueProp' WHEN contains(bs.fqn, '.method.') THEN 'TsMethod' ELSE 'None' END AS kind,
     CASE WHEN contains(bs.fqn, '.method.') THEN coalesce(n, 0) END AS n_params, txt AS text FROM bs LEFT JOIN (SELECT 'vue.sw-order-' || k || '.method.load' AS fqn, count(*) AS n FROM bd GROUP BY k) c ON c.fqn = bs.fqn""",
 }
+SQL |= {
+    "index_object": SQL["index_roundtrip"],
+    "matched_saved": SQL["matched"],
+    "removed_saved": WITH + "SELECT fqn FROM bs WHERE fqn NOT IN (SELECT fqn FROM ns)",
+    "added_saved": SQL["added"],
+    "github_file": f"SELECT line AS entry FROM ({SQL['github_lines']})",
+    "human_file": f"""SELECT '[' || code || '] Error: ' || headline || chr(10) || '   --> ' || file || ':' || line || ':' || "column" || chr(10) || ' ' || repeat(' ', length(end_line::VARCHAR)) || ' | ' || label || chr(10)
+    || CASE WHEN length(help) > 0 THEN '    = help: ' || help || chr(10) ELSE '' END || '    = note: API surface: ' || fqn || CASE WHEN length("before") > 0 THEN chr(10) || '    = note: ' || "before" ELSE '' END AS entry FROM ({SQL['human_report']})""",
+    "tree_files": """SELECT 'src/Resources/app/administration/src/sw-supplier-' || s_suppkey || '/index.ts' AS repo_path, CASE WHEN s_suppkey % 7 = 0 THEN '/* @private */' || chr(10) ELSE '' END || CASE WHEN s_suppkey % 9 = 0 THEN 'export const a = { methods: { b() {} } };' || chr(10)
+    ELSE 'export default Shop.wrapComponentConfig({' || chr(10) || '  props: [''name'', "nation' || (s_nationkey % 3) || '"],' || chr(10) || '  computed: {' || chr(10) || '    total(): number { return 1; },' || chr(10) || '    get half() { return 0.5; },' || chr(10) || '  },' || chr(10) || '});' || chr(10) END AS content FROM supplier""",
+    "odd_components": """SELECT 'vue.' || CASE WHEN s_suppkey % 4 = 2 THEN 'card-' ELSE 'sw-own-' END || s_suppkey || n AS fqn, 'src/Resources/app/administration/src/' || CASE WHEN s_suppkey % 4 = 2 THEN 'card-' ELSE 'sw-own-' END || s_suppkey || '/index.ts' AS file_path
+    FROM supplier, (VALUES (''), ('.emit.')) t(e), LATERAL (SELECT CASE WHEN e = '' THEN '' WHEN s_suppkey % 4 = 2 THEN '.emit.a' ELSE '.emit.b' END AS n) WHERE s_suppkey % 4 >= 2""",
+}

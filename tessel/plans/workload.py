@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow
 from ..schema import METHOD, PARAM, PROP, SIGNATURE, TOKEN
+from ..sources.sink import opened
 
 FOLDER = "src/Resources/app/administration/src/"
 
@@ -160,6 +162,39 @@ def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(path(comp).alias("repo_path"), content.alias("content"))
 
 
+def odd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each supplier that has no name, nothing to show, a name of another kind, or props that aren't listed."""
+    k = F.col("s_suppkey")
+    content = F.element_at(F.array(*map(F.lit, ("export default { emits: ['a'] };\n", "export default { data() { return { a: 1 }; } };\n", "export default { emits: ['a'] };\n", "export default { props: listed, emits: ['b'] };\n"))), (k % 4 + 1).cast("int"))
+    where = F.when(k % 4 == 0, F.concat(F.lit("c"), k, F.lit(".ts"))).otherwise(path(F.concat(F.when(k % 4 == 2, "card-").otherwise("sw-own-"), k)))
+    return read(spark, sf_dir, "supplier").select(where.alias("repo_path"), content.alias("content"))
+
+
+def _written(root: str):
+    def run(batches):
+        store, top = opened(root)
+        for b in batches:
+            for name, text in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                at = f"{top}/{name}"
+                store.create_dir(at.rpartition("/")[0])
+                with store.open_output_stream(at) as f:
+                    f.write(text.encode())
+            yield b.select(["path"])
+
+    return run
+
+
+def write_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """small_files as a tree of files, each among others that a scan leaves out; written by the tasks."""
+    files = small_files(spark, sf_dir)
+    twin = lambda a, b: F.regexp_replace("repo_path", a, b)
+    each = [F.col("repo_path"), twin("index.ts$", "index.spec.ts"), twin("index.ts$", "test/x.ts"), twin("index.ts$", ".hidden/x.ts"), twin("index.ts$", "built/x.ts"), twin("index.ts$", "index.twig"), twin("^src/Resources", "src/Other")]
+    rules = F.array(F.struct(F.lit(".gitignore").alias("path"), F.lit("# made\nbuilt/\n*.md\n").alias("content")))
+    rows = files.select(F.explode(F.array(*[F.struct(c.alias("path"), F.col("content")) for c in each])).alias("f")).select("f.*")
+    rows = rows.unionByName(spark.range(1).select(F.explode(rules).alias("f")).select("f.*"))
+    map_arrow(rows, _written(root), "path string").count()
+
+
 def prop_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each supplier with a definition of props of every kind."""
     k = F.col("s_suppkey")

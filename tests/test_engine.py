@@ -5,7 +5,8 @@ import pytest
 from tessel.__main__ import main
 from tessel.plans import engine, output
 from tessel.sources import index as store
-from tessel.sources.files import RootError, Rule, list_files, validate_root
+from tessel.sources.files import RootError, list_files, validate_root
+from tessel.sources.ignore import Rule
 
 OLD = "import t from './sw-card.html.twig';\nexport default {\n  emits: ['close'],\n  props: { title: { type: String }, size: Number },\n  methods: { load(id: A, x?) {} },\n};\n"
 NEW = "import t from './sw-card.html.twig';\nexport default {\n  props: { title: { type: Number }, size: Number, extra: { type: A, required: true } },\n  methods: { load(id: A, x) {} },\n};\n"
@@ -33,9 +34,13 @@ def tree(tmp_path):
     return tmp_path
 
 
-def test_listing(tree):
-    assert list_files(tree) == [f"{FOLDER}/_kept/x.js", f"{FOLDER}/index.ts", "src/other/x.php", "src/other/x.ts"]
-    assert f"{FOLDER}/built/x.js" in list_files(tree, ignore_files=False)
+def listed(spark, root, **options):
+    return sorted(r["repo_path"] for r in list_files(spark, root, **options).collect())
+
+
+def test_listing(spark, tree):
+    assert listed(spark, tree) == [f"{FOLDER}/_kept/x.js", f"{FOLDER}/index.ts", "src/other/x.php", "src/other/x.ts"]
+    assert f"{FOLDER}/built/x.js" in listed(spark, tree, ignore_files=False)
 
 
 @pytest.mark.parametrize(
@@ -53,19 +58,24 @@ def test_ignore_rules(line, path, is_dir, named):
     assert not Rule("other", line).names(path, is_dir)
 
 
-def test_nested_ignore_files(tree):
+def test_nested_ignore_files(spark, tree):
     (tree / "src" / ".ignore").write_text("other/*\n!other/x.ts\n")
-    assert list_files(tree) == [f"{FOLDER}/_kept/x.js", f"{FOLDER}/index.ts", "src/other/x.ts"]
+    assert listed(spark, tree) == [f"{FOLDER}/_kept/x.js", f"{FOLDER}/index.ts", "src/other/x.ts"]
 
 
-def test_frames_of_several_lines():
-    row = {"line": 9, "end_line": 10, "column": 3, "end_column": 6, "label": "changed", "source": ["  é(", "   b) {"]}
-    assert output._frame(row) == ["  9 |   é(", "    |   ^^", " 10 |    b) {", "    |    ^^ changed"]
-    assert output._frame(row | {"source": []}) == ["    | changed"]
+def test_frames_of_several_lines(spark):
+    row = {"line": 9, "end_line": 10, "column": 3, "end_column": 6, "label": "changed", "source": ["  é(\r", "   b) {"]}
+    rest = {"code": "c", "headline": "h", "fqn": "f", "file": "a.ts", "help": "", "before": None}
+    kinds = "line long, end_line long, `column` long, end_column long, label string, source array<string>, code string, headline string, fqn string, file string, help string, before string"
+    text = lambda r: spark.createDataFrame([tuple((r | rest).values())], kinds).select(output.human_entry()).first()[0].split("\n")
+    ends = ["    = note: API surface: f", ""]
+    assert text(row) == ["[c] Error: h", "   --> a.ts:9:3", "  9 |   é(", "    |   ^^", " 10 |    b) {", "    |    ^^ changed", *ends]
+    assert text(row | {"source": []})[2:] == ["    | changed", *ends]
+    assert text(row | {"column": 4, "end_line": 9, "end_column": 4, "source": ["  é("]})[2:4] == [" 9 |   é(", "   |    ^ changed"]  # within é: the cut half counts
 
 
 def test_root(tree, tmp_path_factory):
-    assert validate_root(tree, "acme/shop") == tree.resolve()
+    assert validate_root(tree, "acme/shop") == str(tree.resolve())
     empty = tmp_path_factory.mktemp("empty")
     for root, project in ((tree, "acme/other"), (empty, "acme/shop"), (empty / "none", "acme/shop")):
         with pytest.raises(RootError):
@@ -148,6 +158,7 @@ def test_overwritten_duplicates_are_logged(spark, tree, tmp_path_factory, caplog
     again.write_text(OLD)
     assert engine.index(spark, tree, "acme/shop", index) == 10
     engine.check(spark, tree, "acme/shop", index)
+    assert listed(spark, tree)
     logged = [r.getMessage() for r in caplog.records if r.levelname == "ERROR" and r.name == "tessel.plans.engine"]
     assert len(logged) == 10 and logged.count("vue.sw-card.prop.title is defined 2 times") == 2
 
