@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import decontaminate, jaccard, langid, mixing, sharding
-from tessel.llm.common import drop, table
+from tessel.llm.common import drop, scratch, table
 
 #: Language ID has no SQL.
 ORACLE_SQL = None
@@ -46,10 +46,12 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written and reread."""
+    """The stages applied to documents; each result is written and reread, and all else that a stage wrote is deleted then."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, path = table(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+        with scratch(spark) as made:
+            docs, path = table(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+            made.remove(path)
         if before:
             drop(spark, before)
         before = path
