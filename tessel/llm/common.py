@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import map_arrow
 
-__all__ = ["ascii_lower", "column", "drop", "map_arrow", "release", "shared_dir", "small_batches", "table", "text_key"]
+__all__ = ["ascii_lower", "column", "drop", "fresh", "map_arrow", "release", "scratch", "shared_dir", "small_batches", "table", "text_key"]
 BATCH = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,11 +47,40 @@ def table(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, st
     """df written as Parquet into the shared folder and reread, and its path: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel/{label}-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
     with small_batches(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Paths of the tables written within each ``scratch`` that is open.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written meanwhile are deleted at its end, but those that are taken out of the list it gives."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open[:] = [p for p in _open if p is not paths]
+        drop(spark, *paths)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until df has no column of it, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Give memory back, and let Spark delete the shuffle files of frames that are no longer held: it waits for the driver's garbage collector."""
     gc.collect()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, column, drop, table, text_key
+from .common import UPPER, column, drop, fresh, table, text_key
 from .texts import small
 
 #: A word is a run of digits, letters a-z and all beyond ASCII.
@@ -92,9 +92,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated ones."""
-    found = contamination(docs, benchmark, text_col=text_col, **options).where("contaminated").select(F.col("key").alias("_key")).distinct()
+    (k,) = fresh(docs, "_key")
+    found = contamination(docs, benchmark, text_col=text_col, **options).where("contaminated").select(F.col("key").alias(k)).distinct()
     found, _ = table(found, "contaminated")
-    return docs.join(small(found), text_key(column(docs, text_col)) == F.col("_key"), "left_anti")
+    return docs.join(small(found), text_key(column(docs, text_col)) == F.col(k), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, map_arrow, release, table, text_key
+from .common import column, drop, fresh, map_arrow, release, table, text_key
 from .components import components
 from .hashing import BASE, U, exact_sets, mix, runs, shingle_counts, shingle_sets
 from .texts import distinct_texts, small
@@ -402,11 +402,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     groups = groups.join(small(first), "component")
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
     # what goes, and what stays but once: few rows beside those that stay as they are
-    marked, _ = table(groups.where(~same | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), same.alias("_stays")), "marked")
+    i, k, stays = fresh(docs, "_id", "_key", "_stays")
+    marked, _ = table(groups.where(~same | (F.col("n") > 1)).select(F.col("doc_id").alias(i), F.col("key").alias(k), same.alias(stays)), "marked")
     drop(docs.sparkSession, first_path, groups_path)
-    out = docs.join(small(marked), column(docs, id_col).eqNullSafe(F.col("_id")) & (text_key(column(docs, text_col)) == F.col("_key")), "left")
-    once = out.where("_stays").dropDuplicates(["_id", "_key"])
-    return out.where("_key is null").unionByName(once).drop("_id", "_key", "_stays")
+    out = docs.join(small(marked), column(docs, id_col).eqNullSafe(F.col(i)) & (text_key(column(docs, text_col)) == F.col(k)), "left")
+    once = out.where(F.col(stays)).dropDuplicates([i, k])
+    return out.where(F.col(k).isNull()).unionByName(once).drop(i, k, stays)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

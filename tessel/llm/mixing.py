@@ -76,21 +76,27 @@ def _keys(source: Column, id_: Column) -> list[Column]:
     return [F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"), F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")).alias("digest")]
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
-    """df with size, source_size, target and copies: how often the mix takes each document."""
-    own = ["size", "source_size", "target", "copies", "skey", "cls", "sub", "digest", "nth", "rank", "times", "rows_before", "subs_before"]
+OWN = ("size", "source_size", "target", "copies")
+
+
+def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, size: Column | None, weights, share: float, limit: int, seed: str) -> DataFrame:
+    """(row: df's columns as c0, c1 and so on, size, source_size, target, copies)."""
     size = words(column(df, text_col)) if size is None else size
-    kept = [column(df, c) for c in df.columns if c.lower() not in own]
-    keyed = df.select(*kept, size.alias("size"), *_keys(column(df, source_col), column(df, id_col)), F.lit(1).alias("times"))
-    out = _ranked(keyed, weights, share, limit)
-    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in own], "size", "source_size", "target", _copies(seed).alias("copies"))
+    row = F.struct(*[column(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")
+    keyed = df.select(row, size.alias("size"), *_keys(column(df, source_col), column(df, id_col)), F.lit(1).alias("times"))
+    return _ranked(keyed, weights, share, limit).select("row", "size", "source_size", "target", _copies(seed).alias("copies"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
+    """df with size, source_size, target and copies: how often the mix takes each document. These take the place of df's columns of these names."""
+    m = _mix(df, id_col, text_col, source_col, size, weights, share, limit, seed)
+    return m.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in OWN], *OWN)
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
-    """df with each row as often as the mix takes it."""
-    m = mix(df, **options).where("copies > 0")
-    kept = [column(m, c) for c in m.columns if c not in ("size", "source_size", "target", "copies")]
-    return m.select(*kept, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
+    """df, with all its columns, each row as often as the mix takes it."""
+    m = _mix(df, id_col, text_col, source_col, size, weights, share, limit, seed).where("copies > 0")
+    return m.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*").toDF(*df.columns)
 
 
 def taken(df: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:

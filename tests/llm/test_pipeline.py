@@ -86,3 +86,36 @@ def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{other}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{other}/benchmark.parquet")
     assert corpus_pipeline.run(spark, other).collect() == []
+
+
+CLASHING = ("_id", "_key", "_stays", "_copy", "copy", "row", "c0", "size", "SIZE", "rank", "digest", "times", "cls", "sub", "nth", "copies", "target", "source_size", "key", "tid", "a.b")
+
+
+def test_every_column_stays(spark, folder):
+    """Whatever the names of further columns are, all stages but the last return them as they were."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    case = spark.conf.get("spark.sql.caseSensitive")
+    docs = docs.select("*", *[docs["doc_id"].cast("string").alias(c) for c in CLASHING if c != "SIZE"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert rows and all(x == str(r[0]) for r in rows for x in r[5:] if r[0] is not None), name
+        docs = out
+    assert spark.conf.get("spark.sql.caseSensitive") == case
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def tables(spark):
+    from pathlib import Path
+
+    from tessel.llm.common import shared_dir
+
+    return {p.name for p in Path(shared_dir(spark).removeprefix("file://"), "tessel").glob("*")}
+
+
+def test_a_run_leaves_its_result_only(spark, folder):
+    before = tables(spark)
+    out = corpus_pipeline.run(spark, folder)
+    left = tables(spark) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-shards-") and out.count()
