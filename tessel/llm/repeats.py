@@ -323,8 +323,8 @@ def repeat_groups(texts: DataFrame, length: int = 200, k: int = 64, tree_limit:
     return found, out, [found_path, out_path]
 
 
-def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, tree_limit: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, and (key, n_bytes, kept, spans) of every text; both written."""
+def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, tree_limit: int) -> tuple[DataFrame, DataFrame, str]:
+    """(doc_id, key) of every row, and (key, n_bytes, kept, spans) of every text; both written, the second to that path."""
     spark = docs.sparkSession
     texts, texts_path, rows, _ = distinct_texts(docs, id_col, text_col)
     found, groups, paths = repeat_groups(texts, length, k, tree_limit, reach=True)
@@ -335,23 +335,25 @@ def _removed(docs: DataFrame, length: int, k: int, id_col: str, text_col: str, t
     spans, spans_path = table(spans, "spans")
     release(spark)
     out = texts.join(spans.hint("merge"), "tid", "left").select("key", "text", "n_rows", "starts", "ends")
-    out, _ = table(map_arrow(out, _kept(length), "key string, n_bytes long, kept binary, starts array<long>, ends array<long>"), "kept")
+    out, path = table(map_arrow(out, _kept(length), "key string, n_bytes long, kept binary, starts array<long>, ends array<long>"), "kept")
     drop(spark, texts_path, spans_path, reach_path, *paths)
     span = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
-    return rows, out.select("key", "n_bytes", "kept", span.alias("spans"))
+    return rows, out.select("key", "n_bytes", "kept", span.alias("spans")), path
 
 
 def cleaned(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
     """doc_id, n_bytes, kept (bytes: a cut may split a character), spans (array of start, end in bytes): every byte of a string of ``length`` bytes that starts elsewhere too is removed."""
-    rows, out = _removed(docs, length, k, id_col, text_col, tree_limit)
+    rows, out, path = _removed(docs, length, k, id_col, text_col, tree_limit)
     out, _ = table(out.dropDuplicates(["key"]), "cleaned")  # written, so that a text of very many rows can be split
+    drop(docs.sparkSession, path)
     return rows.join(out, "key").select("doc_id", "n_bytes", "kept", "spans")
 
 
 def dedup(docs: DataFrame, length: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", tree_limit: int = TREE_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what ``cleaned`` gives: digests are taken before rows are joined, so texts don't move."""
-    rows, out = _removed(docs, length, k, id_col, text_col, tree_limit)
+    rows, out, path = _removed(docs, length, k, id_col, text_col, tree_limit)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     out = out.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     out, _ = table(out.dropDuplicates(["key"]), "digests")
+    drop(docs.sparkSession, path)
     return rows.join(out, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

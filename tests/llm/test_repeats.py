@@ -110,3 +110,16 @@ def test_groups_name_occurrences(spark):
 def test_empty(documents, rows):
     assert rows(repeats.dedup(documents((1, "a")).where("false"))) == []
     assert rows(repeats.dedup(documents((1, "a" * 300)))) == [(1, 300, 300, 1, hashlib.sha256(b"").hexdigest())]
+
+
+def test_only_what_the_result_reads_is_left(spark, documents):
+    from test_pipeline import tables
+
+    docs = documents((1, "abc " * 100), (2, "abc " * 100), (3, "x"))
+    before = tables(spark)
+    out = repeats.dedup(docs)
+    assert sorted(n.split("-")[0] for n in tables(spark) - before) == ["digests", "rows"]
+    assert out.count() == 3
+    before = tables(spark)
+    assert repeats.cleaned(docs).count() == 3
+    assert sorted(n.split("-")[0] for n in tables(spark) - before) == ["cleaned", "rows"]
