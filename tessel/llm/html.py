@@ -2,7 +2,8 @@
 
 A page is cut at block-level tags into flat blocks. A block has its number of words and its link density, those of the
 blocks before and after it, and as markup the kind of its element, whether it lies in the page's article or in an
-element that isn't one, and whether one around it is named as boilerplate. A decision tree, trained on the small table of
+element that isn't one, and what the names of those around it say: comments, sidebars, adverts and the like are no
+article, names like share or banner leave it to words and links. A decision tree, trained on the small table of
 labelled blocks below, tells content from the rest; in training a test of markup has to separate ``MARKUP_COST`` times as
 well as one of words or links, so markup decides only what those leave open.
 
@@ -38,9 +39,14 @@ MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote figcaption dd dt caption summary".split())
 ENTRIES = frozenset("li td th option legend".split())
-# Whole names in class, id and role of what isn't an article, alone or with one of the endings
-NAMED = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo replies search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
-ENDINGS = frozenset("area bar banner block box container form inner item links list menu notice panel section slot text unit widget wrapper".split())
+# What names in class, id and role say of an element. NAMED is no article, LEADING neither as a name's first
+# word; VAGUE may be one, which its words and links tell. TRAILING words at a name's end say nothing.
+NAMED = frozenset("ad ads adsense advert adverts advertisement advertisements breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer gdpr login masthead menu nav navbar navigation newsletter notice notices pager pagination recommendations related replies responses sidebar signup sponsor sponsored sponsors subscribe".split())
+LEADING = frozenset("cookie disqus gdpr newsletter related sponsored".split())
+VAGUE = frozenset("banner modal popup promo search share sharing skip social toolbar widget".split())
+TRAILING = frozenset("area bar banner block bottom box container content form holder inner item items left link links list menu notice panel posts right section slot text thread top unit widget wrap wrapper".split())
+SIZE = re.compile(r"\d+(?:x\d+)?|x\d+")
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+(?:x\d+)?")
 # Start tags that imply the end of open elements (and of all in them), and the elements that this doesn't reach beyond
 ITEMS = BLOCKS - frozenset("address div p li dt dd".split())
 IMPLIED = {
@@ -61,16 +67,24 @@ UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
 EMPTY = re.compile(r"(?:^|[\s\"'])/>\Z")
 
 
+def says(name: str) -> int:
+    """2 if a name is that of no article, 1 if it may be, else 0: by its last word that says something, or its first."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    first = words[0] if words else ""
+    while len(words) > 1 and (words[-1] in TRAILING or SIZE.fullmatch(words[-1])):
+        words.pop()
+    last = words[-1] if words else ""
+    return 2 if last in NAMED or first in LEADING else 1 if last in VAGUE else 0
+
+
 @lru_cache(4096)
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes name it as boilerplate, and whether they keep it from being displayed."""
-    named = hidden = False
+def _marks(attributes: str) -> tuple[int, bool]:
+    """What an element's names say of it, and whether its attributes keep it from being displayed."""
+    named, hidden = 0, False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role"):
-            for name in value.lower().replace("_", "-").split():
-                first, _, rest = name.partition("-")
-                named |= first in NAMED and (not rest or all(x in ENDINGS or x.isdigit() for x in rest.split("-")))
+            named = max([named, *map(says, value.split())])
         hidden |= key == "hidden" or key == "style" and bool(UNDISPLAYED.search(value))
     return named, hidden
 
@@ -81,20 +95,20 @@ class Open:
     def __init__(self):
         self.stack: list[tuple[str, int, int, int, int]] = []
         self.at: dict[str, list[int]] = defaultdict(list)
-        self.apart = self.main = self.named = self.hidden = 0
+        self.apart = self.main = self.hidden = 0
+        self.says = [0, 0, 0]
 
-    def enter(self, name: str, attributes: str) -> bool:
-        """Whether the element starts or ends what is named or hidden."""
+    def enter(self, name: str, attributes: str) -> None:
         named, hidden = _marks(attributes)
         apart = name in APART and not (name == "header" and self.main)  # an article's own heading
         self.at[name].append(len(self.stack))
         self.stack.append((name, apart, name in MAIN, named, hidden))
         self._count(1)
-        return named or hidden
 
     def _count(self, n: int) -> None:
         _, apart, main, named, hidden = self.stack[-1]
-        self.apart, self.main, self.named, self.hidden = self.apart + n * apart, self.main + n * main, self.named + n * named, self.hidden + n * hidden
+        self.apart, self.main, self.hidden = self.apart + n * apart, self.main + n * main, self.hidden + n * hidden
+        self.says[named] += n
 
     def leave(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -120,12 +134,15 @@ class Open:
                 return 3 if name in HEADINGS else 2 if name in PARAGRAPHS else 1 if name in ENTRIES else 0
         return 0
 
+    def named(self) -> int:
+        return 2 if self.says[2] else 1 if self.says[1] else 0
+
     def place(self) -> int:
         return -1 if self.apart else 1 if self.main else 0
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, link density, kind, place, named) of the flat blocks with text; place is -1 in elements that aren't articles, 1 in articles, else 0."""
+    """(text, words, link density, kind, place, named) of the flat blocks with text; place is -1 in elements that aren't articles, 1 in articles, else 0; named is what ``says`` gives."""
     out: list[tuple[str, int, float, int, int, int]] = []
     opened = Open()
     text: list[str] = []
@@ -137,7 +154,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         words = unescape("".join(text)).split()
         if words:
             inside = len(unescape("".join(linked)).split())
-            out.append((" ".join(words), len(words), min(1.0, inside / len(words)), opened.kind(), opened.place(), int(opened.named > 0)))
+            out.append((" ".join(words), len(words), min(1.0, inside / len(words)), opened.kind(), opened.place(), opened.named()))
         text.clear()
         linked.clear()
 
@@ -204,7 +221,7 @@ def features(found: list[tuple[int, float, int, int, int]]) -> list[tuple]:
 
 
 #: Labelled blocks of pages, a line each: + content or - not; > in an article, < in an element that isn't one, = neither; ! named
-#: as boilerplate; heading h, paragraph p, entry i or other d; words, and after a slash those of them in links.
+#: as no article, ? by a vague name; heading h, paragraph p, entry i or other d; words, and after a slash those of them in links.
 TABLE = """
 -<i1/1 -<i1/1 -<i1/1 -=d7 +>h9 +>p12 +>p180 +>p31 +>p1 +>p64 +>p2 -<d8
 -<i1/1 -<i1/1 -<i2/2 -=!d9 +>h4 +>p2 +>p1 +>p3 +>p1 -<d6
@@ -244,17 +261,31 @@ TABLE = """
 +=p3 +=p2 +=p4
 -=d2/2 -=d2 -=d2/2 +=d55 +=d80 -=d3 -=d2/2 -=d2
 -=i1/1 -=i1/1 +=h5 +=p1 +=p30 +=p1 +=p2 +=p25 -=d2/2 -=d6
++>h4 +>p60 ->?d1 ->?d2/2 ->?i1/1 +>?p40 +>p30 ->?d3
++>h6 +>?d35 +>?d90 +>p22 ->?d2 ->?d4/4 +>?p16
++>p50 ->?i1/1 ->?i1/1 ->?i2/2 +>p14 +>?i24 +>?i31 ->?d5
++>h3 ->?d6/4 +>p80 +>?p12 +>?p75/3 ->?d2/1 ->?d1
++>p18 +>?p26 ->?d3/3 ->?d4 +>?h5 +>?p48
+-=i1/1 +=h7 +=p90 -=?d3 -=?i1/1 -=?i2/2 +=?p55 +=p20 -=?d4/4
++=h5 +=?p38 +=?p64 +=p45 -=?d2 -=?d3/3 -=d4/4
+-=?d2/2 -=?d2 +=p70 +=?d44 +=p25 -=!p40 -=!p22 -=!d3
++>p33 ->!p30 ->!p51 ->!d4 +>p20 ->!d2/2 ->!p80/2
+-=d4/4 +=h4 +=d40 +=d11 +=d70 +=d13 +=d52 -=d3/3
+-=d2/2 +=d28 +=d10 +=d64 +=d14 +=d38 -=d1/1
++>h4 +>p40 ->?p2 +>p33 ->?p3 +>p20 ->?p5
++>p25 ->?p1 ->?p4 +>p60 +>?p44 ->?p2 +>p31
++>p4/4 +>p25 +>d3/3 +>d5 +>d1/1 +>i2/2 +>d60 +>i3/3 +>d2/2
 """
 MARKUP_COST = 2
 LEAST_ROWS = 5
-ONE = re.compile(r"([+-])([<>=])(!?)([diph])(\d+)(?:/(\d+))?")
+ONE = re.compile(r"([+-])([<>=])([!?]?)([diph])(\d+)(?:/(\d+))?")
 
 
 def labelled(table: str) -> list[tuple]:
     """The features of labelled blocks, and 1 for content or 0."""
     rows = []
     for line in table.split("\n"):
-        found = [((int(w), int(l or 0) / int(w), "diph".index(k), "<=>".index(p) - 1, int(bool(n))), int(c == "+")) for c, p, n, k, w, l in ONE.findall(line)]
+        found = [((int(w), int(l or 0) / int(w), "diph".index(k), "<=>".index(p) - 1, ["", "?", "!"].index(n)), int(c == "+")) for c, p, n, k, w, l in ONE.findall(line)]
         rows += [(*x, c) for x, (_, c) in zip(features([b for b, _ in found]), found, strict=True)]
     return rows
 

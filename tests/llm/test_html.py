@@ -138,3 +138,38 @@ def test_many_unclosed_elements_take_linear_time(piece):
     began = time.process_time()
     assert html.main_text("<article>" + piece * (100_000 // piece.count("<")) + "<p>x", TREE) == ("" if "button" in piece else "x")
     assert time.process_time() - began < 2
+
+
+LEAKS = "user-comments post-comments disqus_thread responses left-sidebar site-footer cookie-consent gdpr-banner ad-slot-top ad_300x250 google-ad c-advert social-share related-posts newsletter-signup userComments AdSlot1".split()
+
+
+@pytest.mark.parametrize("name", LEAKS)
+def test_names_of_many_forms_go(name):
+    assert html.main_text(f"<article><h1>{w(4)}</h1><p>{w(30)}</p><div class='{name}'>b c d</div></article>", TREE) == f"{w(4)} {w(30)}"
+    assert html.main_text(f"<h1>{w(4)}</h1><p>{w(40)}</p><p>{w(30)}</p><div id={name}>b c d</div>", TREE) == f"{w(4)} {w(40)} {w(30)}"
+
+
+@pytest.mark.parametrize("name", ["user-comments", "left-sidebar", "post-comments", "disqus_thread", "related-posts"])
+def test_prose_in_what_is_no_article_goes(name):
+    assert html.main_text(f"<article><p>{w(30)}</p><div class={name}><p>{w(45)}</p><p>{w(20)}</p></div></article>", TREE) == w(30)
+    assert html.main_text(f"<div><p>{w(50)}</p><p>{w(30)}</p></div><div class={name}><p>{w(45)}</p></div>", TREE) == f"{w(50)} {w(30)}"
+
+
+@pytest.mark.parametrize("markup", ["<div class=share-list>{}</div>", "<div class=search-section>{}</div>", "<p class=banner>{}</p>", "<div class=social><p>{}</p></div>"])
+def test_words_decide_under_vague_names(markup):
+    """Prose stays, what has few words or only links goes, whatever the name."""
+    page = lambda inside: f"<article><h1>{w(4)}</h1><p>{w(30)}</p>{markup.format(inside)}<p>{w(25)}</p></article>"
+    assert html.main_text(page(w(42)), TREE) == f"{w(4)} {w(30)} {w(42)} {w(25)}"
+    assert html.main_text(page("Tell us"), TREE) == f"{w(4)} {w(30)} {w(25)}"
+    assert html.main_text(page("<a href=/>tell a friend of it</a>"), TREE) == f"{w(4)} {w(30)} {w(25)}"
+
+
+def test_word_features_decide_vague_blocks():
+    for n in (3, 40):
+        x = html.features([(4, 0.0, 3, 1, 0), (n, 0.0, 0, 1, 1), (25, 0.0, 2, 1, 0)])[1]
+        assert set(path(x)) & {0, 2, 4} and html.decide(TREE, x) == (n > 20)
+
+
+@pytest.mark.parametrize("name, said", [("ad-hoc", 0), ("share-price", 0), ("commentary", 0), ("popular-science", 0), ("advertising-history", 0), ("banner", 1), ("share-list", 1), ("navMenu", 2), ("", 0), ("123", 0), ("top", 0), ("ad-slot-top-300x250", 2)])
+def test_names(name, said):
+    assert html.says(name) == said
