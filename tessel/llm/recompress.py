@@ -44,19 +44,29 @@ PLACE = U((1 << 22) - 1)
 
 
 def names_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The names of all words of one text, or of several with blanks between them, and where they start."""
-    a = np.frombuffer(b" " + text + b" ", np.uint8)
+    """The names of all words of one text, or of several with blanks between them, and where they start.
+
+    Eight bytes at a time are mixed into a word's name, so words of at most eight bytes have names of their own.
+    """
+    a = np.frombuffer(b" " + text + b" " * 9, np.uint8)
     blank = BLANK[a]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, ends = edges[::2], edges[1::2]
-    if len(a) <= 2 * PIECE:
-        return Ranges(a)(starts, ends), starts - 1
-    out, i = [], 0
-    while i < len(starts):  # pieces end between words
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, side="right")))
-        out.append(Ranges(a[starts[i] : ends[j - 1]])(starts[i:j] - starts[i], ends[i:j] - starts[i]))
-        i = j
-    return np.concatenate(out) if out else np.zeros(0, U), starts - 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(a) - 8,), "<u8", a, strides=(1,))  # the bytes from each place on
+    names = sizes.astype(U) * U(BASE)
+    at, left, some = starts, sizes, None  # of the words that aren't at their end
+    while len(at):
+        part = eight[at]
+        part &= U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(U)
+        if some is None:
+            names = mix(names ^ part)
+            some = np.flatnonzero(left > 8)
+            at, left = at[some] + 8, left[some] - 8
+        else:
+            names[some] = mix(names[some] * U(BASE) ^ part)
+            more = left > 8
+            some, at, left = some[more], at[more] + 8, left[more] - 8
+    return names, starts - 1
 
 
 class Spans(Ranges):
@@ -79,94 +89,109 @@ def digests(names: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 class Piece:
     """Windows of some documents, and what recompression makes of them."""
 
-    def __init__(self, names: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int, first: int = 0, last: int | None = None):
-        """doc and place (in the document) of each word; windows start at first to last only."""
+    def __init__(self, names: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int, last: int | None = None):
+        """doc and place (in the document) of each word; windows start before last."""
         self.names, self.doc, self.place, self.window = names, doc, place, window
         n = max(0, len(names) - window + 1)
-        at = np.arange(first, n if last is None else min(n, last))
+        at = np.arange(n if last is None else min(n, last))
         self.at = at[doc[at] == doc[at + window - 1]] if len(at) else at
-        self.sym, self.of, self.level = names, doc, 0
-        self.lo, self.hi = self.at.copy(), self.at + window
-        self.anchor, self.alive = self._least(self.lo, self.hi), np.ones(len(self.at), bool)
-
-    def _least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Place and level of the least-hashed symbol in each range that isn't empty, as one number; of equal ones the first."""
-        key = (mix(self.sym ^ U(self.level * BASE & (1 << 64) - 1)) & ~PLACE) | np.arange(len(self.sym)).astype(U)
-        out, size = np.zeros(len(lo), np.int64), hi - lo
-        wide = 1
-        while (size >= wide).any():
-            some = np.flatnonzero((size >= wide) & (size < 2 * wide))
-            out[some] = (np.minimum(key[lo[some]], key[hi[some] - wide]) & PLACE).astype(np.int64) * 64 + self.level
-            key = np.minimum(key[: max(len(key) - wide, 0)], key[wide:])  # of twice as many from each place on
-            wide *= 2
-        return out
+        #: for each level the symbols and each window's range of them, from start to end
+        self.levels = [(names, self.at, self.at + window)]
+        self.of, self.fresh = doc, np.zeros(len(names), bool)
 
     def compress(self) -> None:
         """One level: runs, then pairs. What may be named otherwise elsewhere is taken from the windows' ranges first."""
-        self.level += 1
-        sym, of = self.sym, self.of
+        (sym, lo, hi), of, level = self.levels[-1], self.of, len(self.levels)
+        to = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
         if not len(sym):
-            self.fresh = np.zeros(0, bool)
+            self.levels.append((sym, *to))
             return
         starts = np.concatenate([[True], (sym[1:] != sym[:-1]) | (of[1:] != of[:-1])])
-        run = np.cumsum(starts) - 1
-        head = np.flatnonzero(starts)
-        times = np.diff(head, append=len(sym))
-        sym, of, fresh = sym[head], of[head], times > 1
-        if fresh.any():
-            sym = np.where(fresh, mix(sym * RUN + times.astype(U) * U(BASE) + U(self.level)), sym)
-        some = np.flatnonzero(self.hi > self.lo)
-        lo, hi = run[self.lo[some]] + 1, run[self.hi[some] - 1]
-        right = mix(sym ^ U(int(SIDE) * self.level & (1 << 64) - 1)) >> U(63) == 1
-        some, lo, hi = (x[lo < hi] for x in (some, lo, hi))
+        some = np.flatnonzero(hi > lo)
+        if starts.all():
+            fresh, lo, hi = np.zeros(len(sym), bool), lo[some] + 1, hi[some] - 1
+        else:
+            run, head = np.cumsum(starts) - 1, np.flatnonzero(starts)
+            times = np.diff(head, append=len(sym))
+            sym, of, fresh = sym[head], of[head], times > 1
+            sym = np.where(fresh, mix(sym * RUN + times.astype(U) * U(BASE) + U(level)), sym)
+            lo, hi = run[lo[some]] + 1, run[hi[some] - 1]
+        right = mix(sym ^ U(int(SIDE) * level & (1 << 64) - 1)) >> U(63) == 1
+        held = np.flatnonzero(lo < hi)
+        some, lo, hi = some[held], lo[held], hi[held]
         lo, hi = lo + right[lo], hi - ~right[hi - 1]
-        some, lo, hi = (x[lo < hi] for x in (some, lo, hi))
+        held = np.flatnonzero(lo < hi)
+        some, lo, hi = some[held], lo[held], hi[held]
         pair = np.flatnonzero(~right[:-1] & right[1:] & (of[1:] == of[:-1]))
-        sym, fresh, keep = sym.copy(), fresh.copy(), np.ones(len(sym), bool)
-        sym[pair] = mix(sym[pair] * PAIR + mix(sym[pair + 1]) + U(self.level))
+        sym, keep = sym.copy(), np.ones(len(sym), bool)
+        sym[pair] = mix(sym[pair] * PAIR + mix(sym[pair + 1]) + U(level))
         fresh[pair], keep[pair + 1] = True, False
         new = np.cumsum(keep) - 1
-        self.sym, self.of, self.fresh = sym[keep], of[keep], fresh[keep]
-        self.lo, self.hi = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
-        self.lo[some], self.hi[some] = new[lo], new[hi - 1] + 1
+        self.of, self.fresh = of[keep], fresh[keep]
+        to[0][some], to[1][some] = new[lo], new[hi - 1] + 1
+        self.levels.append((sym[keep], *to))
 
     def prune(self, marks: np.ndarray) -> None:
-        """Windows with a new symbol that isn't marked are no longer alive."""
-        known = (marks[((self.sym & U(MARKS - 1)) >> U(6)).astype(np.int64)] >> (self.sym & U(63))) & U(1) == 1
-        gone = np.cumsum(np.concatenate([[0], self.fresh & ~known]))
-        self.alive &= gone[np.maximum(self.hi, self.lo)] == gone[self.lo]
+        """Windows with a new symbol that isn't marked are gone."""
+        sym, lo, hi = self.levels[-1]
+        new = np.flatnonzero(self.fresh)
+        named = sym[new]
+        known = (marks[((named & U(MARKS - 1)) >> U(6)).astype(np.int64)] >> (named & U(63))) & U(1) == 1
+        gone = np.zeros(len(sym) + 1, np.int64)
+        gone[new[~known] + 1] = 1
+        gone = np.cumsum(gone)
+        alive = np.flatnonzero(gone[hi] == gone[lo])
+        if len(alive) < len(self.at):
+            self.at = self.at[alive]
+            self.levels = [(s, a[alive], z[alive]) for s, a, z in self.levels]
 
     def symbols(self) -> np.ndarray:
-        """Names of the new symbols in the ranges of windows that are alive."""
-        live = np.flatnonzero(self.alive & (self.hi > self.lo))
-        cover = np.bincount(self.lo[live], minlength=len(self.sym) + 1) - np.bincount(self.hi[live], minlength=len(self.sym) + 1)
-        return self.sym[(np.cumsum(cover[:-1]) > 0) & self.fresh]
-
-    def settle(self) -> None:
-        """The anchors are taken from this level where a window has a range on it."""
-        some = np.flatnonzero(self.hi > self.lo)
-        self.anchor[some] = self._least(self.lo[some], self.hi[some])
-        self.named[some] = self.sym[self.anchor[some] // 64]
-
-    def follow(self, rounds: int, marks: np.ndarray | None) -> Piece:
+        """Names of the new symbols in the windows' ranges."""
+        sym, lo, hi = self.levels[-1]
+        held = np.flatnonzero(hi > lo)
+        cover = np.bincount(lo[held], minlength=len(sym) + 1) - np.bincount(hi[held], minlength=len(sym) + 1)
+        return sym[(np.cumsum(cover[:-1]) > 0) & self.fresh]
+
+    def follow(self, rounds: int, marks: np.ndarray | None = None) -> Piece:
         """Compressed so many times; every level's marks take windows out."""
-        self.named = self.names[self.anchor // 64] if len(self.at) else np.zeros(0, U)
         for _ in range(rounds):
             self.compress()
             if marks is not None:
                 self.prune(marks)
-            self.settle()
         return self
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each window's anchor (place and level as one number) and its name: the least-hashed symbol on its highest level, of equal ones the first."""
+        anchor, named = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), U)
+        open_ = np.arange(len(self.at))
+        for level in range(len(self.levels) - 1, -1, -1):
+            sym, lo, hi = self.levels[level]
+            there = hi[open_] > lo[open_]
+            some, open_ = open_[there], open_[~there]
+            if len(some):
+                at = _least(sym, level, lo[some], hi[some])
+                anchor[some], named[some] = at * 64 + level, sym[at]
+        return anchor, named
+
     def stretches(self) -> tuple[np.ndarray, ...]:
         """(doc, place, number of windows, anchor's name, digest) of neighbouring windows with one anchor."""
-        live = np.flatnonzero(self.alive)
-        at, anchor = self.at[live], self.anchor[live]
+        (anchor, named), at = self.anchors(), self.at
         new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(anchor) != 0) | (np.diff(self.doc[at]) != 0)]) if len(at) else np.zeros(0, bool)
         head = np.flatnonzero(new)
-        size = np.diff(head, append=len(at))
-        start = at[head]
-        return self.doc[start], self.place[start], size, self.named[live][head].view(np.int64), *digests(self.names, start, start + size + self.window - 1)
+        size, start = np.diff(head, append=len(at)), at[head]
+        return self.doc[start], self.place[start], size, named[head].view(np.int64), *digests(self.names, start, start + size + self.window - 1)
+
+
+def _least(sym: np.ndarray, level: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place of the least-hashed symbol in each range, none of them empty; of equal ones the first."""
+    key = (mix(sym ^ U(level * BASE & (1 << 64) - 1)) & ~PLACE) | np.arange(len(sym)).astype(U)
+    out, size, wide = np.zeros(len(lo), np.int64), hi - lo, 1
+    while wide <= size.max():
+        some = np.flatnonzero((size >= wide) & (size < 2 * wide))
+        out[some] = (np.minimum(key[lo[some]], key[hi[some] - wide]) & PLACE).astype(np.int64)
+        key = np.minimum(key[: max(len(key) - wide, 0)], key[wide:])  # of twice as many from each place on
+        wide *= 2
+    return out
 
 
 def pieces(texts: list[bytes], window: int) -> Iterator[Piece]:
@@ -178,7 +203,7 @@ def pieces(texts: list[bytes], window: int) -> Iterator[Piece]:
         place = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         for a in range(0, max(1, len(joined)), PIECE):
             z = min(len(joined), a + PIECE + window - 1)
-            yield Piece(joined[a:z], doc[a:z], place[a:z], window, 0, PIECE)
+            yield Piece(joined[a:z], doc[a:z], place[a:z], window, PIECE)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -243,18 +268,34 @@ def _streamed(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _windows(window: int):
-    """A stream with stretches (place, number of windows) to their windows (tid, doc_id, place, a, b)."""
+    """A stream with stretches (place, number of windows) to their windows (tid, doc_id, place, a, b); many short texts go together."""
+
+    def flush(held):
+        rows, s, m = zip(*held, strict=True)
+        texts = [_texts(r)[0] for r in rows]
+        names, starts = names_of(b" ".join(texts))
+        base = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))[:-1]
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in s])
+        s, m = np.concatenate(s), np.concatenate(m)
+        tid, doc_id = (pa.concat_arrays([r.column(c) for r in rows]) for c in ("tid", "doc_id"))
+        for i, j in runs(m.tolist(), PIECE):
+            at = np.repeat(s[i:j] - np.cumsum(m[i:j]) + m[i:j], m[i:j]) + np.arange(int(m[i:j].sum()))
+            of = np.repeat(row[i:j], m[i:j])
+            a, b = digests(names, base[of] + at, base[of] + at + window)
+            of = pa.array(of)
+            yield pa.RecordBatch.from_arrays([tid.take(of), doc_id.take(of), pa.array(at), pa.array(a), pa.array(b)], ["tid", "doc_id", "place", "a", "b"])
 
     def run(batches):
+        held, size = [], 0
         for row, s, m in _by_text(batches):
-            if not len(s):
-                continue
-            names = names_of(_texts(row)[0])[0]
-            for i, j in runs(m.tolist(), PIECE):
-                at = np.repeat(s[i:j] - np.cumsum(m[i:j]) + m[i:j], m[i:j]) + np.arange(int(m[i:j].sum()))
-                a, b = digests(names, at, at + window)
-                one = pa.array(np.zeros(len(at), np.int64))
-                yield pa.RecordBatch.from_arrays([row.column("tid").take(one), row.column("doc_id").take(one), pa.array(at), pa.array(a), pa.array(b)], ["tid", "doc_id", "place", "a", "b"])
+            if len(s):
+                held.append((row, s, m))
+                size += row.nbytes
+            if size >= PIECE:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -322,20 +363,27 @@ def repeated(texts: DataFrame, window: int = 20, rounds: int = ROUNDS) -> tuple[
     rows, rows_path = table(map_arrow(texts, _stretched(window, rounds, marks), f"tid long, doc_id {kind}, place long, m long, anchor long, a long, b long"), "stretches")
     first = F.min(F.struct("doc_id", "place", "tid")).alias("first")
     firsts, firsts_path = table(rows.groupBy("a", "b").agg(first, F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min("m").alias("m")), "firsts")
+    release(spark)
     # of repeated rows none is before the other: those beside the first are compared on as it is
     others, others_path = table(_compared(rows, firsts.where("n > 1")).where(F.col("later") | (F.col("tid") != F.col("first.tid"))).select("tid", "place", "m", "anchor", "later"), "others")
-    spans = others.where("later").select("tid", F.col("place").alias("s"), (F.col("place") + F.col("m") + (window - 1)).alias("e"))
+    drop(spark, rows_path)
+    release(spark)
     # different stretches with one anchor may share windows
     mixed, mixed_path = table(firsts.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "mixed")
     earliest = firsts.select("anchor", "first.tid", "first.place", "m").unionByName(others.where("not later").select("anchor", "tid", "place", "m"))
     open_, open_path = table(earliest.join(mixed.hint("merge"), "anchor").select("tid", F.col("place").alias("s"), F.col("m").alias("e")), "open")
+    drop(spark, firsts_path, mixed_path)
+    release(spark)
     who, who_path = table(open_.select("tid").distinct(), "who")
     windows = map_arrow(_streamed(texts.join(small(who), "tid"), open_), _windows(window), f"tid long, doc_id {kind}, place long, a long, b long")
     windows, windows_path = table(windows, "windows")
+    drop(spark, open_path, who_path)
+    release(spark)
     earliest, earliest_path = table(windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest")
+    spans = others.where("later").select("tid", F.col("place").alias("s"), (F.col("place") + F.col("m") + (window - 1)).alias("e"))
     more = _compared(windows, earliest).where("later").select("tid", F.col("place").alias("s"), (F.col("place") + window).alias("e"))
     out, out_path = table(spans.unionByName(more), "spans")
-    drop(spark, rows_path, firsts_path, others_path, mixed_path, open_path, who_path, windows_path, earliest_path)
+    drop(spark, others_path, windows_path, earliest_path)
     release(spark)
     return out, [out_path]
 

@@ -89,18 +89,23 @@ def test_a_window_is_named_alike_wherever_it_is(vocabulary):
     for _ in range(50):
         left, right = (rng.integers(1, vocabulary + 1, rng.integers(0, 9)).astype(np.uint64) for _ in "ab")
         names = np.concatenate([left, inside, right])
-        p = Piece(names, np.zeros(len(names), np.int64), np.arange(len(names)), 20).follow(0, None)
-        at, ranges = len(left), []
-        for _ in range(3):
-            p.compress()
-            p.settle()
-            ranges.append(tuple(p.sym[p.lo[at] : p.hi[at]].tolist()))
-        seen.add((*ranges, int(p.named[at])))
+        p = Piece(names, np.zeros(len(names), np.int64), np.arange(len(names)), 20).follow(3)
+        at = len(left)
+        ranges = [tuple(sym[lo[at] : hi[at]].tolist()) for sym, lo, hi in p.levels[1:]]
+        seen.add((*ranges, int(p.anchors()[1][at])))
     assert len(seen) == 1
     assert vocabulary < 4 or seen.pop()[0]
 
 
 def test_runs_and_pairs_shrink_a_sequence():
     names = np.array([7] * 30 + list(range(1, 200)), np.uint64)
-    p = Piece(names, np.zeros(len(names), np.int64), np.arange(len(names)), 20).follow(3, None)
-    assert p.sym[0] != 7 and len(p.sym) < len(names) * 0.5
+    sym = Piece(names, np.zeros(len(names), np.int64), np.arange(len(names)), 20).follow(3).levels[-1][0]
+    assert sym[0] != 7 and len(sym) < len(names) * 0.5
+
+
+def test_names_tell_words_apart():
+    words = [b"a", b"aa", b"a" * 8, b"a" * 9, b"a" * 16, b"a" * 17, b"b" + b"a" * 8, b"a" * 8 + b"b", b"\x00", b"\x00\x00", "é".encode(), b"a" * 40, b"a" * 41]
+    names, starts = names_of(b"  " + b" \n".join(words))
+    assert len(set(names.tolist())) == len(words) and starts[0] == 2
+    assert (names_of(b" ".join(reversed(words)))[0][::-1] == names).all()
+    assert names_of(b"")[0].size == names_of(b" \t ")[0].size == 0
