@@ -8,9 +8,13 @@ query and of the candidate. What the later postings can still add is at most the
 remainders (and a bound on rounding). Processing stops only when that proves which few candidates may be members; those
 are rescored exactly in integers, whatever their size.
 
-Every group meets all queries on the executors: queries are sent to each group's task through a shuffle and read as a
-stream, so neither the driver nor a task holds more of them than a batch. A group passes on the best k of each query,
-so what meets for a query grows with the groups, not with rows.
+Groups are of neighbours: each vector belongs to the nearest of a bounded number of vectors (``CELLS`` at most), a cell with
+very many is cut into several groups. Every query goes to one group of the cell whose middle suits it best; the k-th
+score that it finds there is its threshold. Then it goes to those groups only whose best possible score, by the query's
+product with the middle and its norm times the cell's radius, isn't below the threshold. Where vectors are clustered these
+are few; where they aren't, as on Gaussian ones, bounds rule nothing out and all pairs of query and group are left.
+Queries are sent to the groups' tasks through a shuffle and read as a stream, so neither the driver nor a task holds more
+of them than a batch. A group passes on the best k of each query, so what meets for a query grows with the groups.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
 rows with the query's own id are never its results; repeated query rows give repeated results; vectors of different
@@ -29,6 +33,7 @@ from .common import column, drop, map_arrow, table
 
 GROUP = 16_384  # candidates indexed at once, about: as many as this, or fewer where cores would idle
 LEAST_GROUP = 4096
+CELLS = 1024  # middles of groups at most
 QUERIES = 64  # that go through an index together
 FEW = 32  # possible members a query that are rescored at once
 PAIRS = 65_536  # rescored at once
@@ -163,6 +168,99 @@ def _search(k: int):
     return run
 
 
+SLACK = 1e-9  # beyond all rounding of products and norms
+
+
+class Cells:
+    """Middles of cells, their radii, how many groups each is cut into, and the number of its first group."""
+
+    def __init__(self, middles: np.ndarray):
+        self.middles = middles.astype(np.float64)
+        self.squares = (self.middles**2).sum(axis=1)
+        self.radius = np.zeros(len(middles))
+        self.subs = self.base = np.zeros(len(middles), np.int64)
+
+    def measured(self, found, group: int) -> Cells:
+        """With the (cell, n, far) of the rows in them."""
+        n = np.zeros(len(self.middles), np.int64)
+        for cell, count, far in found:
+            n[cell], self.radius[cell] = count, far
+        self.subs = -(-n // group)
+        self.base = np.cumsum(self.subs) - self.subs
+        return self
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row, and its distance from the middle, rounded up."""
+        cell = (2 * (x @ self.middles.T) - self.squares).argmax(axis=1)
+        return cell, np.sqrt(((x - self.middles[cell]) ** 2).sum(axis=1)) * (1 + SLACK)
+
+    def most(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and cell the product with the middle, and what no member's score exceeds."""
+        product = q @ self.middles.T
+        norm = np.sqrt((q**2).sum(axis=1))[:, None]
+        return product, product + norm * self.radius + SLACK * norm * (np.sqrt(self.squares) + self.radius) + 1
+
+    def home(self, q: np.ndarray) -> np.ndarray:
+        """The group that each query meets first."""
+        return self.base[np.where(self.subs > 0, q @ self.middles.T, -np.inf).argmax(axis=1)]
+
+    def others(self, q: np.ndarray, home: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, group) of all further groups that may have a score of at least the query's least."""
+        row, cell = np.nonzero((self.most(q)[1] >= least[:, None]) & (self.subs > 0))
+        each = self.subs[cell]
+        group = np.repeat(self.base[cell] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        row = np.repeat(row, each)
+        new = group != home[row]
+        return row[new], group[new]
+
+
+def _placed(cells: Cells):
+    """Rows (rid, vec_id, v) with their cell and distance from its middle."""
+
+    def run(batches):
+        for b in batches:
+            cell, far = cells.nearest(_matrix(b.column("v"), cells.middles.shape[1]).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rid", "vec_id", "v")), pa.array(cell), pa.array(far)], ["rid", "vec_id", "v", "cell", "far"])
+
+    return run
+
+
+def _first(cells: Cells):
+    """Queries (rid, vec_id, v) with the group that they meet first."""
+
+    def run(batches):
+        for b in batches:
+            home = cells.home(_matrix(b.column("v"), cells.middles.shape[1]).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(home), *(b.column(c) for c in ("rid", "vec_id", "v"))], ["g", "rid", "vec_id", "v"])
+
+    return run
+
+
+def _further(cells: Cells):
+    """Queries (rid, vec_id, v, home, least: null without a threshold) to a row for each further group that they meet."""
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                least = b.column("least").cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                row, group = cells.others(_matrix(b.column("v"), cells.middles.shape[1]).astype(np.float64), b.column("home").to_numpy(), least)
+                for i in range(0, len(row), 4096):
+                    at = pa.array(row[i : i + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[i : i + 4096]), *(b.column(c).take(at) for c in ("rid", "vec_id", "v"))], ["g", "rid", "vec_id", "v"])
+
+    return run
+
+
+ROWS = "g long, rid long, vec_id long, v array<long>"
+
+
+def _met(candidates: DataFrame, queries: DataFrame, groups: int, k: int) -> DataFrame:
+    """The best k of each query in each group that it is sent to, written, with the path."""
+    kind = lambda df, n: df.select("g", F.lit(n).alias("kind"), "rid", "vec_id", "v")
+    rows = kind(candidates, 0).unionByName(kind(queries, 1)).repartition(groups, "g").sortWithinPartitions("g", "kind")
+    return table(map_arrow(rows, _search(k), "q long, query_id long, vec_id long, score long"), "found")
+
+
 def top(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose id is divisible by ``every``."""
     spark = df.sparkSession
@@ -172,13 +270,26 @@ def top(df: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: st
         F.monotonically_increasing_id().alias("rid"), column(df, id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v")
     )
     vecs, vecs_path = table(vecs, "vectors")
-    n = vecs.count()
+    n, width = vecs.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     groups = max(1, -(-n // GROUP), min(2 * spark.sparkContext.defaultParallelism, n // LEAST_GROUP))
-    candidates = vecs.select(F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("g"), F.lit(0).alias("kind"), "rid", "vec_id", "v")
-    queries = vecs.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"), F.lit(1).alias("kind"), "rid", "vec_id", "v")
-    rows = candidates.unionByName(queries).repartition(groups, "g").sortWithinPartitions("g", "kind")
-    found, _ = table(map_arrow(rows, _search(k), "q long, query_id long, vec_id long, score long"), "found")
+    some = vecs.orderBy(F.xxhash64("rid"), "rid").limit(min(groups, CELLS)).select("v").collect() or [[[]]]
+    middles = _matrix(pa.array([r[0] for r in some], pa.list_(pa.int64())), max(1, width))
+    cells = Cells(middles)
+    placed, placed_path = table(map_arrow(vecs, _placed(cells), "rid long, vec_id long, v array<long>, cell long, far double"), "placed")
     drop(spark, vecs_path)
+    size = -(-n // groups) if n else 1
+    cells.measured(placed.groupBy("cell").agg(F.count("*"), F.max("far")).collect(), max(1, size))
+    at = F.broadcast(spark.createDataFrame([(i, int(b), int(m)) for i, (b, m) in enumerate(zip(cells.base, cells.subs, strict=True))], "cell long, base long, subs long"))
+    total = max(1, int(cells.subs.sum()))
+    candidates = placed.join(at, "cell").select((F.col("base") + F.pmod(F.xxhash64("rid"), F.col("subs"))).alias("g"), "rid", "vec_id", "v")
+    queries = placed.where(F.col("vec_id") % every == 0).select("rid", "vec_id", "v")
+    asked, asked_path = table(map_arrow(queries, _first(cells), ROWS), "asked")
+    near, near_path = _met(candidates, asked, total, k)
+    least = near.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    known = asked.join(least, F.col("rid") == F.col("q"), "left").select("rid", "vec_id", "v", F.col("g").alias("home"), "least")
+    sent = map_arrow(known, _further(cells), ROWS)
+    far, far_path = _met(candidates, sent, total, k)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found, _ = table(near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k), "best")
+    drop(spark, placed_path, asked_path, near_path, far_path)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

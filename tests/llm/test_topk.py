@@ -96,3 +96,61 @@ def test_queries_are_not_gathered(spark, monkeypatch):
     monkeypatch.setattr("pyspark.sql.DataFrame.collect", None)
     monkeypatch.setattr("pyspark.sql.DataFrame.toArrow", None)
     topk.top(frame(spark, vectors(100, 4, 1)), every=2)
+
+
+def sent(monkeypatch):
+    """How many queries go to how many groups after the first."""
+    seen = []
+    real = topk._met
+
+    def met(candidates, queries, groups, k):
+        seen.append((queries.count(), groups))
+        return real(candidates, queries, groups, k)
+
+    monkeypatch.setattr(topk, "_met", met)
+    return seen
+
+
+def clusters(n, d, many, spread=0.02):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(many, d)) * 3
+    return [(i, [float(np.float32(a)) for a in middle[i % many] + spread * rng.normal(size=d)]) for i in range(n)]
+
+
+def test_clustered_queries_go_to_few_groups(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 40)
+    data = clusters(1600, 16, 20)
+    seen = sent(monkeypatch)
+    assert rows(topk.top(frame(spark, data), every=10)) == sorted(brute(data, 10), key=repr)
+    (first, groups), (further, _) = seen
+    assert first == 160 and groups >= 40
+    assert further < 0.3 * first * groups  # of all pairs, less than a third is sent
+
+
+def test_gaussian_vectors_are_exact_too(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 60)
+    rng = np.random.default_rng(4)
+    data = [(i, [float(np.float32(a)) for a in v]) for i, v in enumerate(rng.normal(size=(500, 12)))]
+    assert rows(topk.top(frame(spark, data), every=20)) == sorted(brute(data, 20), key=repr)
+
+
+def test_a_cell_of_very_many_equal_vectors_is_cut(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 30)
+    data = clusters(200, 6, 4) + [(1000 + i, [1.0] * 6) for i in range(400)]
+    seen = sent(monkeypatch)
+    assert rows(topk.top(frame(spark, data), every=40)) == sorted(brute(data, 40), key=repr)
+    assert seen[0][1] >= 20
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-900, 900, (300, 10)).astype(float)
+    cells = topk.Cells(x[:7])
+    cell, far = cells.nearest(x)
+    cells.measured([(c, int((cell == c).sum()), float(far[cell == c].max())) for c in range(7)], 50)
+    q = rng.integers(-900, 900, (20, 10)).astype(float)
+    most = cells.most(q)[1]
+    for i in range(7):
+        assert ((q @ x[cell == i].T).max(axis=1) <= most[:, i]).all()
+    row, group = cells.others(q, np.full(20, -1), np.full(20, -np.inf))
+    assert len(row) == 20 * cells.subs.sum() and sorted(set(group.tolist())) == list(range(int(cells.subs.sum())))
