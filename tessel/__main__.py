@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     logging.basicConfig(stream=sys.stderr, level=logging.INFO if a.verbose else os.environ.get("TESSEL_LOG", "WARNING"))
     spark = SparkSession.builder.appName("tessel").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    engine.validate(spark)
     if a.command == "index":
         n = engine.index(spark, a.path, a.project, a.index)
         logging.getLogger("tessel").info("%d surfaces", n)

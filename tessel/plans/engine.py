@@ -7,10 +7,13 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import paths, text
 from ..operators.diff import diff
 from ..operators.extract import extract
 from ..operators.surfaces import counted
+from ..schema import SURFACE
 from ..sources import index as store
 from ..sources.files import read_files, validate_root
 from ..sources.shared import blocks, delete, shared_dir
@@ -19,6 +22,17 @@ from . import output
 log = logging.getLogger(__name__)
 
 
+def validate(spark: SparkSession) -> None:
+    """Check all rules, formats and the comparison before a run: Spark analyses them on empty snapshots, and patterns are compiled."""
+    none = spark.createDataFrame([], SURFACE)
+    report = diff(none, none)
+    files = spark.createDataFrame([], "repo_path string, content string")
+    for df in (output.github_lines(report), output.json_entries(report), output.human_rows(report, files).select(output.human_entry()), store.json_lines(none)):
+        df.schema  # noqa: B018
+    path = F.lit("a/b.ts")
+    spark.range(1).select(text.normalize_ws(path), text.is_private(path), paths.scanned(path), paths.dispatch(path), paths.component_from_template(path), paths.component_from_path(path)).collect()
+
+
 def _scanned(spark: SparkSession, root: str | Path, project: str) -> DataFrame:
     """``scan`` with n, kept for what reads it next: files are read and extracted once."""
     found = counted(extract(read_files(spark, validate_root(root, project, spark)))).persist()
@@ -69,9 +83,9 @@ def check(spark: SparkSession, root: str | Path, project: str, path: str = "inde
         output.write(report, to, fmt, read_files(spark, validate_root(root, project, spark)) if fmt == "human" else None)
         if out:
             return True, out
-        text = b"".join(blocks(to)).decode()
+        whole = b"".join(blocks(to)).decode()
         delete(to)
-        return True, text
+        return True, whole
     finally:
         for df in (report, found, base):
             df.unpersist()

@@ -163,6 +163,24 @@ def test_overwritten_duplicates_are_logged(spark, tree, tmp_path_factory, caplog
     assert len(logged) == 10 and logged.count("vue.sw-card.prop.title is defined 2 times") == 2
 
 
+def test_rules_are_checked_before_a_run(spark, monkeypatch):
+    engine.validate(spark)
+    with monkeypatch.context() as m, pytest.raises(Exception, match="Unclosed|regex|pattern|REGEX"):
+        m.setattr("tessel.functions.text.PRIVATE", "@(private")
+        engine.validate(spark)
+    with monkeypatch.context() as m, pytest.raises(Exception, match="no_such"):
+        m.setattr(output, "code", lambda kind: output.F.col("no_such"))
+        engine.validate(spark)
+
+
+def test_counts_are_told(spark, tree, tmp_path_factory, caplog):
+    index = str(tmp_path_factory.mktemp("told") / "i.json")
+    with caplog.at_level("INFO", "tessel.plans.engine"):
+        engine.index(spark, tree, "acme/shop", index)
+        engine.check(spark, tree, "acme/shop", index)
+    assert [r.getMessage() for r in caplog.records] == ["10 surfaces found", "10 surfaces loaded, 10 found"]
+
+
 def test_empty_tree_saves_nothing(spark, tmp_path):
     (tmp_path / "composer.json").write_text('{"name": "a/b"}')
     assert engine.index(spark, tmp_path, "a/b", str(tmp_path / "i.json")) == 0
