@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop, map_arrow, shared_dir, table
+from .common import column, drop, map_arrow, scratch, shared_dir, table
 from .texts import small
 
 DATE = "1970-01-01T00:00:00Z"
@@ -38,6 +39,8 @@ CHUNK = 1 << 18
 MOST_HEAD = 1 << 20  # bytes of a header
 EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# Hadoop's names of stores that Arrow calls otherwise
+ALIASES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 RECORDS = "record_type string, record_id string, target string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -229,9 +232,11 @@ def pages_of(stream, payloads: bool = True) -> Iterator[tuple]:
 
 
 def _files(folder: str):
+    """Arrow's file system for a folder by its Hadoop name, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"{ALIASES.get(scheme, scheme)}{mark}{rest}")
 
 
 def _writer(folder: str, name: str, roll: int):
@@ -268,28 +273,39 @@ def _writer(folder: str, name: str, roll: int):
     return run
 
 
+def _batches(streams, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The records of archives, each read in sequence."""
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+
+    def batch(rows):
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    for stream in streams:
+        rows, size = [], 0
+        with stream:
+            for x in pages_of(stream, payloads):
+                rows.append(x)
+                size += len(x[6] or b"")
+                if len(rows) >= 2000 or size >= 8 << 20:
+                    yield batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+
 def _reader(folder: str, payloads: bool):
     def run(batches):
         system, root = _files(folder)
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-
-        def batch(rows):
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-        for b in batches:
-            for path in b.column("path").to_pylist():
-                rows, size = [], 0
-                with system.open_input_stream(f"{root}/{path}", compression=None) as stream:
-                    for x in pages_of(stream, payloads):
-                        rows.append(x)
-                        size += len(x[6] or b"")
-                        if len(rows) >= 2000 or size >= 8 << 20:
-                            yield batch(rows)
-                            rows, size = [], 0
-                if rows:
-                    yield batch(rows)
+        yield from _batches((system.open_input_stream(f"{root}/{path}", compression=None) for b in batches for path in b.column("path").to_pylist()), payloads)
+
+    return run
+
+
+def _parser(payloads: bool):
+    def run(batches):
+        yield from _batches((io.BytesIO(x.as_buffer()) for b in batches for x in b.column("content")), payloads)
 
     return run
 
@@ -310,16 +326,25 @@ def write(pages: DataFrame, folder: str, least: int = 0, name: str = "page", rol
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The responses and revisits in the manifest's archives, archives in parallel, each in sequence."""
+    """The responses and revisits in the manifest's archives, archives in parallel, each in sequence; by Spark's reader of binary files where Arrow can't open the folder."""
     n = max(1, manifest.count())
-    return map_arrow(manifest.select("path").repartition(n), _reader(folder, payloads), RECORDS)
+    names = manifest.select("path").repartition(n)
+    try:
+        _files(folder)
+    except (OSError, pa.ArrowException):  # a store that only Spark opens: archives are rows, which their size bounds
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+        found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(names.withColumnRenamed("path", "name"), "name", "left_semi")
+        return map_arrow(found.select("content"), _parser(payloads), RECORDS)
+    return map_arrow(names, _reader(folder, payloads), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives of the pages."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/tessel/warc-{uuid.uuid4().hex}"
-    got, _ = table(read(spark, write(pages, folder), folder, payloads=False), "records")
+    with scratch(spark) as made:
+        got, path = table(read(spark, write(pages, folder), folder, payloads=False), "records")
+        made.remove(path)
     drop(spark, folder)
     number = lambda c: F.expr(f"cast(nullif(split_part({c}, ':', 3), '') as long)")  # noqa: E731  urn:page:id:digest
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -125,3 +125,24 @@ def broken(change):
 def test_damage_raises(data):
     with pytest.raises(warc.WarcError):
         list(warc.pages_of(io.BytesIO(data)))
+
+
+def test_archives_in_a_store_that_only_spark_opens(spark, rows, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.archives.link./in", f"file://{tmp_path}")
+    data = pages(spark, (1, "u", "<p>é</p>"), (2, "v", "x" * 300), (3, None, "x" * 300))
+    manifest = warc.write(data, f"file://{tmp_path}", roll=100)
+    both = [rows(warc.read(spark, manifest, folder)) for folder in (f"file://{tmp_path}", "viewfs://archives/in")]
+    assert both[0] == both[1] and len(both[0]) == 3
+
+
+def test_hadoop_names_of_stores():
+    for name, uri in (("s3a", "s3"), ("gcs", "gs"), ("file", "file"), ("hdfs", "hdfs")):
+        assert warc.ALIASES.get(name, name) == uri
+
+
+def test_only_the_records_are_left(spark):
+    from test_pipeline import tables
+
+    before = tables(spark)
+    out = warc.round_trip(pages(spark, (1, "u", "a"), (2, "v", "a")))
+    assert [n.split("-")[0] for n in tables(spark) - before] == ["records"] and out.count() == 2
