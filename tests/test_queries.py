@@ -1,7 +1,7 @@
 import pytest
-from support import agrees
+from support import TESTDATA, agrees
 
-from tessel.plans import queries
+from tessel.plans import queries, workload
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -18,3 +18,17 @@ def test_entry_registers_everything():
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_gathered_by_one_sort(spark):
+    plan = _plan(workload.methods(spark, str(TESTDATA / "sf0.001"), False))
+    assert "ObjectHashAggregate" not in plan and plan.count("RunningWindowFunction") + plan.count("Window [") == 1
+
+
+def test_names_of_methods_need_no_lines(spark):
+    plan = _plan(workload.surfaces(spark, str(TESTDATA / "sf0.001"), False).select("fqn"))
+    assert "lineitem" not in plan
