@@ -19,6 +19,7 @@ from ..sources.files import read_files, validate_root
 from ..sources.shared import blocks, delete, shared_dir
 from . import output
 
+JSON = (".json", ".json.gz")
 log = logging.getLogger(__name__)
 
 
@@ -52,13 +53,13 @@ def report_duplicates(surfaces: DataFrame) -> None:
 
 
 def index(spark: SparkSession, root: str | Path, project: str, path: str = "index.json") -> int:
-    """Scan and save; the number of surfaces. Nothing is saved if there are none. A path ending in .json is one JSON object, else Parquet."""
+    """Scan and save; the number of surfaces. Nothing is saved if there are none. A path ending in .json or .json.gz is one JSON object, else Parquet."""
     found = _scanned(spark, root, project)
     try:
         n = found.count()
         log.info("%d surfaces found", n)
         if n:
-            (store.save_json if path.endswith(".json") else store.save)(found.drop("n"), path)
+            (store.save_json if path.endswith(JSON) else store.save)(found.drop("n"), path)
         return n
     finally:
         found.unpersist()
@@ -71,7 +72,7 @@ def check(spark: SparkSession, root: str | Path, project: str, path: str = "inde
     """
     if fmt not in output.FORMATS:
         raise ValueError(f"unknown format {fmt}")
-    base = (store.load_json(spark, path) if path.endswith(".json") else store.load(spark, path)).persist()
+    base = (store.load_json(spark, path) if path.endswith(JSON) else store.load(spark, path)).persist()
     found = _scanned(spark, root, project)
     report = diff(base, found.drop("n")).persist()
     try:
