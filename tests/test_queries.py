@@ -2,6 +2,7 @@ import pytest
 from support import TESTDATA, agrees
 
 from tessel.plans import queries, workload
+from tessel.sources import index as store
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -32,3 +33,13 @@ def test_lines_are_gathered_by_one_sort(spark):
 def test_names_of_methods_need_no_lines(spark):
     plan = _plan(workload.surfaces(spark, str(TESTDATA / "sf0.001"), False).select("fqn"))
     assert "lineitem" not in plan
+
+
+@pytest.mark.parametrize("name", ["index_roundtrip", "index_object"])
+def test_indexes_take_a_small_part_of_their_text(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(queries, "shared_dir", lambda _: str(tmp_path))
+    sf_dir = str(TESTDATA / "sf0.001")
+    rows = queries.QUERIES[name](spark, sf_dir).count()
+    taken = sum(p.stat().st_size for p in tmp_path.rglob("*.gz"))
+    text = store.json_lines(workload.surfaces(spark, sf_dir, False)).selectExpr("sum(octet_length(entry)) as n", "count(*) as rows").first()
+    assert rows == text["rows"] and 0 < taken < text["n"] / 8
