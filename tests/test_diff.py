@@ -119,3 +119,15 @@ def test_upsert_and_duplicates(spark):
     assert kept["vue.sw-c.emit.a"]["source_token"]["source_range"]["start_byte"] > 27
     assert {r["fqn"]: r["n"] for r in s.duplicates(df).collect()} == {"vue.sw-c": 2, "vue.sw-c.emit.a": 4}
     assert {r["file_path"]: r["n"] for r in s.file_counts(df).collect()} == {"a/sw-c/x.ts": 3, "b/sw-c/x.ts": 3}
+
+
+def test_upserted_snapshots_are_joined_as_they_lie(spark):
+    """Each side is dealt by fqn once, for the upsert; the join needs no further exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sides = [s.upsert(spark.createDataFrame(surfaces_of(f"a/{c}/index.ts", method("(x)").encode()), EXTRACTED)) for c in ("sw-a", "sw-b")]
+        plan = d.matched(*sides)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == 2
