@@ -105,3 +105,30 @@ def test_a_scan_extracts_once(spark, tmp_path, caplog):
         spark.catalog.clearCache()
     assert seen.value == 3
     assert sorted(r.getMessage() for r in caplog.records if r.name == "tessel.plans.engine") == ["vue.sw-x is defined 3 times", "vue.sw-x.emit.one is defined 3 times"]
+
+
+def test_fresh_snapshots_are_joined_as_they_lie(spark):
+    """What moves is names and lines: no exchange carries a signature, nor a report's surface."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base, new = (w.surfaces(spark, SF, x) for x in (False, True))
+        nodes = [d.diff(base, new, d.owned(base, new))._jdf.queryExecution().executedPlan()]
+        moved, joins = [], 0
+        while nodes:
+            node = nodes.pop()
+            name = node.nodeName()
+            joins += name.startswith("SortMergeJoin")
+            if name.startswith("Exchange"):
+                moved.append(node.schema().catalogString())
+            nodes += [node.inputPlan()] if name == "AdaptiveSparkPlan" else [node.children().apply(i) for i in range(node.children().size())]
+        assert joins >= 2 and moved
+        assert not [m for m in moved if "source_token" in m or "signature" in m or "ts_method" in m]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_components_known_beforehand_change_no_report(spark):
+    base, new = (w.surfaces(spark, SF, x) for x in (False, True))
+    rows = lambda report: sorted(map(repr, report.collect()))
+    assert rows(d.diff(base, new)) == rows(d.diff(base, new, d.owned(base, new)))
