@@ -132,3 +132,15 @@ def test_components_known_beforehand_change_no_report(spark):
     base, new = (w.surfaces(spark, SF, x) for x in (False, True))
     rows = lambda report: sorted(map(repr, report.collect()))
     assert rows(d.diff(base, new)) == rows(d.diff(base, new, d.owned(base, new)))
+
+
+def test_reports_without_source_lines_read_no_files(spark):
+    from tessel.plans import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = [plan(queries.QUERIES[n](spark, SF)).count("Exchange") for n in ("json_report", "human_report")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert both[0] == both[1]
