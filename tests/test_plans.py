@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from support import TESTDATA
 
 from tessel.operators import diff as d
+from tessel.operators.extract import extract
 from tessel.plans import engine
 from tessel.plans import workload as w
 from tessel.sources import index as store
@@ -144,3 +145,23 @@ def test_reports_without_source_lines_read_no_files(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert both[0] == both[1]
+
+
+def test_sources_are_extracted_once_for_each_side(spark):
+    """Names of components come from the exchange that the report reads, and no place is moved with the texts."""
+    from tessel.plans import queries
+
+    df = queries.full_pipeline(spark, SF)
+    assert df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow ") == 2 and "ReusedExchange" in final
+
+
+def test_texts_lose_places_only(spark):
+    rows = extract(w.sources(spark, SF).unionByName(w.prop_files(spark, SF)).unionByName(w.small_files(spark, SF)))
+    bare = d.texts(rows)
+    assert [(f.name, f.dataType) for f in bare.schema] == [(f.name, f.dataType) for f in rows.schema]
+    cut = lambda x: {k: cut(v) for k, v in x.items() if k != "source_range"} if isinstance(x, dict) else [cut(v) for v in x] if isinstance(x, list) else x
+    kept = lambda df: sorted(repr(cut(r.asDict(True))) for r in df.collect())
+    assert kept(rows) == kept(bare)
+    assert bare.where("source_token.source_range is not null or signature.ts_method.return_type.source_range is not null or exists(signature.ts_method.parameters, p -> p.name.source_range is not null)").isEmpty()
